@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, toxicity
+from . import embeddings, html, language, licenses, linededup, mixing, neardup, quality, sentencepieces, toxicity
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,14 +23,42 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.predict(table(spark, sf_dir, "documents"), labels, _fold(3, 1))
 
 
+def op2_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_minhash_near_dedup(spark, sf_dir):
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark, sf_dir):
     return language.predict(table(spark, sf_dir, "documents"), _fold(5, 0))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_sentencepiece(spark, sf_dir, model: str = MODEL):
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), sentencepieces.load(spark, model))
+
+
+def op8_embedding_near_dedup(spark, sf_dir):
+    return embeddings.link(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_rules(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
     return quality.rules(table(spark, sf_dir, "documents"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_language, op9_quality_rules)}
+def op10_line_dedup(spark, sf_dir):
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_gone", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_minhash_near_dedup, op4_language, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
