@@ -156,16 +156,16 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     a run and stay. Null ids or texts are left as they are; rows with one id and text
     are one document, and each keeps the same lines; a document may end up empty.
     """
-    gone = later_copies(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("gone").alias("_gone"))
+    gone = later_copies(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias("__line_id"), F.col("tkey").alias("__line_tkey"), F.col("gone").alias("__line_gone"))
     rows = docs.drop("n_lines", "n_gone")
-    joined = rows.join(gone, (rows["doc_id"] == gone["_id"]) & (F.xxhash64(rows["text"]) == gone["_tkey"]), "left").drop("_id", "_tkey")
+    joined = rows.join(gone, (rows["doc_id"] == gone["__line_id"]) & (F.xxhash64(rows["text"]) == gone["__line_tkey"]), "left").drop("__line_id", "__line_tkey")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     names = rows.columns
 
     def run(batches):
         for batch in batches:
             texts, total, lost = [], [], []
-            for text, cut in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist(), strict=True):
+            for text, cut in zip(batch.column("text").to_pylist(), batch.column("__line_gone").to_pylist(), strict=True):
                 split = text.split("\n") if text is not None else []
                 total.append(len(split))
                 lost.append(len(cut or ()))
@@ -176,4 +176,4 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*names, "n_lines", "n_gone"])
 
-    return joined.select(*names, "_gone").mapInArrow(run, f"{kinds}, n_lines long, n_gone long")
+    return joined.select(*names, "__line_gone").mapInArrow(run, f"{kinds}, n_lines long, n_gone long")

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's shards; their sizes and quotas are one row each.
 MAX_SHARDS = 1 << 16
@@ -128,17 +130,19 @@ def apply(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """
     columns = docs.columns
     plan = mix(docs, text_col=text_col, **options).where("taken > 0")
-    plan = plan.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("size").alias("_size")).agg(F.sort_array(F.collect_list(F.struct("passes", "extra", "size"))).alias("_plans"))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_null", F.col("doc_id").isNull()).withColumn("_size", words(text_col))
-    # of rows alike in id and size the n-th takes the n-th plan; any order of them will do
-    key = ["_id", "_null", "_size"]
-    nth = Window.partitionBy(*key).orderBy(F.lit(0))
+    plan = plan.groupBy(F.coalesce("doc_id", F.lit(0)).alias("__mix_id"), F.col("doc_id").isNull().alias("__mix_null"), F.col("size").alias("__mix_size")).agg(F.sort_array(F.collect_list(F.struct("passes", "extra", "size"))).alias("__mix_plans"))
+    rows = docs.withColumn("__mix_id", F.coalesce("doc_id", F.lit(0))).withColumn("__mix_null", F.col("doc_id").isNull()).withColumn("__mix_size", words(text_col))
+    key = ["__mix_id", "__mix_null", "__mix_size"]
+    plan = checkpointed(plan)
     joined = rows.join(plan, key)
-    single = joined.where(F.size("_plans") == 1).withColumn("_plan", F.col("_plans")[0])
-    copied = joined.where(F.size("_plans") > 1).withColumn("_n", F.row_number().over(nth)).withColumn("_plan", F.get("_plans", F.col("_n") - 1)).where("_plan is not null").drop("_n")
-    both = single.unionByName(copied)
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_plan.extra").cast("int")), "")
-    whole = F.col("_plan.passes") + F.when(F.col("_plan.extra") == F.col("_plan.size"), 1).otherwise(0)
-    part = (F.col("_plan.extra") > 0) & (F.col("_plan.extra") < F.col("_plan.size"))
+    if (plan.agg(F.max(F.size("__mix_plans"))).head()[0] or 0) > 1:
+        # of rows alike in id and size the n-th takes the n-th plan; any order of them will do
+        joined = joined.withColumn("__mix_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+        both = joined.withColumn("__mix_plan", F.get("__mix_plans", F.col("__mix_n") - 1)).where("__mix_plan is not null")
+    else:
+        both = joined.withColumn("__mix_plan", F.col("__mix_plans")[0])
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__mix_plan.extra").cast("int")), "")
+    whole = F.col("__mix_plan.passes") + F.when(F.col("__mix_plan.extra") == F.col("__mix_plan.size"), 1).otherwise(0)
+    part = (F.col("__mix_plan.extra") > 0) & (F.col("__mix_plan.extra") < F.col("__mix_plan.size"))
     texts = F.concat(F.array_repeat(F.col(text_col), whole.cast("int")), F.when(part, F.array(cut)).otherwise(F.array().cast("array<string>")))
     return both.withColumn(text_col, F.explode(texts)).select(*columns)

@@ -211,8 +211,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose doc_id names its group; rows with a null id stay, and of rows with one id one."""
-    first = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    kept = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("_kept"), "left_semi")
+    first = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__near_kept"))
+    kept = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("__near_kept"), "left_semi")
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0]
     if ids is not None and ids > 1:
         kept = kept.dropDuplicates(["doc_id"])

@@ -124,6 +124,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, ftrl: F
     return fit_examples(examples, ftrl)
 
 
+def _margins(model, bits):
+    """A function of a chunk's bytes that gives its documents' scores."""
+    index, values, bias = model
+    dense = np.zeros(1 << bits, np.float32)
+    dense[index] = values
+
+    def run(data, offsets):
+        found = []
+        for d, f in features(data, offsets, bits):
+            hit = dense[f] != 0
+            found.append((d[hit] << bits) + f[hit])
+        key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        margin = bias + np.bincount(key >> bits, dense[key & ((1 << bits) - 1)], minlength=len(offsets) - 1)
+        return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+
+    return run
+
+
 def score(docs: DataFrame, model, bits: int = Ftrl.bits, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every row. Null or empty text: the score of the bias alone.
 
@@ -133,22 +151,26 @@ def score(docs: DataFrame, model, bits: int = Ftrl.bits, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        index, values, bias = shared.value
-        dense = np.zeros(1 << bits, np.float32)
-        dense[index] = values
+        scores = _margins(shared.value, bits)
         for rows, data, offsets in K.chunks(batches, "text"):
-            found = []
-            for d, f in features(data, offsets, bits):
-                hit = dense[f] != 0
-                found.append((d[hit] << bits) + f[hit])
-            key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-            margin = bias + np.bincount(key >> bits, dense[key & ((1 << bits) - 1)], minlength=len(offsets) - 1)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(scores(data, offsets))], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
 
 
+def keep_clean(docs: DataFrame, model, threshold: float = 0.7, bits: int = Ftrl.bits) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scores = _margins(shared.value, bits)
+        for rows, data, offsets in K.chunks(batches, "text"):
+            yield rows.filter(pa.array(scores(data, offsets) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, ftrl: Ftrl = Ftrl()) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= threshold) of every document, learnt where held_out is false."""
     model = fit(docs, labels, ~held_out, ftrl)
