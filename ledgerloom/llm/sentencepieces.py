@@ -13,6 +13,7 @@ from __future__ import annotations
 import io
 import os
 import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from . import kernels as K
 
 MAX_MODEL_BYTES = 32 << 20
 #: Distinct cuts that a task remembers; beyond this it starts anew.
-CACHE = 1 << 18
+CACHE = 1 << 20
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -172,7 +173,7 @@ class Codec:
         same = np.array([a == b for a, b in zip(found, self.own.encode(texts, num_threads=1), strict=True)], np.int64)
         size = np.array([len(x) for x in found], np.int64)
         at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
         order = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
         self.known = np.concatenate([self.known, hashes])[order]
         self.at, self.size, self.same = (np.concatenate(x)[order] for x in ((self.at, at), (self.size, size), (self.same, same)))
