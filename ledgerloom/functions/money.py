@@ -22,8 +22,9 @@ def round_half_up(c: Column) -> Column:
 
 
 def ratio(a: Column, b: Column, scale: int) -> Column:
-    """a / b rounded to ``scale`` digits; null if b is 0."""
-    return F.round(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)), scale)
+    """a / b of non-negative amounts, rounded half up to ``scale`` digits; null if b is 0."""
+    unit = 10.0**scale
+    return F.floor(a.cast("double") * unit / F.nullif(b.cast("double"), F.lit(0.0)) + 0.5) / unit
 
 
 def upper_median(values: Column) -> Column:

@@ -61,7 +61,7 @@ def a8(b):
 
 
 def a9(b):
-    return A.health(b.ledger, b.accounts).withColumns({c: F.round(c, 4) for c in ("savings", "debt", "emergency", "consistency", "cash_flow")})
+    return A.health(b.ledger, b.accounts).withColumns({c: F.floor(F.col(c) * 1000 + 0.5) / 1000 for c in ("savings", "debt", "emergency", "consistency", "cash_flow")})
 
 
 A9_SQL = f"""{HEAD}, {MONTHLY}, {V.ACCOUNTS},
@@ -75,7 +75,7 @@ f AS (SELECT s.user_id, least(greatest(CASE WHEN li > 0 THEN round((li - le) / l
   greatest(0, 100 - least(CASE WHEN n < 2 OR mean = 0 THEN 0 ELSE sqrt(v) / mean END * 100, 100)) AS consistency, good * 100 AS cash_flow
   FROM s LEFT JOIN cards USING (user_id) LEFT JOIN liquid USING (user_id)),
 g AS (SELECT *, CAST(floor(0.25 * savings + 0.20 * debt + 0.25 * emergency + 0.15 * consistency + 0.15 * cash_flow + 0.5) AS BIGINT) AS score FROM f)
-SELECT user_id, round(savings, 4) AS savings, round(debt, 4) AS debt, round(emergency, 4) AS emergency, round(consistency, 4) AS consistency, round(cash_flow, 4) AS cash_flow, score,
+SELECT user_id, floor(savings * 1000 + 0.5) / 1000 AS savings, floor(debt * 1000 + 0.5) / 1000 AS debt, floor(emergency * 1000 + 0.5) / 1000 AS emergency, floor(consistency * 1000 + 0.5) / 1000 AS consistency, floor(cash_flow * 1000 + 0.5) / 1000 AS cash_flow, score,
   CASE WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Fair' ELSE 'Needs Attention' END AS label FROM g"""
 
 
@@ -147,7 +147,7 @@ def a7(b):
 
 
 BUDGET_SQL = """{head}, {budgets}, s AS (SELECT user_id, category, sum({amount}) AS spent FROM {rows} AND ym = '2000-12' GROUP BY 1, 2)
-SELECT user_id, category, CAST(limit_amount AS DOUBLE) AS limit_amount, CAST(coalesce(spent, 0) AS DOUBLE) AS spent, round(round(CAST(coalesce(spent, 0) AS DOUBLE) / CAST(limit_amount AS DOUBLE), 4) * 100, 4) AS used FROM budgets LEFT JOIN s USING (user_id, category)"""
+SELECT user_id, category, CAST(limit_amount AS DOUBLE) AS limit_amount, CAST(coalesce(spent, 0) AS DOUBLE) AS spent, round(floor(CAST(coalesce(spent, 0) AS DOUBLE) * 10000 / CAST(limit_amount AS DOUBLE) + 0.5) / 10000 * 100, 4) AS used FROM budgets LEFT JOIN s USING (user_id, category)"""
 
 
 def a49(b):

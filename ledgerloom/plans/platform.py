@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import money
+from ..functions import dates, money
 from ..operators import platform as P
 from ..sources import views as V
 
@@ -153,7 +153,7 @@ def a41(b):
 
 
 def a42(b):
-    return b.events.where("action = 'error'").groupBy("k").agg((F.unix_millis(F.max("ts"))).alias("last_ms"), F.count("*").alias("n")).orderBy("last_ms", "k").limit(20)
+    return b.events.where("action = 'error'").groupBy("k").agg(dates.epoch(F.max("ts"), "MILLISECOND").alias("last_ms"), F.count("*").alias("n")).orderBy("last_ms", "k").limit(20)
 
 
 def a43(b):
@@ -314,7 +314,7 @@ QUERIES = {
     "A39_parser_stats": (a39, f"{E}, w AS (SELECT user_id % 20 AS domain, " + ", ".join(f"{CNT} (action = '{a}') AS {a}" for a in ("purchase", "error", "view", "click")) + " FROM ev GROUP BY 1) SELECT *, round(CASE WHEN purchase + error + view > 0 THEN purchase / (purchase + error + view) END, 6) AS success FROM w"),
     "A40_wallet_balance": (a40, "SELECT c_custkey AS user_id, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(14,2))), 0) AS DOUBLE) AS balance FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
     "A41_min_max_probes": (a41, f"{L} SELECT user_id, strftime(min(CASE WHEN needs_review THEN txn_date END), '%Y-%m-%d') AS oldest_pending, strftime(max(txn_date), '%Y-%m-%d') AS latest FROM ledger GROUP BY 1"),
-    "A42_unreferenced_objects": (a42, f"{E} SELECT k, epoch_ms(max(ts)) AS last_ms, count(*) AS n FROM ev WHERE action = 'error' GROUP BY 1 ORDER BY last_ms, k LIMIT 20"),
+    "A42_unreferenced_objects": (a42, f"{E} SELECT k, epoch_us(max(ts)) // 1000 AS last_ms, count(*) AS n FROM ev WHERE action = 'error' GROUP BY 1 ORDER BY last_ms, k LIMIT 20"),
     "A43_milestones": (a43, f"{E}, w AS (SELECT user_id, s AS step FROM (SELECT DISTINCT user_id FROM ev), (SELECT unnest(['signup', 'view', 'purchase']) AS s)) SELECT w.user_id, step, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_at FROM w LEFT JOIN ev ON ev.user_id = w.user_id AND action = step GROUP BY 1, 2"),
     "A44_account_delta": (a44, f"WITH {V.BASE}, {V.ACCOUNTS}, c AS (SELECT user_id, max(CASE WHEN account_type = 'CREDIT_CARD' THEN 1 ELSE 0 END) AS card FROM accounts GROUP BY 1) SELECT account_id, CAST(sum((CASE WHEN txn_type = 'INCOME' THEN 1 ELSE -1 END) * (CASE WHEN card = 1 THEN -1 ELSE 1 END) * amount) AS DOUBLE) AS delta FROM base JOIN c USING (user_id) GROUP BY 1"),
     "A45_import_tally": (a45, f"WITH {V.BASE} SELECT account_id, ym, CAST(sum(CASE WHEN txn_type = 'INCOME' THEN amount ELSE 0 END) AS DOUBLE) AS credits, CAST(sum(CASE WHEN txn_type = 'EXPENSE' THEN amount ELSE 0 END) AS DOUBLE) AS debits, strftime(min(txn_date), '%Y-%m-%d') AS first_date, strftime(max(txn_date), '%Y-%m-%d') AS last_date, count(DISTINCT category) AS categories FROM base GROUP BY 1, 2"),
