@@ -80,9 +80,12 @@ def apportion(parts: DataFrame, over: list[str], share: str, seats: str, order:
     offers = rounded.select(*keys, "_short", F.col(share).alias("_share"), "_start", F.explode(steps).alias("_k"))
     seat = F.when(F.col("_short") > 0, F.col("_start") + F.col("_k")).otherwise(F.col("_start") - 1 - F.col("_k"))
     quotient = F.col("_share") / (2 * seat + 1)
-    ranked = Window.partitionBy(*over, F.sign("_short")) if over else Window.partitionBy(F.sign("_short"))
-    ranked = ranked.orderBy(F.when(F.col("_short") > 0, -quotient).otherwise(quotient), *[F.col(c).asc_nulls_last() for c in order], "_k")
-    dealt = offers.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= F.abs("_short")).groupBy(*keys).agg(F.sum(F.sign("_short")).cast("long").alias("_more"))
+    # the last of equal quotients was dealt last, so it is the first to be taken back
+    group = Window.partitionBy(*over, F.sign("_short")) if over else Window.partitionBy(F.sign("_short"))
+    up = group.orderBy(-quotient, *[F.col(c).asc_nulls_last() for c in order], "_k")
+    down = group.orderBy(quotient, *[F.col(c).desc_nulls_first() for c in order], "_k")
+    rank = F.when(F.col("_short") > 0, F.row_number().over(up)).otherwise(F.row_number().over(down))
+    dealt = offers.withColumn("_rank", rank).where(F.col("_rank") <= F.abs("_short")).groupBy(*keys).agg(F.sum(F.sign("_short")).cast("long").alias("_more"))
     same = None
     renamed = dealt.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(keys)], "_more")
     for i, c in enumerate(keys):

@@ -61,4 +61,30 @@ def op10_line_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_minhash_near_dedup, op4_language, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
+WORDS = r"CAST(len(regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
+OP6_SQL = rf"""WITH d AS (SELECT doc_id, source, {WORDS.format('text')} AS size, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS seed FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY 1),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, CAST(source_size * 3 AS DOUBLE) AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place FROM w),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (CAST(sum(weight) OVER () AS DOUBLE) - coalesce(sum(weight) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM o),
+f AS (SELECT min(place) AS place, arg_min(level, place) AS level FROM l WHERE cap > level * weight),
+t AS (SELECT l.source, source_size, n, CASE WHEN l.place < f.place THEN cap ELSE coalesce(f.level * weight, 0.0) END AS target FROM l, f),
+k AS (SELECT CAST(floor(sum(target) / 64 + 0.5) AS BIGINT) AS blocks FROM t),
+q AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, source NULLS LAST, i) AS r FROM t, LATERAL (SELECT unnest(range(CAST(ceil(target / 64) AS BIGINT) + 2)) AS i)) WHERE r <= (SELECT blocks FROM k) GROUP BY 1),
+p AS (SELECT d.*, t.source_size, t.target, coalesce(q.quota, 0) AS source_quota, d.seed % least(CAST(ceil(t.n / 256) AS BIGINT), 65536) AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+h AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(source_quota) AS source_quota FROM p GROUP BY 1, 2),
+hq AS (SELECT source, shard, count(*) AS quota FROM (SELECT source, shard, source_quota, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * i + 1) DESC, shard, i) AS r FROM h, LATERAL (SELECT unnest(range(source_quota)) AS i) WHERE shard_size > 0) WHERE r <= source_quota GROUP BY 1, 2),
+hw AS (SELECT h.source, h.shard, shard_size, least(coalesce(quota, 0) * 64, shard_size * 3) AS words FROM h LEFT JOIN hq ON h.source IS NOT DISTINCT FROM hq.source AND h.shard = hq.shard),
+c AS (SELECT p.*, shard_size, words, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS passes, CAST(sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY seed, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start FROM p JOIN hw ON p.source IS NOT DISTINCT FROM hw.source AND p.shard = hw.shard)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, words - passes * shard_size - start)) AS BIGINT) AS taken FROM c"""
+OP10_SQL = rf"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+a AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM s),
+l AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, {WORDS.format('line')} AS w, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS idx, sum({WORDS.format('line')}) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM a WHERE {WORDS.format('line')} > 0),
+win AS (SELECT x.doc_id, x.idx AS s, min(y.idx) AS e FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.idx BETWEEN x.idx AND x.idx + 49 AND y.upto - x.upto + x.w >= 50 GROUP BY 1, 2
+  UNION SELECT y.doc_id, max(x.idx), y.idx FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.idx BETWEEN x.idx AND x.idx + 49 AND y.upto - x.upto + x.w >= 50 GROUP BY y.doc_id, y.idx),
+body AS (SELECT win.doc_id, s, e, md5(string_agg(line, chr(10) ORDER BY idx)) AS h FROM win JOIN l ON l.doc_id = win.doc_id AND idx BETWEEN s AND e GROUP BY 1, 2, 3),
+fst AS (SELECT *, first_value(doc_id) OVER v AS fd, first_value(s) OVER v AS fs FROM body WINDOW v AS (PARTITION BY h ORDER BY doc_id, s)),
+gone AS (SELECT DISTINCT l.doc_id, pos FROM fst JOIN l ON l.doc_id = fst.doc_id AND idx BETWEEN s AND e WHERE fd <> fst.doc_id OR fs + (e - s + 1) <= s),
+kept AS (SELECT a.doc_id, string_agg(line, chr(10) ORDER BY a.pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS n_gone, count(*) AS n_lines FROM a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.pos = a.pos GROUP BY 1)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_gone, 0) AS n_gone, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_line_dedup": OP10_SQL}
