@@ -136,7 +136,7 @@ def health(ledger: DataFrame, accounts: DataFrame, months: int = 6, least_rows:
     rows = stats.join(cards, "user_id", "left").join(liquid, "user_id", "left")
     clamp = lambda x, lo, hi: F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
     savings = clamp(savings_rate("last_income", "last_expense"), 0, 30) / 30 * 100
-    debt = F.coalesce(F.greatest(F.lit(0.0), 100 - F.col("used") * 100), F.lit(100.0))
+    debt = F.when(F.col("used").isNull(), 100.0).otherwise(F.greatest(F.lit(0.0), 100 - F.col("used") * 100))
     have = F.coalesce("liquid", F.lit(0.0))
     reserve = F.when(F.col("mean") == 0, F.when(have > 0, 6.0).otherwise(0.0)).otherwise(have / F.col("mean"))
     emergency = F.least(reserve / 6, F.lit(1.0)) * 100

@@ -70,7 +70,7 @@ r AS (SELECT user_id, age, CAST(income AS DOUBLE) AS i, CAST(expense AS DOUBLE)
 s AS (SELECT user_id, count(*) AS n, max(mean) AS mean, avg((e - mean) * (e - mean)) AS v, avg(CASE WHEN i >= e THEN 1.0 ELSE 0.0 END) AS good, max(CASE WHEN age = 1 THEN i END) AS li, max(CASE WHEN age = 1 THEN e END) AS le FROM r GROUP BY 1),
 cards AS (SELECT user_id, avg(round(CAST(balance AS DOUBLE) / CAST(credit_limit AS DOUBLE), 6)) AS used FROM accounts WHERE account_type = 'CREDIT_CARD' AND credit_limit > 0 GROUP BY 1),
 liquid AS (SELECT user_id, CAST(sum(balance) AS DOUBLE) AS liquid FROM accounts WHERE account_type IN ('SAVINGS', 'WALLET') GROUP BY 1),
-f AS (SELECT s.user_id, least(greatest(CASE WHEN li > 0 THEN round((li - le) / li, 4) * 100 ELSE 0 END, 0), 30) / 30 * 100 AS savings, coalesce(greatest(0, 100 - used * 100), 100.0) AS debt,
+f AS (SELECT s.user_id, least(greatest(CASE WHEN li > 0 THEN round((li - le) / li, 4) * 100 ELSE 0 END, 0), 30) / 30 * 100 AS savings, CASE WHEN used IS NULL THEN 100.0 ELSE greatest(0, 100 - used * 100) END AS debt,
   least(CASE WHEN mean = 0 THEN CASE WHEN coalesce(liquid, 0) > 0 THEN 6.0 ELSE 0.0 END ELSE coalesce(liquid, 0) / mean END / 6, 1) * 100 AS emergency,
   greatest(0, 100 - least(CASE WHEN n < 2 OR mean = 0 THEN 0 ELSE sqrt(v) / mean END * 100, 100)) AS consistency, good * 100 AS cash_flow
   FROM s LEFT JOIN cards USING (user_id) LEFT JOIN liquid USING (user_id)),
