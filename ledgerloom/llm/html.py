@@ -34,8 +34,13 @@ BLOCK = frozenset(
 # Elements that never hold main text, and words in class, id or role that name page furniture.
 DROPPED = frozenset("head nav footer aside form button select option dialog menu noscript template svg canvas object audio video fieldset search math datalist".split())
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner breadcrumb breadcrumbs comment comments commentary contentinfo complementary cookie cookies consent dialog discussion disqus disclaimer footer footnav form gdpr masthead menu menubar modal nav navbar navigation navigations newsletter notice notices notification overlay pager pagination popup promo promoted promotion related recommended replies reply respond search share sharing sharebar sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets alert".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner breadcrumb breadcrumbs comment comments contentinfo complementary cookie cookies consent dialog discussion disqus disclaimer footer footnav form gdpr masthead menu menubar modal nav navbar navigation navigations newsletter notice notices notification overlay pager pagination popup promo promoted promotion related recommended replies reply respond search share sharing sharebar sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets alert".split()
 )
+#: The same words run together with others.
+_FUSED = re.compile(r"comment(?!ar)|advert|sponsor|newsletter|breadcrumb|disqus|(?:side|top|main|site|foot|sub)(?:nav|menu|bar)$|^(?:nav|menu)(?:bar|list|links|items?)$|(?:page|site)footer$")
+_WRAPPERS = frozenset("has no with without layout".split())
+_INLINE = frozenset("ad ads advert advertisement sponsored promo share sharing social newsletter".split())
+_TALK = frozenset("comment comments reply replies respond discussion disqus".split())
 MAIN = frozenset("article main".split())
 #: An open element is closed by the start of one of these.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option", "optgroup"}}
@@ -43,25 +48,34 @@ _STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
-def _furniture(tag, attrs):
-    """Whether the element holds page furniture, by its kind, names or being hidden."""
-    if tag in DROPPED:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    if not attrs or attrs.isspace():
+def _names(attrs):
+    return {w.lower() for m in _NAMED.finditer(attrs) for w in _TOKENS.findall(m[2] or m[3] or m[4] or "")} if attrs and not attrs.isspace() else frozenset()
+
+
+def _furniture(tag, names):
+    """Whether an element's names say that it holds page furniture."""
+    if not names or tag in ("html", "body"):
         return False
-    if _HIDDEN.search(attrs):
-        return True
-    words = {w.lower() for m in _NAMED.finditer(attrs) for w in _TOKENS.findall(m[2] or m[3] or m[4] or "")}
-    return bool(words & FURNITURE) or bool(words & {"header"}) and not words & {"article", "content", "entry", "post", "story", "page"}
+    part = bool(names & {"article", "content", "entry", "post", "story", "main"})
+    if tag in MAIN:
+        # a reader's comment or a teaser may be an article of its own
+        return not part and bool(names & (_TALK | {"related", "teaser", "promo", "ad", "ads", "sponsored"}))
+    found = names & FURNITURE
+    if names & _WRAPPERS:
+        found = found - {"sidebar", "sidebars", "nav", "menu"}
+    return bool(found) or any(_FUSED.search(n) for n in names) or "header" in names and not part
 
 
 class _Tree:
-    """Elements in page order (tag, parent, dropped) and blocks of text (element, text, characters in links)."""
+    """Elements in page order (tag, parent, dropped) and blocks of text (element, text, characters in links).
+
+    strict: forms are dropped with all they hold.
+    """
 
-    def __init__(self, page):
-        self.tag, self.parent, self.dropped = ["#root"], [-1], [False]
+    def __init__(self, page, strict=True):
+        self.tag, self.parent = ["#root"], [-1]
+        # by kind or because hidden; by name
+        self.gone, named, talk = [False], [False], [False]
         self.blocks = []
         parts, linked, links = [], 0, 0
         stack = [0]
@@ -78,7 +92,7 @@ class _Tree:
 
         def add(raw):
             nonlocal linked
-            if raw and not self.dropped[stack[-1]]:
+            if raw and not self.gone[stack[-1]]:
                 parts.append(raw)
                 if links:
                     linked += len(raw.strip())
@@ -115,18 +129,32 @@ class _Tree:
             if tag in VOID:
                 continue
             above = stack[-1]
-            inside_main = any(self.tag[n] in MAIN for n in stack)
             attrs = m[5] or ""
-            drop = self.dropped[above] or _furniture(tag, attrs) or (tag == "header" and not inside_main)
+            names = _names(attrs)
+            kind = tag in DROPPED and (strict or tag != "form") or tag == "header" and not any(self.tag[n] in MAIN for n in stack)
+            kind = kind or tag not in BLOCK and bool(names & _INLINE)
+            hidden = tag not in ("html", "body") and attrs and _HIDDEN.search(attrs)
             self.tag.append(tag)
             self.parent.append(above)
-            self.dropped.append(drop)
+            self.gone.append(bool(self.gone[above] or kind or hidden))
+            named.append(_furniture(tag, names))
+            talk.append(bool(names & _TALK))
             if not attrs.rstrip().endswith("/") or tag in BLOCK:
                 stack.append(len(self.tag) - 1)
                 if tag == "a":
                     links += 1
         add(page[at:])
         close_block()
+        # a name doesn't make furniture of what holds the article itself
+        for k, tag in enumerate(self.tag):
+            if tag in MAIN and not named[k] and not self.gone[k]:
+                line = list(self.above(self.parent[k]))
+                if not any(named[n] and talk[n] for n in line):
+                    for n in line:
+                        named[n] = False
+        self.dropped = self.gone
+        for k in range(1, len(self.tag)):
+            self.dropped[k] = self.dropped[k] or named[k] or self.dropped[self.parent[k]]
 
     def _imply(self, stack, tag):
         """Close the elements whose end tags are left out before ``tag``."""
@@ -157,6 +185,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = _Tree(page)
+    if all(tree.dropped[owner] for owner, _, _ in tree.blocks):
+        # a form may hold the whole page
+        tree = _Tree(page, strict=False)
     size = len(tree.tag)
     points, chars, linked, anchors = [0.0] * size, [0] * size, [0] * size, [0] * size
     for k in range(size):

@@ -176,6 +176,16 @@ def test_html_article_with_sections():
     assert lines[0] == "Title" and [x for x in lines if x.startswith("Part")] == ["Part 0", "Part 1", "Part 2"] and "More, more, more" not in lines
 
 
+def test_html_wrappers_comments_and_forms():
+    word = "Long enough, with commas, to be a paragraph of the article, yes."
+    wrapped = f"<div class='page with-sidebar'><div id='sidebar'><p>{word} No.</p></div><div class='site-header-wrap'><article class='post'><p>{word}</p></article></div></div>"
+    assert html.main_text(wrapped) == word
+    talk = f"<main><p>{word}</p><section id='reader-comments'><article class='comment'><p>{word} No.</p></article></section><div class='commentlist'><p>{word} No.</p></div></main>"
+    assert html.main_text(talk) == word
+    assert html.main_text(f"<body><form id=aspnet><div class=content><p>{word}</p></div></form></body>") == word
+    assert html.main_text(f"<div role='banner'>x</div><div><p>{word}</p><p>{word} Two.</p></div><div aria-hidden=true>y</div><p style='display:none'>z</p>") == f"{word}\n{word} Two."
+
+
 @pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
 def test_sentencepiece_parity_and_round_trip(spark):
     import sentencepiece
