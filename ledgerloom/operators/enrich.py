@@ -169,6 +169,16 @@ def classify_products(signals: DataFrame, least: float = 0.6, top: float = 0.95)
     return docs.join(best, "doc_id", "left").select("doc_id", F.when(F.col("score") >= least, F.col("product")).otherwise(F.lit("UNKNOWN")).alias("product"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def match_products(found: DataFrame, known: DataFrame) -> DataFrame:
+    """How each found product (found_id, institution, number) is known: EXACT by identity key, PROBABLE by institution and last four digits, else NONE."""
+    last4 = lambda c: F.right(F.regexp_replace(c, "[^0-9]", ""), F.lit(4))
+    exact = known.select(text.identity_key(F.col("institution"), F.col("number")).alias("identity")).where("identity is not null").distinct().withColumn("exact", F.lit(True))
+    near = known.select("institution", last4("number").alias("last4")).where("length(last4) = 4").distinct().withColumn("near", F.lit(True))
+    keyed = found.withColumn("identity", text.identity_key(F.col("institution"), F.col("number"))).withColumn("last4", last4("number"))
+    joined = keyed.join(exact, "identity", "left").join(near, ["institution", "last4"], "left")
+    return joined.select("found_id", F.when(F.col("exact"), "EXACT").when(F.col("near"), "PROBABLE").otherwise("NONE").alias("match"))
+
+
 def explain(ledger: DataFrame, ruled: DataFrame, rules: DataFrame) -> DataFrame:
     """A sentence on each row's category by its decision's source."""
     known = rules.select("rule_id", "field", "operator", "value")

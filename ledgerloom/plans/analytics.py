@@ -136,6 +136,15 @@ def a19b(b):
     return A.insights(b.ledger, b.budgets, MONTH)
 
 
+A19_SENTENCES = f"""{HEAD}, {MOVERS}, {V.BUDGETS}, st AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(pct) DESC, category) AS r FROM movers WHERE abs(coalesce(pct, 0)) >= 15),
+nu AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r) AS q FROM st ANTI JOIN budgets USING (user_id, category)),
+big AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY now DESC, category) AS r FROM movers)
+SELECT user_id, 1 AS place, 'You spent ₹' || format('{{:,}}', CAST(round(sum(CAST(now AS DECIMAL(14,2)))) AS BIGINT)) || ' this month.' AS sentence FROM movers GROUP BY 1
+UNION ALL SELECT user_id, 2, 'Biggest category: ' || category || ' at ₹' || format('{{:,}}', CAST(round(now) AS BIGINT)) || '.' FROM big WHERE r = 1
+UNION ALL SELECT user_id, 3, 'Consider a budget for ' || category || '.' FROM nu WHERE q = 1
+UNION ALL SELECT user_id, r + 3, category || CASE WHEN pct > 0 THEN ' is up ' ELSE ' is down ' END || CAST(round(abs(pct)) AS BIGINT) || '% on your average.' FROM st WHERE r <= 3"""
+
+
 def a20(b):
     spend = b.ledger.where("txn_type = 'EXPENSE' and not is_transfer and duplicate_of is null").where(F.col("ym") == MONTH).groupBy("user_id", "category").agg(F.sum("amount").alias("spent"))
     return _doubles(A.budget_status(b.budgets, spend), "limit_amount", "spent").withColumn("used", F.round("used", 4))
@@ -188,7 +197,7 @@ QUERIES = {
     "A17_monthly_report": (a17, A17_SQL),
     "A18_available_months": (a18, f"{HEAD} SELECT DISTINCT user_id, ym FROM net"),
     "A19_movers": (a19, f"{HEAD}, {MOVERS} SELECT user_id, category, now, prior_average, round(pct, 4) AS pct FROM movers"),
-    "A19_insight_sentences": (a19b, None),
+    "A19_insight_sentences": (a19b, A19_SENTENCES),
     "A20_budget_vs_spend": (a20, BUDGET_SQL.format(head=HEAD, budgets=V.BUDGETS, amount="amount", rows="ledger WHERE txn_type = 'EXPENSE' AND NOT is_transfer AND duplicate_of IS NULL")),
     "A49_top_n_and_other": (a49, f"""{HEAD}, s AS (SELECT user_id, merchant, sum(net) AS spent FROM net WHERE txn_type = 'EXPENSE' GROUP BY 1, 2),
 r AS (SELECT user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY spent DESC, merchant) <= 5 THEN merchant ELSE 'Other' END AS label, spent FROM s), g AS (SELECT user_id, label, sum(spent) AS spent FROM r GROUP BY 1, 2)

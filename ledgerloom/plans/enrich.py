@@ -135,6 +135,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, firs
 SELECT d.doc_id, CASE WHEN score >= 0.6 THEN product ELSE 'UNKNOWN' END AS product, CAST(coalesce(score, 0.0) AS DOUBLE) AS score FROM (SELECT DISTINCT doc_id FROM s) d LEFT JOIN r ON r.doc_id = d.doc_id AND place = 1"""
 
 
+def c11(b):
+    found = b.table("customer").select(F.col("c_custkey").alias("found_id"), F.concat(F.lit("B"), F.col("c_nationkey") % 3).alias("institution"), (F.col("c_custkey") * 31 + 5000).cast("string").alias("number"))
+    known = b.table("customer").where("c_custkey % 4 = 0").select(F.concat(F.lit("B"), F.col("c_nationkey") % 3).alias("institution"), F.when(F.col("c_custkey") % 8 == 0, (F.col("c_custkey") * 31 + 5000).cast("string")).otherwise(F.concat(F.lit("99"), (F.col("c_custkey") * 31 + 5000).cast("string"))).alias("number"))
+    return N.match_products(found, known)
+
+
+C11_SQL = """WITH f AS (SELECT c_custkey AS found_id, 'B' || c_nationkey % 3 AS i, CAST(c_custkey * 31 + 5000 AS VARCHAR) AS n FROM customer),
+k AS (SELECT i, CASE WHEN found_id % 8 = 0 THEN n ELSE '99' || n END AS n FROM f WHERE found_id % 4 = 0)
+SELECT found_id, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.i = f.i AND k.n = f.n) THEN 'EXACT' WHEN EXISTS (SELECT 1 FROM k WHERE k.i = f.i AND right(k.n, 4) = right(f.n, 4)) THEN 'PROBABLE' ELSE 'NONE' END AS match FROM f"""
+
+
 def c12(b):
     return N.explain(b.ledger.select("txn_id", "decision_source"), c3(b), b.rules)
 
@@ -193,6 +204,7 @@ QUERIES = {
     "C8_merchant_merge": (c8, f"WITH {LEARN}, m AS (SELECT user_id, CASE WHEN merchant IN ('click', 'signup') THEN 'view' ELSE merchant END AS merchant, category_id, sum(confirmations) AS confirmations, max(last_at) AS last_at FROM learning GROUP BY 1, 2, 3) SELECT user_id, merchant, category_id, CAST(confirmations AS BIGINT) AS confirmations, strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at, CAST(floor(confirmations * 100 / sum(confirmations) OVER (PARTITION BY user_id, merchant) + 0.5) AS BIGINT) AS confidence FROM m"),
     "C9_ask_once": (c9, f"WITH {V.LEDGER} SELECT user_id, count(*) AS ask FROM ledger WHERE decision_source = 'MERCHANT_DEFAULT' AND {KEYWORD.format(NORM.format('description'))} <> 'Hardware' GROUP BY 1"),
     "C10_product_classifier": (c10, C10_SQL),
+    "C11_product_identity": (c11, C11_SQL),
     "C12_explanations": (c12, C12_SQL),
     "A14_category_confidence": (a14, f"WITH {LEARN}, {TOP} SELECT category_id, CAST(floor(avg(confidence) + 0.5) AS BIGINT) AS confidence, count(*) AS merchants FROM tl GROUP BY 1"),
     "A16_learning_growth": (a16, f"WITH {V.EVENTS} SELECT strftime(ts + INTERVAL 330 MINUTE, '%Y-%m') AS month, count(*) FILTER (action = 'click') AS learned, count(*) FILTER (action = 'view') AS corrected FROM ev GROUP BY 1"),

@@ -66,6 +66,13 @@ def s18(b):
     return statements.receipts(b.table("pages"), templates).groupBy("template", "status").agg(F.count("*").alias("pages"), F.sum("amount").cast("double").alias("amount"))
 
 
+S18_SQL = r"""WITH p AS (SELECT trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages),
+r AS (SELECT 'order' AS template, contains(lower(t), 'unsubscribe') OR NOT contains(lower(t), 'the') AS no, TRY_CAST(regexp_extract(t, '([0-9]+[.][0-9]{2})', 1) AS DECIMAL(14,2)) AS a, TRY_CAST(regexp_extract(t, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) AS DATE) AS d FROM p
+  UNION ALL SELECT 'ad', contains(lower(t), '&amp;') OR NOT contains(lower(t), 'ad'), 0, NULL FROM p),
+s AS (SELECT template, CASE WHEN no THEN 'NOT_A_RECEIPT' WHEN a IS NULL OR d IS NULL THEN 'MALFORMED' ELSE 'PARSED' END AS status, a FROM r)
+SELECT template, status, count(*) AS pages, CAST(sum(CASE WHEN status = 'PARSED' THEN a END) AS DOUBLE) AS amount FROM s GROUP BY 1, 2"""
+
+
 def s16(b):
     runs = b.table("lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("long").alias("page"), F.col("l_discount").alias("x"), F.col("l_quantity").alias("y"), F.col("l_returnflag").alias("text"))
     return statements.physical_rows(runs)
@@ -102,7 +109,7 @@ QUERIES = {
     "S16_physical_rows": (s16, None),
     "S16_column_buckets": (s16_cells, "WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_quantity AS x, l_partkey AS y, l_returnflag AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 50 = 0) SELECT doc_id, 0 AS page, x, y, text, CASE WHEN abs(x - 5) <= abs(x - 20) THEN 0 WHEN abs(x - 20) <= abs(x - 40) THEN 1 ELSE 2 END AS \"column\" FROM r"),
     "S17_metadata": (s17, f"WITH {V.BASE} SELECT DISTINCT CAST(account_id AS VARCHAR) AS file, 'A Holder' AS holder, '1234' AS last4 FROM base WHERE ym LIKE '1998%'"),
-    "S18_receipts": (s18, None),
+    "S18_receipts": (s18, S18_SQL),
     "J14_staged_duplicates": (j14, f"WITH {V.BASE}, {ROWS}, k AS (SELECT txn_date, amount, description, count(*) AS n FROM base WHERE ym LIKE '1998%' AND qty < 25 GROUP BY 1, 2, 3) SELECT txn_id AS reference, coalesce(n, 0) AS matches FROM r LEFT JOIN k USING (txn_date, amount, description) WHERE outcome = 'STAGED'"),
     "S20_change_set": (s20, f"WITH {V.LEDGER} SELECT txn_id, true AS is_recurring, status FROM ledger WHERE merchant = 'Brand#1' AND NOT is_recurring"),
     "S21_export_manifest": (s21, f"WITH {V.BASE}, {V.BUDGETS} SELECT user_id, count(*) AS rows, 'transactions' AS entity FROM base GROUP BY 1 UNION ALL SELECT user_id, count(*), 'budgets' FROM budgets GROUP BY 1"),

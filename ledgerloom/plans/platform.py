@@ -242,6 +242,15 @@ def o2(b):
     return b.ledger.where("txn_type = 'EXPENSE'").groupBy("user_id").agg(F.sum("amount").cast("double").alias("spent")).orderBy(F.desc("spent"), "user_id").limit(10)
 
 
+def o3(b):
+    return b.events.orderBy(F.desc("ts"), "event_id").limit(8).select("event_id", "action", "user_id")
+
+
+def w8(b):
+    first = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return b.events.where("action = 'purchase'").withColumn("r", F.row_number().over(first)).where("r = 1").select("user_id", "event_id", "k")
+
+
 def o7(b):
     rows = b.table("documents").select("doc_id", F.nullif(F.col("n_chars") % 7, F.lit(0)).alias("rate"))
     return rows.orderBy(F.asc_nulls_last("rate"), "doc_id").limit(50)
@@ -331,6 +340,8 @@ QUERIES = {
     "W7_changed": (w7, f"{E} SELECT event_id, coalesce(action <> lag(action) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS changed FROM ev"),
     "W12_share": (w12, f"{E} SELECT user_id, action, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS share FROM ev GROUP BY 1, 2"),
     "O2_top_spenders": (o2, f"{L} SELECT user_id, CAST(sum(amount) AS DOUBLE) AS spent FROM ledger WHERE txn_type = 'EXPENSE' GROUP BY 1 ORDER BY spent DESC, user_id LIMIT 10"),
+    "O3_recent_audit": (o3, f"{E} SELECT event_id, action, user_id FROM ev ORDER BY ts DESC, event_id LIMIT 8"),
+    "W8_first_seen": (w8, f"{E} SELECT user_id, event_id, k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM ev WHERE action = 'purchase') WHERE r = 1"),
     "O7_nulls_last": (o7, "SELECT doc_id, nullif(n_chars % 7, 0) AS rate FROM documents ORDER BY rate ASC NULLS LAST, doc_id LIMIT 50"),
     "U1_O4_union_of_hits": (u1, "SELECT * FROM (SELECT 'user' AS kind, c_custkey AS id FROM customer WHERE lower(c_name) LIKE '%0001%' ORDER BY id LIMIT 5) UNION ALL SELECT * FROM (SELECT 'part', p_partkey AS id FROM part WHERE lower(p_name) LIKE '%ring%' ORDER BY id LIMIT 5)"),
     "U3_except": (u3, f"WITH {V.BASE} SELECT DISTINCT p_brand, p_type FROM part EXCEPT SELECT merchant, category FROM base WHERE qty > 48 AND tax > 5"),

@@ -78,6 +78,12 @@ def d7(b):
     return R.reset_pointers(b.ledger, b.ledger.where("ym = '1998-01' or user_id % 5 = 0"))
 
 
+def d8(b):
+    """Rows deleted and recategorised in bulk, then duplicates found anew."""
+    left = b.ledger_events.where("merchant != 'view' or user_id % 4 != 0").withColumn("description", F.when(F.col("merchant") == "click", F.lit("view")).otherwise(F.col("description")))
+    return R.duplicates(left.withColumn("confirmed_at", F.lit(None).cast("timestamp")))
+
+
 def j15(b):
     return R.dangling(b.ledger.where("user_id % 5 != 0 or txn_type = 'INCOME'"))
 
@@ -93,5 +99,6 @@ QUERIES = {
     "D5_receipt_match": (d5, D5_SQL),
     "D6_import_tally": (d6, f"WITH {V.LEDGER} SELECT account_id, count(*) AS rows, count(*) FILTER (status = 'DUPLICATE') AS duplicate, count(*) FILTER (status = 'TRANSFER') AS transfer, count(*) FILTER (status = 'REFUND') AS refund, count(*) FILTER (status = 'OK') AS ok FROM ledger GROUP BY 1"),
     "D7_pointer_reset": (d7, f"WITH {V.LEDGER}, g AS (SELECT txn_id FROM ledger WHERE ym = '1998-01' OR user_id % 5 = 0) SELECT txn_id, 'OK' AS status, status AS was FROM ledger WHERE txn_id NOT IN (SELECT txn_id FROM g) AND coalesce(duplicate_of, refund_of) IN (SELECT txn_id FROM g)"),
+    "D8_bulk_change_and_rerun": (d8, f"WITH {V.LEDGER_EVENTS}, x AS (SELECT * REPLACE (CASE WHEN merchant = 'click' THEN 'view' ELSE description END AS description) FROM le WHERE merchant <> 'view' OR user_id % 4 <> 0), m AS (SELECT *, first_value(txn_id) OVER (PARTITION BY account_id, txn_date, amount, description ORDER BY created_at, txn_id) AS original FROM x) SELECT txn_id, original AS duplicate_of FROM m WHERE original <> txn_id"),
     "J15_dangling_pointers": (j15, f"WITH {V.LEDGER}, r AS (SELECT * FROM ledger WHERE user_id % 5 <> 0 OR txn_type = 'INCOME') SELECT 'duplicate_of' AS pointer, count(*) AS dangling FROM r WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT txn_id FROM r) UNION ALL SELECT 'refund_of', count(*) FROM r WHERE refund_of IS NOT NULL AND refund_of NOT IN (SELECT txn_id FROM r)"),
 }

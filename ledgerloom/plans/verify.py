@@ -112,6 +112,10 @@ def v9(b):
     return C.reliability(v1(b).select("statement_id", "verdict").union(v3(b).select("statement_id", "verdict")).union(v4(b).select("statement_id", "verdict")))
 
 
+V9_SQL = f"""WITH f AS (SELECT statement_id, verdict FROM ({V1_SQL}) UNION ALL SELECT statement_id, verdict FROM ({V3_SQL}) UNION ALL SELECT statement_id, verdict FROM ({V4_SQL}))
+SELECT statement_id, count(*) AS findings, CASE WHEN bool_or(verdict = 'FAILED') THEN 'NEEDS_ATTENTION' WHEN bool_or(verdict = 'WARNING') THEN 'REVIEW_RECOMMENDED' ELSE 'CLEAN' END AS status FROM f GROUP BY 1"""
+
+
 def v10(b):
     rows = statements(b).groupBy("statement_id").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("amount") > 0, F.col("amount")).otherwise(F.lit(0).cast(MONEY))).alias("credits"), F.sum(F.when(F.col("amount") < 0, -F.col("amount")).otherwise(F.lit(0).cast(MONEY))).alias("debits"), F.count(F.when(F.col("amount").isNull(), 1)).alias("skipped"), F.max_by("balance", "row_no").alias("closing"))
     return C.closing_guard(rows.withColumn("opening", F.when(F.col("rows") > 1, F.lit(1000)).cast(MONEY)).withColumn("liability", F.col("statement_id").startswith("9")))
@@ -236,7 +240,7 @@ QUERIES = {
     "V6_row_accounting": (v6, f"WITH {V.BASE}, g AS (SELECT account_id AS statement_id, count(*) AS rows, {FIND} (qty BETWEEN 2 AND 49) AS staged, {FIND} (qty = 1) AS marker, {FIND} (qty = 50) AS unparseable FROM base GROUP BY 1) SELECT *, CASE WHEN unparseable = 0 THEN 'VERIFIED' WHEN unparseable * 2 >= rows THEN 'FAILED' ELSE 'WARNING' END AS verdict FROM g"),
     "V7_card_totals": (v7, "SELECT o_orderkey AS statement_id, CAST(o_orderkey % 500 + o_orderkey % 300 + o_orderkey % 7 + o_orderkey % 3 - o_orderkey % 200 AS DOUBLE) AS expected, CASE WHEN o_orderkey % 11 <> 0 THEN 'VERIFIED' ELSE 'WARNING' END AS verdict FROM orders"),
     "V8_card_flow": (v8, "WITH n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS statement_id, CASE WHEN n IS NOT NULL AND (n <= 6) THEN 'VERIFIED' ELSE 'WARNING' END AS verdict FROM orders LEFT JOIN n ON k = o_orderkey"),
-    "V9_reliability": (v9, None),
+    "V9_reliability": (v9, V9_SQL),
     "V10_closing_guard": (v10, V10_SQL),
     "E1_evidence_status": (e1, f"WITH {V.EVENTS}, f AS (SELECT event_id % 3000 AS claim_id, action, CASE WHEN k > 20 THEN k % 2 END AS v FROM ev) SELECT claim_id, CASE WHEN count(v) < 2 THEN 'INSUFFICIENT' WHEN count(DISTINCT v) > 1 THEN 'CONFLICTING' WHEN count(DISTINCT CASE WHEN v IS NOT NULL THEN action END) >= 2 THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS status FROM f GROUP BY 1"),
     "E2_comparison": (e2, f"WITH {V.EVENTS}, f AS (SELECT CASE WHEN k % 3 > 0 THEN k % 4 END AS a, CASE WHEN k % 5 > 0 THEN k % 2 END AS b FROM ev) SELECT CASE WHEN a IS NULL AND b IS NULL THEN 'ABSENT' WHEN a IS NULL OR b IS NULL THEN 'UNCONTESTED' WHEN a = b THEN 'AGREE' ELSE 'DISAGREE' END AS result, count(*) AS n FROM f GROUP BY 1"),
