@@ -163,7 +163,7 @@ def insights(ledger: DataFrame, budgets: DataFrame, as_of_month: str, least: flo
     """Sentences about every user's newest month: total, biggest category, movers, a missing budget."""
     moved = movers(ledger, as_of_month)
     user = Window.partitionBy("user_id")
-    rupees = lambda c: F.format_string("₹%,.0f", F.round(c.cast("decimal(24,2)"), 0))
+    rupees = lambda c: F.format_string("₹%,d", F.round(c.cast("decimal(24,2)"), 0).cast("long"))
     total = moved.groupBy("user_id").agg(F.sum(F.col("now").cast("decimal(14,2)")).alias("total"))
     first = total.select("user_id", F.lit(1).alias("place"), F.concat(F.lit("You spent "), rupees(F.col("total")), F.lit(" this month.")).alias("sentence"))
     biggest = moved.withColumn("r", F.row_number().over(user.orderBy(F.desc("now"), "category"))).where("r = 1")
