@@ -1,11 +1,12 @@
 """Near-duplicate documents by ProbMinHash.
 
-A document is a set of five-word shingles weighted by their counts. Each shingle is a Poisson
-process whose rate is its weight: its arrivals fall on random registers, a register
+A document is a set of five-word shingles weighted by 1 + log2 of their counts. Each shingle is a
+Poisson process whose rate is its weight: its arrivals fall on random registers, a register
 keeps the earliest shingle, and a process stops once its next arrival is later than all
 registers (early termination). Two documents agree in a register with the
-probability of their probability Jaccard similarity. Bands of registers give
-candidates; the texts of those are compared exactly.
+probability of their probability Jaccard similarity, which is the Jaccard similarity of the
+shingle sets where no shingle repeats. Bands of registers give candidates; the shingle
+sets of those are compared exactly.
 
 Equal texts are one vertex. Within a band's bucket, the vertex with the most
 bucket mates is the hub, and members are compared with the hub only, which joins nearly
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,13 @@ from .graph import checkpointed, components, spread
 
 WIDTH = 5
 THRESHOLD = 0.8
-#: With 32 bands of 4 registers, a pair of similarity 0.8 shares no band with probability 5e-8, one of 0.6 with 0.01.
-BANDS, ROWS = 32, 4
-REGISTERS = BANDS * ROWS
-#: A pair is compared if its share of equal registers is at least this: 7 standard errors below the threshold.
-ESTIMATE = 0.55
+#: With 24 bands of 4 registers, a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.6 with 0.04.
+BANDS, ROWS = 24, 4
+#: The registers beyond the bands only sharpen the estimate.
+REGISTERS = 160
+#: Least shares of equal registers with which a pair's texts are compared: 8 standard errors below the threshold for a
+#: bucket's hub and its members, 3 for pairs that would join what the hubs left apart.
+ESTIMATE, LIKELY = 0.55, 0.7
 #: Members of a bucket that one task compares.
 BLOCK = 512
 
@@ -77,10 +81,10 @@ def sketch(docs: DataFrame) -> DataFrame:
             n = len(offsets) - 1
             of, starts, ends = K.spans(~K.space(data), offsets)
             of, sh = K.shingles(of, K.span_hashes(data, starts, ends), WIDTH)
-            of, sh, w = weighted(of, sh, n)
-            sig = signatures(of, sh, w, n)
+            of, sh, counts = weighted(of, sh, n)
+            sig = signatures(of, sh, 1 + np.log2(counts), n)
             filled = np.bincount(of, minlength=n) > 0
-            keys = K.mix((sig.reshape(n, BANDS, ROWS) * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            keys = K.mix((sig[:, : BANDS * ROWS].reshape(n, BANDS, ROWS) * weights).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
             at = np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)
             marks = K.mix(sig).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[filled].reshape(-1).view(np.int64))), pa.array([m.tobytes() for m in marks], pa.binary())], ["doc_id", "digest", "bands", "marks"])
@@ -89,27 +93,11 @@ def sketch(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, digest binary, bands array<long>, marks binary")
 
 
-def similarity(a: bytes, b: bytes) -> float:
-    """The larger of the probability Jaccard of counted shingles and the Jaccard of shingle sets."""
-    sides = []
-    for text in (a, b):
-        data = np.frombuffer(text, np.uint8)
-        of, starts, ends = K.spans(~K.space(data), np.array([0, len(data)]))
-        sides.append(np.unique(K.shingles(of, K.span_hashes(data, starts, ends), WIDTH)[1], return_counts=True))
-    (sa, wa), (sb, wb) = sides
-    common, ia, ib = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
-    if not len(common):
-        return 0.0
-    plain = len(common) / (len(sa) + len(sb) - len(common))
-    x, y = wa[ia].astype(float), wb[ib].astype(float)
-    ratio = x / y
-    order = np.argsort(ratio, kind="stable")
-    x, y, ratio = x[order], y[order], ratio[order]
-    above = np.append(np.cumsum(x[::-1])[::-1], 0.0)
-    below = np.append(0.0, np.cumsum(y))
-    cut = np.searchsorted(ratio, ratio, "left")
-    only_a, only_b = wa.sum() - x.sum(), wb.sum() - y.sum()
-    return max(plain, float((1 / ((above[cut] + only_a) / x + (below[cut] + only_b) / y)).sum()))
+def distinct(text: bytes):
+    """A text's distinct shingles, in order."""
+    data = np.frombuffer(text, np.uint8)
+    of, starts, ends = K.spans(~K.space(data), np.array([0, len(data)]))
+    return np.unique(K.shingles(of, K.span_hashes(data, starts, ends), WIDTH)[1])
 
 
 def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -124,56 +112,135 @@ def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose texts are similar; both joins read one exchange of the texts."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id and the compressed text of every row that has both: half as many bytes to shuffle."""
 
     def run(batches):
-        for batch in batches:
-            same = [similarity(x.as_py().encode(), y.as_py().encode()) >= threshold for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for part, data, offsets in K.chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["doc_id", "packed"])
+
+    return docs.select("doc_id", "text").where("text is not null and doc_id is not null").mapInArrow(run, "doc_id long, packed binary")
+
 
-    texts = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
-    first = pairs.join(texts, pairs["b"] == texts["doc_id"]).select("a", "b", F.col("text").alias("y"))
-    again = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
-    return first.join(again, first["a"] == again["doc_id"]).select("a", "b", F.col("text").alias("x"), "y").mapInArrow(run, "a long, b long").distinct()
+def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs with the exact similarity of their texts; both joins read one exchange of the texts.
 
+    With a's number of shingles, and 32 bits of each that b lacks and of each that b has beyond them.
+    """
 
-def _rest(members: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and agree in enough registers.
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            found, size, lacks, adds = [], [], [], []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                a, b = distinct(unpack(x.as_py())), distinct(unpack(y.as_py()))
+                less, more = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
+                found.append((len(a) - len(less)) / max(1, len(a) + len(more)))
+                size.append(len(a))
+                lacks.append((less >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                adds.append((more >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            sets = [pa.array(v, pa.list_(pa.int32())) for v in (lacks, adds)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64()), pa.array(size, pa.int64()), *sets], ["a", "b", "similarity", "size", "lacks", "adds"])
+
+    texts = _packed(docs)
+    first = pairs.join(texts.withColumnRenamed("packed", "y"), F.col("b") == F.col("doc_id")).select("a", "b", "y")
+    joined = first.join(texts.withColumnRenamed("packed", "x"), F.col("a") == F.col("doc_id")).select("a", "b", "x", "y")
+    return joined.mapInArrow(run, "a long, b long, similarity double, size long, lacks array<int>, adds array<int>")
+
+
+def _linked(measured: DataFrame, threshold: float) -> DataFrame:
+    return measured.where(F.col("similarity") >= threshold).select("a", "b").distinct()
+
+
+def _shared(lists: pa.Array, left, right):
+    """Numbers of common elements of the sets at ``left`` and those at ``right``."""
+    starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sizes = np.diff(starts)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, count = np.unique(flat[starts[0] : starts[-1]], return_inverse=True, return_counts=True)
+    often = count > 1
+    place = np.cumsum(often) - 1
+    rows, column = rows[often[column]], place[column[often[column]]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(often.sum()), 4096):
+        here = (column >= lo) & (column < lo + 4096)
+        block = np.zeros((len(sizes), 4096), np.float32)
+        block[rows[here], column[here] - lo] = 1
+        out += block[left] @ block[right].T
+    return out
+
+
+def _rest(members: DataFrame, measured: DataFrame, found: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components that share a bucket and have to be measured.
 
     In a bucket the largest component's members need no comparison with each other: the rest
-    is compared with them and with itself, in blocks of BLOCK members.
+    is compared with them and with itself, in blocks of BLOCK members, and each pair in the
+    first bucket it shares. Hubs have been compared already. Where two members' differences
+    from the hub are known, these give their similarity, and a block returns a
+    spanning forest of its links. Other pairs, of members too far from the hub to have been
+    compared with it, are candidates if enough registers are equal.
     """
-    placed = members.join(found.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select((F.col("key") + F.lit(0)).alias("key"))
-    left = checkpointed(placed.join(mixed, "key"))
-    sizes = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
-    top = top.select((F.col("key") + F.lit(0)).alias("key"), "main", blocks("n_main").alias("main_blocks"), F.greatest(F.lit(1), F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK)).cast("int").alias("rest_blocks"))
-    rows = left.join(top, "key").withColumn("in_main", F.col("component") == F.col("main"))
+    placed = members.join(found.select(F.col("id").alias("doc"), "component"), "doc", "left").select("key", "band", "hub", "doc", F.coalesce("component", "doc").alias("component"))
+    placed = checkpointed(placed)
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all")).where("n_all > n_main")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    top = top.select((F.col("key") + F.lit(0)).alias("key"), "main", blocks(F.col("n_main")).alias("main_blocks"), blocks(F.col("n_all") - F.col("n_main")).alias("rest_blocks"))
     own = F.pmod(F.xxhash64("doc"), F.when(F.col("in_main"), F.col("main_blocks")).otherwise(F.col("rest_blocks"))).cast("int")
+    rows = placed.where("doc != hub").join(top, "key").withColumn("in_main", F.col("component") == F.col("main")).withColumn("own", own)
+    facts = ["size", "lacks", "adds"]
+    known = measured.select(F.col("a").alias("hub"), F.col("b").alias("doc"), *facts)
+    rows = rows.join(known, ["hub", "doc"], "left").join(marks.select("doc", "marks"), "doc")
     others = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    spots = F.when(F.col("in_main"), F.transform(others("rest_blocks"), lambda r: F.struct(F.lit(True).alias("across"), r.alias("i"), F.col("own").alias("j")))).otherwise(
-        F.concat(F.transform(others("main_blocks"), lambda m: F.struct(F.lit(True).alias("across"), F.col("own").alias("i"), m.alias("j"))), F.transform(others("rest_blocks"), lambda r: F.struct(F.lit(False).alias("across"), F.least(r, F.col("own")).alias("i"), F.greatest(r, F.col("own")).alias("j"))))
-    )
-    dealt = rows.withColumn("own", own).select("key", "doc", "component", "in_main", "own", F.inline(spots))
-    dealt = dealt.join(marks.select("doc", "marks"), "doc")
+    spot = lambda across, i, j: F.struct(F.lit(across).alias("across"), i.alias("i"), j.alias("j"))
+    mine = F.col("own")
+    spots = F.when(F.col("in_main"), F.transform(others("rest_blocks"), lambda r: spot(True, r, mine))).otherwise(F.concat(F.transform(others("main_blocks"), lambda m: spot(True, mine, m)), F.transform(others("rest_blocks"), lambda r: spot(False, F.least(r, mine), F.greatest(r, mine)))))
+    dealt = rows.select("key", "band", "doc", "component", "in_main", "own", *facts, "marks", F.inline(spots))
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         doc, comp, own_block = (table.column(c).to_numpy() for c in ("doc", "component", "own"))
         in_main = np.asarray(table.column("in_main").to_pylist(), bool)
         marks_of = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint16).reshape(table.num_rows, -1)
-        across, i, j = (table.column(c)[0].as_py() for c in ("across", "i", "j"))
-        left_side = np.flatnonzero(~in_main if across else own_block == i)
-        right_side = np.flatnonzero(in_main if across else own_block == j)
-        a, b = [], []
-        for k in left_side:
-            other = right_side[(comp[right_side] != comp[k]) & ((doc[right_side] > doc[k]) if not across and i == j else True)]
-            near = other[(marks_of[other] == marks_of[k]).mean(axis=1) >= ESTIMATE]
-            a += [min(doc[k], x) for x in doc[near]]
-            b += [max(doc[k], x) for x in doc[near]]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        across, i, j, band = (table.column(c)[0].as_py() for c in ("across", "i", "j", "band"))
+        left = np.flatnonzero(~in_main if across else own_block == i)
+        right = np.flatnonzero(in_main if across else own_block == j)
+        hub_size = table.column("size").to_numpy().astype(float)
+        exact = ~np.isnan(hub_size)
+        sets = [table.column(c).combine_chunks().fill_null([]) for c in ("lacks", "adds")]
+        lacking, adding = (np.diff(x.offsets.to_numpy()).astype(float) for x in sets)
+        both_lack, both_add = (_shared(x, left, right) for x in sets)
+        sizes = hub_size - lacking + adding
+        parent = {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        out = []
+        for at, k in enumerate(left):
+            wanted = comp[right] != comp[k]
+            if not across and i == j:
+                wanted &= doc[right] > doc[k]
+            sure = wanted & exact[right] & exact[k]
+            inter = hub_size[k] - (lacking[k] + lacking[right] - both_lack[at]) + both_add[at]
+            # 32 bits of a shingle may collide: one in a hundred thousand pairs gets an intersection too large, and is measured in vain
+            near = sure & (inter >= threshold * (sizes[k] + sizes[right] - inter) - 1e-9)
+            for m in right[near]:
+                x, y = root(comp[k]), root(comp[m])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((doc[k], doc[m]))
+            maybe = right[wanted & ~sure]
+            equal = marks_of[maybe] == marks_of[k]
+            likely = equal.mean(axis=1) >= LIKELY
+            maybe, equal = maybe[likely], equal[likely]
+            first = equal[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+            out += [(doc[k], doc[m]) for m in maybe[first]]
+        a, b = (np.array([f(o[0], o[1]) for o in out], np.int64) for f in (min, max))
+        return pa.table({"a": a, "b": b})
 
     return dealt.groupBy("key", "across", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -181,8 +248,8 @@ def _rest(members: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id (smallest id of its group) of every distinct non-null document id.
 
-    Two documents are linked if their texts are equal or their shingles' similarity is at
-    least ``threshold``; groups are the links' components. A text of under five words is one
+    Two documents are linked if their texts are equal or the Jaccard similarity of their
+    shingle sets is at least ``threshold``; groups are the links' components. A text of under five words is one
     shingle. Null texts link with nothing; texts without a word only with equal ones.
     Rows with one id are one document. Null ids are left out. Ids are longs.
     """
@@ -190,17 +257,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     every = checkpointed(sketch(docs))
     # equal texts: one vertex, the smallest id; partial aggregation merges copies before the shuffle
     unique = checkpointed(every.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("marks").alias("marks")))
-    keyed = unique.select("doc", F.explode("bands").alias("key"))
+    keyed = unique.select("doc", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select((F.col("key") + F.lit(0)).alias("key"), "n")
-    members = checkpointed(keyed.join(shared, "key").select("key", "doc", "n"))
+    members = checkpointed(keyed.join(shared, "key").select("key", "band", "doc", "n"))
     degree = spread(members.groupBy("doc").agg(F.sum("n").alias("degree")), "doc")
     hubs = members.join(degree, "doc").groupBy("key").agg(F.max_by("doc", F.struct("degree", -F.col("doc"))).alias("hub"))
-    spokes = members.join(hubs.select((F.col("key") + F.lit(0)).alias("key"), "hub"), "key").where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    links = checkpointed(_verified(checkpointed(_agreeing(spokes, unique)), docs, threshold))
+    members = checkpointed(members.join(spread(hubs, "key"), "key").select("key", "band", "hub", "doc"))
+    spokes = members.where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
+    measured = checkpointed(_measured(checkpointed(_agreeing(spokes, unique)), docs))
+    links = _linked(measured, threshold)
     found = components(links)
-    rest = checkpointed(_rest(members, found, unique))
-    if rest.head() is not None:
-        links = links.union(checkpointed(_verified(rest, docs, threshold)))
+    rest = checkpointed(_rest(members, measured, found, unique, threshold))
+    if rest.agg(F.count("*")).head()[0]:
+        links = links.union(checkpointed(_linked(_measured(rest, docs), threshold)))
         found = components(links)
     named = unique.select("digest", "doc").join(found.withColumnRenamed("id", "doc"), "doc", "left").select(F.concat("digest", F.lit(b"")).alias("digest"), F.coalesce("component", "doc").alias("class_id"))
     linked = every.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")

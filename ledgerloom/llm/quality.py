@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .graph import checkpointed
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The rules' ratios, and the largest value of each grid.
@@ -162,5 +163,6 @@ def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang", min_words
 
 def rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
     """The verdict on every document; see ``judge``."""
-    measured = signals(docs, keep=(stratum,))
+    # a few numbers a document, read by both the calibration and the verdict
+    measured = checkpointed(signals(docs, keep=(stratum,)))
     return judge(measured, cutoffs(measured, labels, stratum, risk), stratum)
