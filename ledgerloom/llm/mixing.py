@@ -111,7 +111,8 @@ def mix(docs: DataFrame, block_words: int = 64, shard_rows: int = 256, repeat: i
     sources = sources.select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), "source_size", "target", F.least(F.ceil(F.col("_rows") / shard_rows), F.lit(MAX_SHARDS)).cast("int").alias("_shards"), F.col("quota").alias("_source_quota"))
 
     keyed = sized.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
-    placed = keyed.join(sources, ["_source", "_none"]).withColumn("_shard", F.pmod(F.col("_seed"), F.col("_shards")).cast("int"))
+    # a source may hold a third of all rows: without a known partitioning by source, the join may be split and shards are dealt out anew
+    placed = keyed.join(sources, ["_source", "_none"]).withColumn("_source", F.concat("_source", F.lit(""))).withColumn("_shard", F.pmod(F.col("_seed"), F.col("_shards")).cast("int"))
     by = ["_source", "_none", "_shard"]
     shards = placed.groupBy(*by).agg(F.sum("size").alias("_shard_size"), F.first("_source_quota").alias("_source_quota"))
     shards = apportion(shards, ["_source", "_none"], "_shard_size", "_source_quota", ["_shard"])
