@@ -5,6 +5,8 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -34,5 +36,5 @@ def test_entry_and_some_queries_match_duckdb(spark):
     for name in SOME:
         got, want = entry.queries()[name](spark, SMALL).toPandas(), db.sql(entry.oracle_sql()[name]).df()
         assert sorted(got.columns) == sorted(want.columns), name
-        plain = lambda df: sorted(tuple("" if v is None or v != v else round(float(v), 3) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+        plain = lambda df: sorted(tuple("" if v is None or v is pd.NA or v != v else round(float(v), 3) if isinstance(v, (int, float, np.integer)) and not isinstance(v, bool) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
         assert plain(got) == plain(want), name
