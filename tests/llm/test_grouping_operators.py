@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import embeddings, graph, kernels, linededup, mixing, neardup
+from ledgerloom.llm import embeddings, graph, kernels, linededup, mixing, neardup, quality
 
 
 def united(ids, pairs):
@@ -99,6 +99,26 @@ def test_near_dedup_beyond_the_hub(spark):
     assert got == united(range(len(texts)), pairs)
 
 
+def test_near_dedup_of_copies_that_repeat_a_passage(spark):
+    """A passage that one copy has 40 times and the other once counts once."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(24):
+        words = [f"p{k}x{rng.randint(0, 90_000)}" for _ in range(339)]
+        passage = [f"q{k}x{rng.randint(0, 90_000)}" for _ in range(64)]
+        texts += [" ".join(passage * 40 + words[:304]), " ".join(passage + words[28:])]
+    alike = [brute_similarity(texts[i], texts[i + 1]) for i in range(0, len(texts), 2)]
+    assert 0.8 <= min(alike) and max(alike) < 0.85
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
+def test_near_dedup_misses_as_few_pairs_by_registers_as_by_bands():
+    bands = (1 - neardup.THRESHOLD**neardup.ROWS) ** neardup.BANDS
+    for least in (neardup.ESTIMATE, neardup.LIKELY):
+        assert quality.binomial_tail(math.ceil(least * neardup.REGISTERS) - 1, neardup.REGISTERS, neardup.THRESHOLD) <= bands
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(1)
     elements = rng.integers(1, 1 << 62, 300).astype(np.uint64)
