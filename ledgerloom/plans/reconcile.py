@@ -11,7 +11,12 @@ NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9 ]
 ROWS = ["txn_id", "user_id", "account_id", "txn_date", "amount", "txn_type", "description", "merchant"]
 
 
+def _rows(b):
+    return b.base.select(*ROWS, F.lit("OK").alias("status"))
+
+
 def _year(b):
+    """The rows that the SQL twins look at; queries without SQL take all."""
     return b.base.where("ym like '2000%'").select(*ROWS, F.lit("OK").alias("status"))
 
 
@@ -29,7 +34,7 @@ WHERE contains(a.norm, 'payment') AND NOT regexp_matches(a.norm, '\\b(salary|pay
 
 
 def d2(b):
-    return R.transfers(R.transfer_candidates(_year(b)))
+    return R.transfers(R.transfer_candidates(_rows(b)))
 
 
 def d3_edges(b):
@@ -41,7 +46,7 @@ def d3_best(b):
 
 
 def d3(b):
-    return R.refunds(R.refund_candidates(_year(b)))
+    return R.refunds(R.refund_candidates(_rows(b)))
 
 
 D3_EDGES = f"""{V.BASE}, r AS (SELECT *, {NORM.format('description')} AS norm FROM base WHERE ym LIKE '2000%'),

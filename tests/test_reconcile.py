@@ -2,11 +2,14 @@
 
 from datetime import date, datetime, timedelta
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import analytics as A
 from ledgerloom.operators import reconcile as R
+from ledgerloom.plans import reconcile as plan
 
 SCHEMA = "txn_id string, user_id long, account_id long, txn_date date, amount decimal(14,2), txn_type string, description string, merchant string, status string, created_at timestamp, confirmed_at timestamp"
 DAY = date(2024, 3, 10)
@@ -110,6 +113,15 @@ def test_refunds_use_up_the_purchase(frame):
     assert refunds(frame, *rows) == {("i1", "e"), ("i3", "e")}
 
 
+def test_queries_without_sql_reconcile_every_year(spark, frame):
+    new_year = (date(1999, 12, 30) - DAY).days
+    book = lambda *rows: SimpleNamespace(base=frame(rows).drop("status").withColumn("ym", F.date_format("txn_date", "yyyy-MM")))
+    moved = book(row("a", text="payment", days=new_year), row("b", kind="INCOME", account=2, days=new_year + 3), row("c", text="payment", days=new_year - 900), row("d", kind="INCOME", account=2, days=new_year - 899))
+    assert {tuple(r) for r in plan.d2(moved).collect()} == {("a", "b"), ("c", "d")}
+    returned = book(row("e", days=new_year), row("i", kind="INCOME", days=new_year + 150), row("f", days=new_year - 900), row("j", kind="INCOME", days=new_year - 890))
+    assert {tuple(r) for r in plan.d3(returned).collect()} == {("i", "e"), ("j", "f")}
+
+
 LEDGER = "txn_id string, user_id long, txn_date date, ym string, merchant string, category string, amount decimal(14,2), txn_type string, duplicate_of string, is_transfer boolean, refund_of string, status string"
 
 
