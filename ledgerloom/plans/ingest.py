@@ -74,7 +74,7 @@ SELECT template, status, count(*) AS pages, CAST(sum(CASE WHEN status = 'PARSED'
 
 
 def s16(b):
-    runs = b.table("lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("long").alias("page"), F.col("l_discount").alias("x"), F.col("l_quantity").alias("y"), F.col("l_returnflag").alias("text"))
+    runs = b.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("long").alias("page"), F.col("l_discount").alias("x"), F.col("l_quantity").alias("y"), F.col("l_returnflag").alias("text"))
     return statements.physical_rows(runs)
 
 

@@ -2,11 +2,13 @@
 
 from datetime import date
 from decimal import Decimal
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import enrich, layouts, platform, verify
+from ledgerloom.plans import ingest
 from ledgerloom.sources import sinks, statements
 
 CSV = 'My Bank\nName: A B\nAccount No: XX9876\nTxn Date,Narration,Withdrawal Amt.,Deposit Amt.,Closing Balance\n01/02/2024,"Shop, one",100.00,0.00,900.00\n02/02/2024,Pay in,,"1,250.50","2,150.50"\n,No date,5.00,,\n03/02/2024,Opening Balance,,,900.00\n04/02/2024,No amount,,,\n'
@@ -119,3 +121,9 @@ def test_upserts_and_change_sets(spark, tmp_path):
     manifest = sinks.export({"t": rows}, str(tmp_path / "out"))
     assert sorted(map(tuple, manifest.collect())) == [(1, 2, "t"), (2, 1, "t")]
     assert spark.read.json(str(tmp_path / "out" / "t")).count() == 3
+
+
+def test_physical_rows_of_every_document(spark):
+    items = spark.createDataFrame([(k, 1, 0.1, 10.0, "R") for k in range(1, 8)], "l_orderkey long, l_linenumber int, l_discount double, l_quantity double, l_returnflag string")
+    got = ingest.s16(SimpleNamespace(table=lambda name: items)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1, 8))
