@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 MAX_MODEL_BYTES = 32 << 20
-#: Distinct cuts that a task remembers; beyond this it starts anew.
-CACHE = 1 << 20
+#: Bytes of text that are encoded at once (a longer text by itself), and distinct cuts that go to the libraries at once:
+#: both keep what a task holds small, whatever the table holds. A task remembers the cuts of the chunk before, no others.
+CHUNK, AT_ONCE = 1 << 21, 1 << 13
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -148,7 +149,7 @@ def ragged(starts, lengths):
 
 
 class Codec:
-    """Encodes and decodes batches; remembers distinct cuts within a task."""
+    """Encodes and decodes batches; remembers the last chunk's distinct cuts."""
 
     def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -164,19 +165,33 @@ class Codec:
         self.forget()
 
     def forget(self):
-        self.known = np.zeros(0, np.uint64)
-        self.at, self.size, self.same = (np.zeros(0, np.int64) for _ in range(3))
+        self.known, self.same = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def _learn(self, hashes, texts):
+    def _encoded(self, texts):
+        """ids of the texts end to end, their numbers, and whether the library gives the same."""
         found = [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
-        same = np.array([a == b for a, b in zip(found, self.own.encode(texts, num_threads=1), strict=True)], np.int64)
+        same = [a == b for a, b in zip(found, self.own.encode(texts, num_threads=1), strict=True)]
         size = np.array([len(x) for x in found], np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))])
-        order = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
-        self.known = np.concatenate([self.known, hashes])[order]
-        self.at, self.size, self.same = (np.concatenate(x)[order] for x in ((self.at, at), (self.size, size), (self.same, same)))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size, np.array(same, bool)
+
+    def _learn(self, cuts, spell):
+        """Remember ``cuts`` (sorted hashes) and nothing else; ``spell`` gives the texts of those at the positions it gets."""
+        slot = np.minimum(np.searchsorted(self.known, cuts), max(0, len(self.known) - 1))
+        old = self.known[slot] == cuts if len(self.known) else np.zeros(len(cuts), bool)
+        new = np.flatnonzero(~old)
+        parts = [self._encoded(spell(new[lo : lo + AT_ONCE])) for lo in range(0, len(new), AT_ONCE)]
+        size, same = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), bool)
+        size[old], same[old] = self.size[slot[old]], self.same[slot[old]]
+        for k, lo in enumerate(range(0, len(new), AT_ONCE)):
+            size[new[lo : lo + AT_ONCE]], same[new[lo : lo + AT_ONCE]] = parts[k][1:]
+        at = np.cumsum(size) - size
+        ids = np.zeros(int(size.sum()), np.int32)
+        ids[ragged(at[old], size[old])] = self.ids[ragged(self.at[slot[old]], size[old])]
+        if parts:
+            ids[ragged(at[new], size[new])] = np.concatenate([p[0] for p in parts])
+        self.known, self.at, self.size, self.same, self.ids = cuts, at, size, same, ids
 
     def encode(self, data, offsets):
         """ids of all texts end to end, their offsets, and whether every cut has the library's own ids."""
@@ -198,17 +213,14 @@ class Codec:
         hashes = K.span_hashes(data, starts, ends)
         hashes = np.where(first, K.mix(hashes), hashes)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > CACHE:
-            self.forget()
-        new = ~np.isin(distinct, self.known)
-        if new.any():
-            raw = data.tobytes()
-            self._learn(distinct[new], [(MARK if first[w] else "") + raw[starts[w] : ends[w]].decode("utf-8", "replace").replace(" ", MARK) for w in where[new]])
-        slot = np.searchsorted(self.known, distinct)[inverse]
+        raw = data.tobytes()
+        mark = lambda w: MARK if first[w] else ""
+        self._learn(distinct, lambda at: [mark(w) + raw[starts[w] : ends[w]].decode("utf-8", "replace").replace(" ", MARK) for w in where[at]])
+        slot = inverse
         size = self.size[slot]
         ids = self.ids[ragged(self.at[slot], size)]
         count = np.bincount(docs, size, minlength=len(offsets) - 1).astype(np.int64)
-        odd = np.bincount(docs, 1 - self.same[slot], minlength=len(offsets) - 1)
+        odd = np.bincount(docs[~self.same[slot]], minlength=len(offsets) - 1)
         return ids, np.concatenate([[0], np.cumsum(count)]), odd == 0
 
     def decode(self, ids, offsets):
@@ -238,7 +250,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         codec = Codec(shared.value, threads)
-        for part, data, offsets in K.chunks(batches, "text", 1 << 22):
+        for part, data, offsets in K.chunks(batches, "text", CHUNK):
             ids, at, parity = codec.encode(data, offsets)
             back, cuts = codec.decode(ids, at)
             if codec.steps is None and np.array_equal(cuts, offsets) and np.array_equal(back, data):
