@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule compares one ratio of a text with a cutoff. Labelled documents decide
-the cutoffs: for every stratum, rule and grid point an exact binomial test asks
-whether the share of good documents that the cutoff rejects is at most ``alpha``.
-Cutoffs that pass at ``delta`` divided by the number of all tests (Bonferroni) are
-certified; of those the one that catches most bad documents, less ``price`` for each good
-one, is used. A stratum or rule with nothing certified and useful rejects nothing.
+Each rule compares one ratio of a text with a cutoff. Labelled documents that pass the base rules
+decide the cutoffs, stratum by stratum. Half of them, by a hash of the id, propose a ladder of
+cutoffs for all rules together, from strict to bold. The other half, the holdout, is read
+once: for the steps of the ladder in order, an exact binomial test asks whether the share of good documents
+that *any* rule rejects is at most ``alpha``, and the first step that fails ends the climb. Testing in a fixed
+order needs no correction for the steps; strata are corrected for by Bonferroni (``delta`` over their
+number). So with probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good documents to all
+rules together. Of the certified steps the one is used that catches most bad documents, less ``price`` for each good
+one; a stratum with nothing certified or useful rejects nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: The rules' ratios, and the largest value of each grid.
 RULES = {"symbols": 0.5, "dup_lines": 1.0, "repeats": 1.0, "upper": 1.0, "word_length": 20.0}
 GRID = 40
+#: Steps of the ladder, and strata up to which their cutoffs are broadcast.
+STEPS, MAX_STRATA = 20, 20_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
@@ -91,78 +96,137 @@ def ratios() -> dict:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(Binomial(n, p) <= k), exactly summed."""
+    """P(Binomial(n, p) <= k), summed term by term; terms under 1e-300 of the largest are left out."""
     if k >= n:
         return 1.0
-    i = np.arange(k + 1)
-    logs = np.array([math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) for x in i]) + i * math.log(p) + (n - i) * math.log1p(-p)
+    if k < 0:
+        return 0.0
+    low = max(0, int(min(k, n * p) - 40 * math.sqrt(n * p * (1 - p))) - 40)
+    at = math.lgamma(n + 1) - math.lgamma(low + 1) - math.lgamma(n - low + 1) + low * math.log(p) + (n - low) * math.log1p(-p)
+    i = np.arange(low, k, dtype=float)
+    logs = at + np.concatenate([[0.0], np.cumsum(np.log((n - i) / (i + 1)) + math.log(p) - math.log1p(-p))])
     return float(min(1.0, np.exp(logs - logs.max()).sum() * math.exp(logs.max())))
 
 
-def choose(bins: pd.DataFrame, tests: int, risk: Risk = Risk()) -> float | None:
-    """The cutoff of one stratum and rule, from its labelled counts (bin, good, bad); None: reject nothing.
+def _from_above(counts: pd.DataFrame, at: str, size: int):
+    """Good and bad documents at each value of ``at``, summed from the largest value down."""
+    out = []
+    for kind in ("good", "bad"):
+        total = np.zeros(size)
+        np.add.at(total, counts[at].to_numpy(), counts[kind].to_numpy())
+        out.append(total[::-1].cumsum()[::-1])
+    return out
 
-    Bin b holds ratios in (b, b + 1] grid steps; the cutoff at step b rejects the bins from b on.
+
+def ladder(bins: pd.DataFrame, risk: Risk = Risk()) -> list[int]:
+    """A rule's cutoff at each of STEPS steps, from its counts (bin, good, bad); GRID + 1 rejects nothing.
+
+    Bin b holds ratios in (b, b + 1] grid steps; a cutoff at b rejects the bins from b on. Step t may lose t / STEPS
+    of ``alpha`` of the good documents; of such cutoffs the most valuable is taken, of equal ones the highest. So
+    cutoffs never rise from step to step.
     """
-    good, bad = np.zeros(GRID + 1), np.zeros(GRID + 1)
-    np.add.at(good, bins["bin"].to_numpy(), bins["good"].to_numpy())
-    np.add.at(bad, bins["bin"].to_numpy(), bins["bad"].to_numpy())
-    n = int(good.sum())
-    lost, caught = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
-    best, gain = None, 0.0
-    for b in range(GRID, 0, -1):
-        value = caught[b] - risk.price * lost[b]
-        if value > gain and n and binomial_tail(int(lost[b]), n, risk.alpha) <= risk.delta / tests:
-            best, gain = b, value
+    lost, caught = _from_above(bins, "bin", GRID + 1)
+    cuts, best, gain = [], GRID + 1, 0.0
+    b = GRID
+    for t in range(1, STEPS + 1):
+        while b > 0 and lost[b] <= risk.alpha * t / STEPS * lost[0]:
+            if caught[b] - risk.price * lost[b] > gain:
+                best, gain = b, caught[b] - risk.price * lost[b]
+            b -= 1
+        cuts.append(best)
+    return cuts
+
+
+def certified(levels: pd.DataFrame, strata: int, risk: Risk = Risk()) -> int:
+    """The step to use, from the holdout's counts (level, good, bad), where level is the first step that rejects; 0: none."""
+    good, bad = np.zeros(STEPS + 2), np.zeros(STEPS + 2)
+    np.add.at(good, levels["level"].to_numpy(), levels["good"].to_numpy())
+    np.add.at(bad, levels["level"].to_numpy(), levels["bad"].to_numpy())
+    n, lost, caught = int(good.sum()), good.cumsum(), bad.cumsum()
+    best, gain = 0, 0.0
+    for t in range(1, STEPS + 1):
+        if not n or binomial_tail(int(lost[t]), n, risk.alpha) > risk.delta / strata:
+            break
+        if caught[t] - risk.price * lost[t] > gain:
+            best, gain = t, caught[t] - risk.price * lost[t]
     return best
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
-    """stratum and a cutoff for each rule (null: none), from labels (doc_id, good: 1 or 0).
+def failed_base(min_words: int = 50, max_repeat: int = 50):
+    """Under ``min_words`` words, or more than ``max_repeat`` percent of them repeat."""
+    return (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
 
-    Repeated labels of a document count as good if one is; null labels and ids are
-    left out. Only counts a stratum, rule and grid point are gathered, and each
-    stratum is decided in its own small group.
-    """
-    known = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
-    of = ratios()
-    step = lambda r: F.least(F.lit(GRID), F.greatest(F.lit(0), F.ceil(of[r] / F.lit(RULES[r] / GRID)) - 1)).cast("int")
-    rows = measured.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.col(stratum).isNull().alias("none"), F.array(*[F.struct(F.lit(r).alias("rule"), step(r).alias("bin")) for r in RULES]).alias("at"))
-    counted = rows.join(known, "doc_id").select("stratum", "none", "good", F.inline("at")).groupBy("stratum", "none", "rule", "bin").agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad"))
-    strata = counted.select("stratum", "none").distinct().agg(F.count("*").alias("strata"))
-    names = list(RULES)
 
-    def decide(part: pd.DataFrame) -> pd.DataFrame:
-        tests = int(part["strata"].iloc[0]) * len(names) * GRID
-        row = {"stratum": part["stratum"].iloc[0], "none": bool(part["none"].iloc[0])}
-        for r in names:
-            b = choose(part[part["rule"] == r], tests, risk)
-            row[r] = None if b is None else b * RULES[r] / GRID
-        return pd.DataFrame([row]).astype({r: "float64" for r in names})
+def _in_strata(measured: DataFrame, stratum: str) -> DataFrame:
+    return measured.withColumn("stratum", F.coalesce(F.col(stratum), F.lit(""))).withColumn("none", F.col(stratum).isNull())
 
-    kinds = ", ".join(f"cut_{r} double" for r in names)
-    return counted.join(F.broadcast(strata)).groupBy("stratum", "none").applyInPandas(lambda p: decide(p).rename(columns={r: f"cut_{r}" for r in names}), f"stratum string, none boolean, {kinds}")
 
+def _beside(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """``rows`` with their stratum's row of a checkpointed ``table``, which is broadcast while it is small."""
+    few = table.limit(MAX_STRATA + 1).count() <= MAX_STRATA
+    return rows.join(F.broadcast(table) if few else table, ["stratum", "none"], how)
 
-def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang", min_words: int = 50, max_repeat: int = 50) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept.
 
-    A document fails the base if it has under ``min_words`` words or over ``max_repeat`` percent
-    of them repeat; it is kept if it passes and no ratio is above its stratum's cutoff.
-    """
+def bins() -> dict:
+    """Each rule's grid bin, 0 to GRID, as a column over ``signals``."""
     of = ratios()
-    m = measured.withColumn("stratum", F.coalesce(F.col(stratum), F.lit(""))).withColumn("none", F.col(stratum).isNull())
-    failed = (F.col("n_words") < min_words) | (F.lit(100) * F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
+    at = lambda r: F.ceil(of[r] / F.lit(RULES[r] / GRID)) - 1
+    return {r: F.least(F.lit(GRID), F.greatest(F.lit(0), at(r))).cast("int") for r in RULES}
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
+    """stratum, none (the stratum is null) and each rule's cutoff as a grid bin, from labels (doc_id, good: 1 or 0).
+
+    A cutoff rejects its bin and those above, GRID + 1 nothing; a stratum without a row rejects nothing.    Repeated labels of a document count as good if one is; null labels and ids are left out. Only counts
+    leave the rows: by stratum, rule and grid point for the ladders, by stratum and step for the
+    holdout; each stratum is decided in its own small group.
+    """
+    known = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
+    of, names = bins(), list(RULES)
+    rows = _in_strata(measured.where(~failed_base()), stratum).join(known, "doc_id")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2))
+    labelled = checkpointed(rows.select("stratum", "none", half.alias("half"), "good", *[of[r].alias(f"bin_{r}") for r in names]))
+    tally = [F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad")]
+    at = F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bin_{r}").alias("bin")) for r in names]))
+    counted = labelled.where("half = 0").select("stratum", "none", "good", at).groupBy("stratum", "none", "rule", "bin").agg(*tally)
+
+    def climb(part: pd.DataFrame) -> pd.DataFrame:
+        steps = {f"cuts_{r}": [ladder(part[part["rule"] == r], risk)] for r in names}
+        return pd.DataFrame({"stratum": part["stratum"].iloc[:1].to_list(), "none": part["none"].iloc[:1].to_list(), **steps})
+
+    kinds = ", ".join(f"cuts_{r} array<int>" for r in names)
+    ladders = checkpointed(counted.groupBy("stratum", "none").applyInPandas(climb, f"stratum string, none boolean, {kinds}"))
+    strata = max(1, ladders.count())
+    above = lambda r: F.size(F.filter(f"cuts_{r}", lambda c: c > F.col(f"bin_{r}")))
+    level = F.least(*map(above, names)) + 1
+    held = _beside(labelled.where("half = 1"), ladders, "inner").groupBy("stratum", "none", level.alias("level")).agg(*tally)
+
+    def certify(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"stratum": part["stratum"].iloc[:1], "none": part["none"].iloc[:1], "used": [certified(part, strata, risk)]})
+
+    used = held.groupBy("stratum", "none").applyInPandas(certify, "stratum string, none boolean, used int").where("used > 0")
+    cuts = [F.element_at(f"cuts_{r}", F.col("used")).alias(f"cut_{r}") for r in names]
+    return ladders.join(used, ["stratum", "none"]).select("stratum", "none", *cuts)
+
+
+def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
+    """doc_id, the base counts, base_failed and kept: the base holds and no rule's bin reaches its stratum's cutoff."""
+    of = bins()
     over = F.lit(False)
     for r in RULES:
-        # a NaN cutoff means none as well
-        over = over | F.coalesce((of[r] > F.col(f"cut_{r}")) & ~F.isnan(f"cut_{r}"), F.lit(False))
-    joined = m.join(cuts, ["stratum", "none"], "left")
-    return joined.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & ~over).alias("kept"))
+        over = over | F.coalesce(of[r] >= F.col(f"cut_{r}"), F.lit(False))
+    joined = _beside(_in_strata(measured, stratum), checkpointed(cuts), "left")
+    return joined.select("doc_id", *BASE, failed_base().alias("base_failed"), (~failed_base() & ~over).alias("kept"))
 
 
 def rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
-    """The verdict on every document; see ``judge``."""
+    """doc_id, the base counts, base_failed and kept of every row.
+
+    Null and empty texts have no words and fail the base. Rows with a null or repeated id are judged one by one;
+    a label counts for every row of its id. A null stratum is one of its own. Other columns are ignored, whatever
+    their names. Without labels, or on an empty table, no cutoff is set.
+    """
+    docs = docs.select("doc_id", "text", F.col(stratum).cast("string").alias("lang"))
     # a few numbers a document, read by both the calibration and the verdict
-    measured = checkpointed(signals(docs, keep=(stratum,)))
-    return judge(measured, cutoffs(measured, labels, stratum, risk), stratum)
+    measured = checkpointed(signals(docs))
+    return judge(measured, cutoffs(measured, labels.select("doc_id", "good"), "lang", risk), "lang")
