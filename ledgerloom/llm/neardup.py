@@ -126,7 +126,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs with the exact similarity of their texts; both joins read one exchange of the texts.
 
-    With a's number of shingles, and 32 bits of each that b lacks and of each that b has beyond them.
+    With a's number of shingles, and the hashes of those that b lacks and of those that b has beyond them.
     """
 
     def run(batches):
@@ -138,15 +138,15 @@ def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 less, more = np.setdiff1d(a, b, True), np.setdiff1d(b, a, True)
                 found.append((len(a) - len(less)) / max(1, len(a) + len(more)))
                 size.append(len(a))
-                lacks.append((less >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                adds.append((more >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            sets = [pa.array(v, pa.list_(pa.int32())) for v in (lacks, adds)]
+                lacks.append(less.view(np.int64))
+                adds.append(more.view(np.int64))
+            sets = [pa.array(v, pa.list_(pa.int64())) for v in (lacks, adds)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64()), pa.array(size, pa.int64()), *sets], ["a", "b", "similarity", "size", "lacks", "adds"])
 
     texts = _packed(docs)
     first = pairs.join(texts.withColumnRenamed("packed", "y"), F.col("b") == F.col("doc_id")).select("a", "b", "y")
     joined = first.join(texts.withColumnRenamed("packed", "x"), F.col("a") == F.col("doc_id")).select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long, similarity double, size long, lacks array<int>, adds array<int>")
+    return joined.mapInArrow(run, "a long, b long, similarity double, size long, lacks array<long>, adds array<long>")
 
 
 def _linked(measured: DataFrame, threshold: float) -> DataFrame:
@@ -226,7 +226,7 @@ def _rest(members: DataFrame, measured: DataFrame, found: DataFrame, marks: Data
                 wanted &= doc[right] > doc[k]
             sure = wanted & exact[right] & exact[k]
             inter = hub_size[k] - (lacking[k] + lacking[right] - both_lack[at]) + both_add[at]
-            # 32 bits of a shingle may collide: one in a hundred thousand pairs gets an intersection too large, and is measured in vain
+            # whole hashes on both sides: what is near here is a link when it is measured, so it may join components
             near = sure & (inter >= threshold * (sizes[k] + sizes[right] - inter) - 1e-9)
             for m in right[near]:
                 x, y = root(comp[k]), root(comp[m])
@@ -251,7 +251,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     Two documents are linked if their texts are equal or the Jaccard similarity of their
     shingle sets is at least ``threshold``; groups are the links' components. A text of under five words is one
     shingle. Null texts link with nothing; texts without a word only with equal ones.
-    Rows with one id are one document. Null ids are left out. Ids are longs.
+    Rows with one id are one document, in the smaller class if their texts differ. Null ids are left out. Ids are longs.
+    Ties go to the smallest id, and columns other than the two named don't matter, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = checkpointed(sketch(docs))
@@ -279,7 +280,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its group; rows with a null id stay, and of rows with one id one."""
+    """The rows of ``docs``, all columns, whose doc_id names its group.
+
+    Rows with a null id stay; of rows with one id any one stays; a null text is a group of its own; equal texts, empty
+    ones too, are one group.
+    """
     first = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("__near_kept"))
     kept = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("__near_kept"), "left_semi")
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0]
