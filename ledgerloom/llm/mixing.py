@@ -19,6 +19,8 @@ from .graph import checkpointed
 WORD = r"[^\x20\x09-\x0D]+"
 #: A source's shards; their sizes and quotas are one row each.
 MAX_SHARDS = 1 << 16
+#: Sources are ranked among each other in one task, a row of some numbers each; more than this are refused.
+MAX_SOURCES = 1 << 20
 
 
 def words(text_col: str = "text") -> Column:
@@ -102,8 +104,12 @@ def mix(docs: DataFrame, block_words: int = 64, shard_rows: int = 256, repeat: i
     and size alone, so reruns agree; rows alike in both tie, and any order of them gives
     the same result.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"), seeded(seed, id_col).alias("_seed"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
+    # a few numbers a row, read by all that follows, so texts are read once
+    named = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")]
+    sized = checkpointed(docs.select(*named, words(text_col).alias("size"), seeded(seed, id_col).alias("_seed")))
+    sources = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
+    if sources.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     sources = targets(sources.withColumn("weight", (number - 1) % 3 + 1), repeat)
     sources = sources.withColumn("_blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block_words + 0.5).cast("long"))
