@@ -1,4 +1,4 @@
-"""Line dedup: repeated runs of lines, from ranks by distributed prefix doubling.
+"""Line dedup: repeated runs of lines, from ranks by distributed prefix doubling, without completing the suffix array.
 
 Lines that hold a word are numbered in sorted order, and the corpus is a sequence of these
 numbers for each document. Prefix doubling ranks the suffixes by their first 1, 2, 4, ... lines:
@@ -25,8 +25,6 @@ from . import kernels as K
 from .graph import checkpointed
 
 MIN_WORDS = 50
-
-
 KEY = ["doc_id", "tkey"]
 
 
@@ -74,7 +72,8 @@ def _stretches(docs: DataFrame, min_words: int) -> DataFrame:
     idx numbers a document's lines that hold a word, run its stretches, upto sums the words
     of a stretch; rank is the line's number in sorted order.
     """
-    every = lines(docs)
+    # a few numbers a line, read by the count and by the join
+    every = checkpointed(lines(docs))
     seen = every.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1")
     numbers = _numbered(seen.select("h", "g"))
     known = every.join(numbers, (every["h"] == numbers["k1"]) & (every["g"] == numbers["k2"]), "left")
