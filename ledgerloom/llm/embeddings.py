@@ -24,7 +24,10 @@ THRESHOLD = 0.9
 RECALL = 0.98
 #: Codebooks are fitted on at most about this many vectors; every vector is indexed.
 SAMPLE = 8192
-STORED, VISITING = 512, 1024
+STORED, VISITING = 1024, 4096
+#: Vectors that a cell is to hold, on which the size of the codebooks depends up to MAX_WORDS: a vector travels once for every
+#: cell that it visits, and larger cells need fewer visits, while comparing a block of them is one product of matrices.
+IN_CELL = 512
 MAX_WORDS = 512
 
 
@@ -72,7 +75,7 @@ class Index:
 
     def __init__(self, sample, rows, threshold=THRESHOLD, recall=RECALL, seed=5):
         self.half = sample.shape[1] // 2 or 1
-        k = int(min(MAX_WORDS, max(1, 2 ** round(np.log2(max(rows, 1)) / 3)), max(1, len(sample))))
+        k = int(min(MAX_WORDS, max(1, 2 ** round(np.log2(max(rows / IN_CELL, 1)) / 2)), max(1, len(sample))))
         self.books = codebook(sample[:, : self.half], k), codebook(sample[:, self.half :], k) if sample.shape[1] > self.half else np.zeros((1, 0))
         order = np.random.default_rng(seed)
         x = sample[order.choice(len(sample), 1000)]
@@ -147,34 +150,44 @@ def _compare(threshold):
     return run
 
 
-def link(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _key():
+    """128 bits of a vector, by which its copies find it again."""
+    return F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("second"), "embedding").alias("h2")
+
+
+def link(
+    vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
-    Vectors are linked if their cosine is at least ``threshold``: no link is below it, and
+    Vectors of one length are linked if their cosine is at least ``threshold``: no link is below it, and
     of the others at least ``recall`` is expected. n_links counts other rows, equal
     vectors included; component_id is the smallest vec_id reachable. Vectors that are null,
-    zero, of another length than most, or hold null or non-finite components, and
-    rows with a null id, link with nothing. Rows with one id are vectors of their own.
+    empty, zero, or hold null or non-finite components, and rows with a null id, link with nothing, nor do vectors of
+    different lengths. Rows with one id are vectors of their own. Each length has an index of its own; tables
+    are expected to have one length or few. Other columns are ignored, whatever their names.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    size = rows.where("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    dim = size[0][0] if size else 0
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not dim:
-        return alone
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    fit = F.coalesce((F.size("embedding") == dim) & ~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull(), F.lit(False))
-    good = rows.where(fit)
+    sound = ~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
+    fit = F.coalesce(sound, F.lit(False))
+    out = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    lengths = rows.where(fit).groupBy(F.size("embedding").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length")
+    for length, _ in lengths.collect():
+        out = out.unionByName(_linked(rows.where(fit & (F.size("embedding") == length)), threshold, recall))
+    return out
+
+
+def _linked(good: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """vec_id, n_links, component_id and kept of sound vectors of one length, of which there is one at least."""
     unique = checkpointed(good.groupBy("embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("times")))
     total = unique.count()
-    if not total:
-        return alone
     share = int(min(1.0, SAMPLE / total) * (1 << 31))
     sample = unique.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 31)) <= share).select("embedding").toArrow()
     if not sample.num_rows:
         sample = unique.limit(1).select("embedding").toArrow()
     index = Index(unit(_matrix(sample.column("embedding"))), total, threshold, recall)
-    shared = rows.sparkSession.sparkContext.broadcast(index)  # two codebooks of at most MAX_WORDS half vectors
+    shared = good.sparkSession.sparkContext.broadcast(index)  # two codebooks of at most MAX_WORDS half vectors
 
     def place(batches):
         for batch in batches:
@@ -184,23 +197,30 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
                 a, b = shared.value.halves(v)
                 visits = [traverse(p, q, shared.value.visits) for p, q in zip(a, b, strict=True)]
                 cells = pa.array(shared.value.cells(v).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("vec", "times", "embedding")], cells, pa.array(visits, pa.list_(pa.int32()))], ["vec", "times", "embedding", "own", "visits"])
+                made = [*[part.column(c) for c in ("vec", "times", "embedding")], cells, pa.array(visits, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(made, ["vec", "times", "embedding", "own", "visits"])
 
-    kind = rows.schema["embedding"].dataType.simpleString()
-    placed = checkpointed(unique.select("vec", "times", "embedding").mapInArrow(place, f"vec long, times long, embedding {kind}, own int, visits array<int>"))
+    kind = good.schema["embedding"].dataType.simpleString()
+    schema = f"vec long, times long, embedding {kind}, own int, visits array<int>"
+    placed = checkpointed(unique.select("vec", "times", "embedding").mapInArrow(place, schema))
     stored = placed.groupBy(F.col("own").alias("cell")).agg(F.count("*").alias("n_stored"))
     coming = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("n_coming"))
     # one small row a cell, of which there are at most MAX_WORDS squared
-    cells = checkpointed(stored.join(coming, "cell").select("cell", F.ceil(F.col("n_stored") / STORED).cast("int").alias("ms"), F.ceil(F.col("n_coming") / VISITING).cast("int").alias("vs")))
+    blocks = [F.ceil(F.col(n) / most).cast("int").alias(c) for n, most, c in (("n_stored", STORED, "ms"), ("n_coming", VISITING, "vs"))]
+    cells = F.broadcast(checkpointed(stored.join(coming, "cell").select("cell", *blocks)))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     block = lambda c: F.pmod(F.xxhash64("vec"), F.col(c)).cast("int")
     columns = ["cell", "visiting", "vec", "times", "own", "embedding", "visits"]
-    at_home = placed.withColumn("cell", F.col("own")).withColumn("visiting", F.lit(False)).join(F.broadcast(cells), "cell").select(*columns, block("ms").alias("i"), F.explode(upto("vs")).alias("j"))
-    away = placed.withColumn("cell", F.explode("visits")).withColumn("visiting", F.lit(True)).withColumn("visits", F.array().cast("array<int>")).join(F.broadcast(cells), "cell").select(*columns, F.explode(upto("ms")).alias("i"), block("vs").alias("j"))
-    found = checkpointed(at_home.union(away).groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "a long, b long, n long"))
+    at_home = placed.withColumn("cell", F.col("own")).withColumn("visiting", F.lit(False)).join(cells, "cell")
+    at_home = at_home.select(*columns, block("ms").alias("i"), F.explode(upto("vs")).alias("j"))
+    away = placed.withColumn("cell", F.explode("visits")).withColumn("visiting", F.lit(True)).withColumn("visits", F.array().cast("array<int>"))
+    away = away.join(cells, "cell").select(*columns, F.explode(upto("ms")).alias("i"), block("vs").alias("j"))
+    met = at_home.union(away).groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "a long, b long, n long")
+    found = checkpointed(met)
     counts = spread(found.where("n > 0").groupBy("a").agg(F.sum("n").alias("n")), "a")
     comps = components(found.where("n = 0")).withColumnRenamed("id", "vec")
-    about = unique.join(counts, unique["vec"] == counts["a"], "left").join(comps, "vec", "left")
-    about = checkpointed(about.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"), F.coalesce("component", "vec").alias("component_id")))
-    linked = good.join(about, "embedding").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return linked.union(rows.where(~fit).select("vec_id", F.lit(0).cast("long"), "vec_id", F.lit(True)))
+    about = unique.select("vec", "times", *_key()).join(counts, F.col("vec") == F.col("a"), "left").join(comps, "vec", "left")
+    links = (F.coalesce("n", F.lit(0)) + F.col("times") - 1).cast("long")
+    about = about.select("h1", "h2", links.alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
+    named = good.select("vec_id", *_key()).join(about, ["h1", "h2"])
+    return named.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -212,6 +212,40 @@ def test_embedding_blocks_count_each_link_once(spark):
     assert got[0] >= 1290 and tuple(got)[1:] == (1299, 0)
 
 
+def test_embedding_recall_at_production_settings(spark):
+    """Pairs just above the threshold, their differences in all directions or in few, among unrelated vectors of two lengths."""
+    rng = np.random.default_rng(21)
+    rows, want = [], {}
+
+    def add(x):
+        first, x = len(rows), x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.9
+        np.fill_diagonal(near, False)
+        rows.extend((first + i, v.tolist()) for i, v in enumerate(x))
+        want.update({first + i: int(n) for i, n in enumerate(near.sum(1))})
+        return int(near.sum())
+
+    def copies(base, few):
+        noise = rng.normal(size=base.shape)
+        if few:
+            noise[:, 4:] = 0
+        noise -= (noise * base).sum(1)[:, None] * base
+        noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+        cos = rng.uniform(0.9, 0.94, len(base))[:, None]
+        return cos * base + np.sqrt(1 - cos**2) * noise
+
+    base = rng.normal(size=(2500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=(300, 20))
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    total = add(np.concatenate([base, copies(base[:800], False), copies(base[800:1600], True)])) + add(np.concatenate([other, copies(other, False)]))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("a", F.lit("x")).withColumn("cell", F.lit("y"))
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.link(frame).collect()}
+    assert total >= 3600 and all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.95 * total
+    assert sum(got[i] for i in range(len(rows) - 600, len(rows))) >= 0.9 * sum(want[i] for i in range(len(rows) - 600, len(rows)))
+
+
 def test_traversal_visits_cells_in_order():
     rng = np.random.default_rng(0)
     a, b = rng.random(9), rng.random(7)
