@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 DIM = 1024
+#: Languages whose prototypes may be broadcast, 8 bytes a dimension each.
+MAX_LANGS = 4096
 _SPACE = 32
 
 
@@ -112,7 +114,10 @@ def prototypes(docs: DataFrame, max_rows: int = 4000, dim: int = DIM, seed: int
 
     parts = taken.select("lang", "text").mapInArrow(run, "lang string, v array<double>")
     summed = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
-    table = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).select("lang", "v.x").orderBy("lang").collect()
+    summed = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
+    table = summed.select("lang", "v.x").orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(table) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages are too many to broadcast")
     return [(r[0], np.asarray(r[1])) for r in table]
 
 
@@ -143,4 +148,4 @@ def identify(docs: DataFrame, learnt: list[tuple[str, np.ndarray]], dim: int = D
 def predict(docs: DataFrame, held_out: Column, max_rows: int = 4000) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, learnt where held_out is false (null ids count as held out)."""
     learnt = prototypes(docs.where(~F.coalesce(held_out, F.lit(True))), max_rows)
-    return identify(docs, learnt).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return identify(docs, learnt).select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "lang_pred", "score")

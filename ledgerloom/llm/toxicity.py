@@ -21,7 +21,7 @@ from . import kernels as K
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Parameters. max_rows: the most labelled rows that are used to fit, taken by the hash of their id. positive: weight of a row with label 1."""
+    """Parameters. max_rows, max_bytes: the most labelled rows, and bytes of their texts, that are used to fit, taken by the hash of their id. positive: weight of a row with label 1."""
 
     bits: int = 20
     alpha: float = 2.0
@@ -31,6 +31,7 @@ class Ftrl:
     epochs: int = 6
     positive: float = 4.0
     max_rows: int = 12_000
+    max_bytes: int = 48 << 20
     seed: int = 7
 
 
@@ -100,9 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, ftrl: F
     ``labels`` has doc_id and label; a document's repeated labels count as 1 if one
     is 1; rows with a null id or label are left out. ``learn`` (over doc_id) says
     which rows may be learnt from. At most about ``max_rows`` rows are used, those
-    with the smallest id hashes, which is the only bounded sample here: the
-    fitted weights and the rows sent to the driver don't grow with the corpus. No
-    usable label: no weights and a score of 0.5 everywhere.
+    with the smallest id hashes, and of these in that order all whose whole texts still fit into
+    ``max_bytes``. This is the only bounded sample here: neither the fitted weights nor what is sent
+    to the driver grows with the corpus or its texts. Null and empty texts are examples without a feature. No
+    usable label: no weights and a score of 0.5 everywhere. Ties in the hash go by id; rows with one id all count.
     """
     chosen = labels.where("doc_id is not null and label is not null")
     if learn is not None:
@@ -113,15 +115,28 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, ftrl: F
         share = int(ftrl.max_rows / total * (1 << 31))
         chosen = chosen.where(F.pmod(F.xxhash64("doc_id", F.lit(ftrl.seed)), F.lit(1 << 31)) < share)
     # the sample is bounded by max_rows, so its ids (16 bytes a row) may be broadcast
+    turn = F.xxhash64("doc_id", F.lit(ftrl.seed)).alias("turn")
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(F.broadcast(chosen), "doc_id")
+    sizes = sizes.groupBy("doc_id", "label").agg(F.sum("bytes").alias("bytes")).select("doc_id", "label", "bytes", turn)
+    left, fitting = ftrl.max_bytes, []
+    for row in sorted(sizes.collect(), key=lambda r: (r["turn"], r["doc_id"])):
+        if row["bytes"] <= left:
+            left -= row["bytes"]
+            fitting.append((row["doc_id"], row["label"]))
+    chosen = docs.sparkSession.createDataFrame(fitting, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = sample.select("doc_id", "label", "text").mapInArrow(_example_batches(ftrl.bits), "doc_id long, label int, features array<int>").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    label = rows["label"].to_numpy()
-    lists = rows["features"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-    examples = [(float(label[k]), flat[at[k] : at[k + 1]]) for k in order]
-    return fit_examples(examples, ftrl)
+    examples, batch, lists, flat = [], None, None, None
+    for batch in rows.to_batches():
+        # views of the collected batches, not a second copy of them
+        lists, label = batch.column("features"), batch.column("label").to_numpy()
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        examples += [(i, float(y), flat[a:b]) for i, y, a, b in zip(batch.column("doc_id").to_pylist(), label, at[:-1], at[1:], strict=True)]
+    examples = [x[1:] for x in sorted(examples, key=lambda x: x[0])]
+    model = fit_examples(examples, ftrl)
+    del rows, examples, batch, lists, flat
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _margins(model, bits):
@@ -172,6 +187,9 @@ def keep_clean(docs: DataFrame, model, threshold: float = 0.7, bits: int = Ftrl.
 
 
 def predict(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.7, ftrl: Ftrl = Ftrl()) -> DataFrame:
-    """doc_id, held_out, score and predicted (1 if score >= threshold) of every document, learnt where held_out is false."""
+    """doc_id, held_out, score and predicted (1 if score >= threshold) of every row, learnt where held_out is false.
+
+    Null ids count as held out. Rows are scored one by one: see ``score``.
+    """
     model = fit(docs, labels, ~held_out, ftrl)
-    return score(docs, model, ftrl.bits).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs, model, ftrl.bits).select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
