@@ -6,19 +6,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words in a description that name a payment rail and no merchant.
-RAIL_TOKENS = ["upi", "neft", "imps", "rtgs", "ach", "nach", "pos", "ecs", "atm", "txn", "ref", "the", "card", "payment", "debit", "credit"]
+RAIL_TOKENS = [
+    "upi", "neft", "imps", "rtgs", "ach", "nach", "ecs", "eft", "clg", "byclg",
+    "atm", "pos", "chq", "cheque", "inb", "tpt", "ift", "mmt", "vps", "wdl",
+    "payment", "transfer", "withdrawal", "purchase", "txn", "trf", "ref",
+]
 # Category keywords, in order of precedence.
 CATEGORY_KEYWORDS = [
-    ("Salary", ["salary", "payroll", "wages"]),
-    ("Groceries", ["grocery", "supermarket", "mart"]),
-    ("Dining", ["restaurant", "cafe", "pizza", "food"]),
-    ("Transport", ["uber", "ola", "fuel", "petrol", "metro"]),
-    ("Utilities", ["electricity", "water", "broadband", "recharge"]),
-    ("Hardware", ["bolt", "gear", "widget", "panel"]),
-    ("Jewellery", ["ring", "chain"]),
-]
+    ("Salary", ["salary", "payroll", "income tax refund", "stipend"]),
+    ("Rent", ["house rent", "rent paid", "rent payment", "monthly rent", "rent due", "landlord", "housing society", "maintenance chg"]),
+    ("Groceries", ["bigbasket", "blinkit", "zepto", "grofers", "dmart", "grocery", "supermarket"]),
+    ("Dining", ["swiggy", "zomato", "restaurant", "cafe", "starbucks", "dominos", "mcdonald", "kfc"]),
+    ("Transport", ["uber", "ola", "rapido", "irctc", "petrol", "fuel", "metro", "fastag", "parking"]),
+    ("Utilities", ["electricity", "power bill", "water bill", "gas bill", "broadband", "airtel", "jio", "recharge"]),
+    ("Shopping", ["amazon", "flipkart", "myntra", "ajio", "nykaa", "decathlon"]),
+    ("Health", ["pharmacy", "apollo", "medplus", "hospital", "clinic", "netmeds", "1mg"]),
+    ("Entertainment", ["netflix", "prime video", "hotstar", "spotify", "bookmyshow", "pvr", "inox"]),
+    ("Investments", ["mutual fund", "sip", "zerodha", "groww", "upstox", "nps", "ppf", "demat"]),
+    ("Fees/Interest", ["annual fee", "late fee", "finance charge", "interest charged", "penalty"]),
+    ("Transfer", ["credit card payment", "card bill payment", "autopay", "neft to", "imps to", "billdesk"]),
+    ("Loan EMI", ["loan emi", "emi payment", "emi deduction", "personal loan", "home loan", "car loan", "auto loan"]),
+    ("Insurance", ["insurance", "lic premium", "policybazaar", "premium payment"]),
+    ("Cash Withdrawal", ["atm withdrawal", "atm wdl", "cash withdrawal", "cash wdl"]),
+    ("Travel", ["makemytrip", "goibibo", "yatra", "airbnb", "oyo", "indigo", "spicejet", "vistara", "hotel booking"]),
+    ("Subscriptions", ["google one", "icloud", "adobe", "microsoft 365", "linkedin premium"]),
+    ("Education", ["udemy", "coursera", "byjus", "tuition fee", "school fee", "college fee"]),
+    ("Gifts & Donations", ["donation", "charity", "ngo donation", "gift"]),
+]
 # Words that mark a refund.
-REFUND_WORDS = ["refund", "reversal", "reversed", "cashback", "chargeback", "return"]
+REFUND_WORDS = ["refund", "reversal", "returned", "chargeback", "credit adjustment", "cancelled", "canceled"]
 
 
 def normalize(c: Column) -> Column:
@@ -32,10 +48,13 @@ def tokens(c: Column) -> Column:
 
 
 def extract_merchant(c: Column) -> Column:
-    """Of the first four tokens without a run of four digits, those longer than one character."""
-    first = F.slice(F.filter(tokens(c), lambda t: ~t.rlike("[0-9]{4}")), 1, 4)
-    joined = F.array_join(F.filter(first, lambda t: F.length(t) > 1), " ")
-    return F.when(joined != "", joined).when(normalize(c) != "", normalize(c)).otherwise(F.lit("unknown"))
+    """Of the first four tokens that are no reference code, those longer than one character.
+
+    A code is letters, four digits or more, letters. Without such a token the rest as it is, or unknown.
+    """
+    rest = F.filter(tokens(c), lambda t: ~t.rlike("^[a-z]*[0-9]{4,}[a-z]*$"))
+    joined = F.array_join(F.filter(F.slice(rest, 1, 4), lambda t: F.length(t) > 1), " ")
+    return F.when(joined != "", joined).when(F.size(rest) > 0, F.array_join(rest, " ")).otherwise(F.lit("unknown"))
 
 
 def significant_token(c: Column) -> Column:
@@ -50,16 +69,17 @@ def display_name(c: Column) -> Column:
     return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit("Unknown Merchant")).otherwise(F.array_join(words, " "))
 
 
-def has_word(c: Column, words: list[str]) -> Column:
-    return normalize(c).rlike(r"\b(" + "|".join(words) + r")\b")
+def keyword_category(c: Column) -> Column:
+    """The first category one of whose keywords stands in the text as whole words, else Other."""
 
+    def first(norm: Column) -> Column:
+        out = F.lit("Other")
+        for name, words in reversed(CATEGORY_KEYWORDS):
+            out = F.when(norm.rlike(r"\b(?:" + "|".join(words) + r")\b"), F.lit(name)).otherwise(out)
+        return out
 
-def keyword_category(c: Column) -> Column:
-    """The first category one of whose keywords is a word of the text, else Other."""
-    out = F.lit("Other")
-    for name, words in reversed(CATEGORY_KEYWORDS):
-        out = F.when(has_word(c, words), F.lit(name)).otherwise(out)
-    return out
+    # a lambda's variable is normalised once for all categories
+    return F.get(F.transform(F.array(normalize(c)), first), F.lit(0))
 
 
 def mentions_refund(c: Column) -> Column:

@@ -2,43 +2,54 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .folds import folded
 
-#: Driver-side rule tables are compared by broadcast only up to so many rows.
-MAX_RULES = 10_000
+#: Rules in one block, and blocks of them that are broadcast.
+BLOCK_RULES, MAX_BLOCKS = 1000, 8
 
 
 def rule_matches(rows: DataFrame, rules: DataFrame, keep: list[str]) -> DataFrame:
     """Every enabled rule that holds for a row, with the rule's columns.
 
     Text operators ignore case; a null field, a bad number or a bad range never matches.
-    GLOBAL rules hold for all users, USER rules for their own. Rules are a small
-    table whose size is checked before it is broadcast; a larger one is joined on the
-    rules' users, with global rules for every user.
+    GLOBAL rules hold for all users, USER rules for their own. A row meets its rules as arrays: those of its
+    user by an equi-join, the global ones in blocks of BLOCK_RULES, each a row that is joined by its number, so a
+    few blocks are broadcast and many are shuffled. Rules are read once for the number of blocks.
     """
-    field = F.when(F.col("field") == "DESCRIPTION", F.col("description")).when(F.col("field") == "MERCHANT", F.col("merchant")).when(F.col("field") == "AMOUNT", F.col("amount").cast("string"))
-    low, want = F.lower(field), F.lower("value")
     number = F.expr("try_cast(value as decimal(14,2))")
-    bounds = F.split("value", ",")
     first, second = (F.expr(f"try_cast(try_element_at(split(value, ','), {k}) as decimal(14,2))") for k in (1, 2))
-    is_amount = F.col("field") == "AMOUNT"
-    holds = (
-        F.when(F.col("operator") == "CONTAINS", F.contains(low, want))
-        .when(F.col("operator") == "STARTS_WITH", F.startswith(low, want))
-        .when((F.col("operator") == "EQUALS") & is_amount, F.col("amount") == number)
-        .when(F.col("operator") == "EQUALS", low == want)
-        .when((F.col("operator") == "GREATER_THAN") & is_amount, F.col("amount") > number)
-        .when((F.col("operator") == "LESS_THAN") & is_amount, F.col("amount") < number)
-        .when((F.col("operator") == "BETWEEN") & is_amount & (F.size(bounds) == 2), F.col("amount").between(first, second))
-    )
-    mine = F.col("rule_user").isNull() | (F.col("rule_user") == F.col("user_id"))
-    small = rules.limit(MAX_RULES + 1).count() <= MAX_RULES
-    joined = rows.join(F.broadcast(rules) if small else rules, mine)
-    return joined.where(F.coalesce(holds, F.lit(False))).select(*keep, "rule_id", "scope", "priority", "action", "target")
+    pair = F.size(F.split("value", ",")) == 2
+    rule = F.struct("rule_id", "scope", "priority", "action", "target", "field", "operator", F.lower("value").alias("want"), number.alias("number"), F.when(pair, first).alias("low"), F.when(pair, second).alias("high"))
+    shared = rules.where("rule_user is null")
+    blocks = max(1, -(-shared.count() // BLOCK_RULES))
+    packed = shared.groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(rule).alias("shared"))
+    own = rules.where("rule_user is not null").groupBy(F.col("rule_user").alias("user_id")).agg(F.collect_list(rule).alias("own"))
+    told = rows.withColumns({"_description": F.lower("description"), "_merchant": F.lower("merchant"), "_amount": F.col("amount").cast("string")})
+    met = told.join(own, "user_id", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.join(F.broadcast(packed) if blocks <= MAX_BLOCKS else packed, "block", "left")
+    none = F.array().cast(packed.schema["shared"].dataType)
+    every = F.concat(F.when(F.col("block") == 0, F.coalesce("own", none)).otherwise(none), F.coalesce("shared", none))
+
+    def holds(r):
+        text_of = F.when(r["field"] == "DESCRIPTION", F.col("_description")).when(r["field"] == "MERCHANT", F.col("_merchant")).when(r["field"] == "AMOUNT", F.col("_amount"))
+        is_amount, operator = r["field"] == "AMOUNT", r["operator"]
+        found = (
+            F.when(operator == "CONTAINS", F.contains(text_of, r["want"]))
+            .when(operator == "STARTS_WITH", F.startswith(text_of, r["want"]))
+            .when((operator == "EQUALS") & is_amount, F.col("amount") == r["number"])
+            .when(operator == "EQUALS", text_of == r["want"])
+            .when((operator == "GREATER_THAN") & is_amount, F.col("amount") > r["number"])
+            .when((operator == "LESS_THAN") & is_amount, F.col("amount") < r["number"])
+            .when((operator == "BETWEEN") & is_amount, F.col("amount").between(r["low"], r["high"]))
+        )
+        return F.coalesce(found, F.lit(False))
+
+    found = met.select(*keep, F.explode(F.filter(every, holds)).alias("rule"))
+    return found.select(*keep, *[F.col(f"rule.{c}").alias(c) for c in ("rule_id", "scope", "priority", "action", "target")])
 
 
 def first_rule(matches: DataFrame, key: str = "txn_id") -> DataFrame:
@@ -49,8 +60,20 @@ def first_rule(matches: DataFrame, key: str = "txn_id") -> DataFrame:
 
 
 def side_effects(matches: DataFrame, key: str = "txn_id") -> DataFrame:
-    """Transfer marks and tags that all matching rules set."""
-    return matches.where("action != 'ASSIGN_CATEGORY'").groupBy(key).agg(F.bool_or(F.col("action") == "MARK_TRANSFER").alias("mark_transfer"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("action") == "ADD_TAG", F.col("target")))), ",").alias("tags"))
+    """What all matching rules but category ones do: transfer and subscription marks, tags, and an investment's category.
+
+    Of several MARK_INVESTMENT rules the last one counts, users' own coming before global ones, then by priority
+    and id; without a name it is Investments. Blank tags are none.
+    """
+    is_a = lambda action: F.col("action") == action
+    named = F.when(F.trim("target") != "", F.col("target"))
+    turn = F.struct(F.when(F.col("scope") == "USER", 0).otherwise(1), "priority", "rule_id")
+    return matches.where("action != 'ASSIGN_CATEGORY'").groupBy(key).agg(
+        F.bool_or(is_a("MARK_TRANSFER")).alias("mark_transfer"),
+        F.bool_or(is_a("MARK_SUBSCRIPTION")).alias("mark_subscription"),
+        F.max_by(F.coalesce(named, F.lit("Investments")), F.when(is_a("MARK_INVESTMENT"), turn)).alias("investment"),
+        F.array_join(F.sort_array(F.collect_set(F.when(is_a("ADD_TAG"), named))), ",").alias("tags"),
+    )
 
 
 def top_learnt(learning: DataFrame) -> DataFrame:
@@ -116,33 +139,40 @@ def category_confidence(learnt: DataFrame) -> DataFrame:
 def replay(events: DataFrame) -> DataFrame:
     """Counts after an ordered log of CONFIRM, UNDO and RESET, and what each confirmation was: LEARNED or CORRECTED.
 
-    One group is a user's merchant. Returns its counts by category and both tallies. UNDO
+    Returns, for a user's merchant, its counts by category and both tallies. UNDO
     takes back the last confirmation, once, unless something other than a confirmation
-    came in between; counts at 0 are dropped.
+    came in between; counts at 0 are dropped. The log is folded in order, with one merchant's counts at a time.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        counts: dict = {}
-        last, learned, corrected = None, 0, 0
-        for row in part.sort_values(["ts", "event_id"]).itertuples():
-            if row.kind == "RESET":
-                counts, last = {}, None
-            elif row.kind == "UNDO":
-                if last is not None:
-                    counts[last] -= 1
-                    if counts[last] <= 0:
-                        del counts[last]
-                last = None
-            else:
-                top = max(counts, key=lambda c: (counts[c], -c)) if counts else None
-                learned, corrected = learned + (top is None or top == row.category_id), corrected + (top is not None and top != row.category_id)
-                counts[row.category_id] = counts.get(row.category_id, 0) + 1
-                last = row.category_id
-        head = part.iloc[0]
-        rows = [(head.user_id, head.merchant, c, n, learned, corrected) for c, n in sorted(counts.items())] or [(head.user_id, head.merchant, None, 0, learned, corrected)]
-        return pd.DataFrame(rows, columns=["user_id", "merchant", "category_id", "confirmations", "learned", "corrected"])
-
-    return events.groupBy("user_id", "merchant").applyInPandas(run, "user_id long, merchant string, category_id long, confirmations long, learned long, corrected long")
+    def start():
+        return {"counts": {}, "last": None, "learned": 0, "corrected": 0}
+
+    def step(state, row):
+        kind, category = row[2], row[3]
+        counts = state["counts"]
+        if kind == "RESET":
+            counts.clear()
+            state["last"] = None
+        elif kind == "UNDO":
+            if state["last"] is not None:
+                counts[state["last"]] -= 1
+                if counts[state["last"]] <= 0:
+                    del counts[state["last"]]
+            state["last"] = None
+        else:
+            top = max(counts, key=lambda c: (counts[c], -c)) if counts else None
+            state["learned" if top is None or top == category else "corrected"] += 1
+            counts[category] = counts.get(category, 0) + 1
+            state["last"] = category
+        return ()
+
+    def finish(key, state):
+        tallies = (state["learned"], state["corrected"])
+        return [(*key, c, n, *tallies) for c, n in sorted(state["counts"].items())] or [(*key, None, 0, *tallies)]
+
+    schema = "user_id long, merchant string, category_id long, confirmations long, learned long, corrected long"
+    rows = events.select("user_id", "merchant", "kind", "category_id", "ts", "event_id")
+    return folded(rows, ["user_id", "merchant"], ["ts", "event_id"], start, step, schema, finish)
 
 
 # Product hypotheses as (type, signal place, pattern, weight, expected) rows; forbidden ones veto.
@@ -182,7 +212,7 @@ def match_products(found: DataFrame, known: DataFrame) -> DataFrame:
 def explain(ledger: DataFrame, ruled: DataFrame, rules: DataFrame) -> DataFrame:
     """A sentence on each row's category by its decision's source."""
     known = rules.select("rule_id", "field", "operator", "value")
-    joined = ledger.join(ruled, "txn_id", "left").join(F.broadcast(known), "rule_id", "left")
+    joined = ledger.join(ruled, "txn_id", "left").join(known, "rule_id", "left")
     rule = F.when(F.col("rule_id").isNull(), F.lit("The rule is no longer available")).otherwise(F.concat_ws(" ", F.lower("field"), F.lower("operator"), F.col("value"), F.lit("→"), F.col("target")))
     source = F.col("decision_source")
     line = F.when(source.isin("GLOBAL_RULE", "USER_RULE"), rule).when(source == "LEARNED_PATTERN", F.lit("Learnt from earlier choices")).when(source == "KEYWORD_MATCH", F.lit("A keyword of the description")).when(source == "MANUAL", F.lit("Set by hand")).when(source == "FILE_PROVIDED", F.lit("Given in the file")).otherwise(F.lit("The merchant's default"))

@@ -59,9 +59,8 @@ def catalog(ledger: DataFrame) -> DataFrame:
 
 def inactive_users(users: DataFrame, audit: DataFrame) -> DataFrame:
     """users.user_id NOT IN (active ids): as in SQL, one null id among the active leaves nothing."""
-    users.createOrReplaceTempView("_inactive_users")
-    audit.select("user_id").distinct().createOrReplaceTempView("_inactive_audit")
-    return users.sparkSession.sql("select user_id from _inactive_users where user_id not in (select user_id from _inactive_audit)")
+    active = audit.select("user_id").distinct()
+    return users.sparkSession.sql("select user_id from {users} where user_id not in (select user_id from {active})", users=users, active=active)
 
 
 def inactive_users_ignoring_nulls(users: DataFrame, audit: DataFrame) -> DataFrame:

@@ -3,27 +3,30 @@
 Candidate pairs come from equi-joins on a key and a bucket of days, so no pass compares
 all rows of a user. The order-dependent choices work on those pairs only: transfers in rounds in
 which every locally first pair is taken at once, which gives the same matching as taking
-pairs one by one in order; refunds, whose capacity is used up in order, account by account.
+pairs one by one in order; refunds, whose capacity is used up in order, by a fold over each account's pairs.
 """
 
 from __future__ import annotations
 
 import tempfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .folds import folded
 
 TRANSFER_DAYS, OWN_ACCOUNT_DAYS, REFUND_DAYS, RECEIPT_DAYS = 4, 10, 180, 3
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder that the cluster names, or in one of its own where none is named."""
+    """Checkpointed in the folder that the cluster names; without one, a local session gets one and a cluster an error."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerloom-"))
+        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerloom-"))
     return df.checkpoint()
 
 
@@ -107,22 +110,27 @@ def best_refunds(candidates: DataFrame) -> DataFrame:
 
 
 def refunds(candidates: DataFrame) -> DataFrame:
-    """income_id and expense_id, incomes in order of date and id, each taking of its purchase's remaining amount."""
-
-    def take(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(exact=part.income_amount != part.expense_amount, days=(pd.to_datetime(part.income_date) - pd.to_datetime(part.expense_date)).dt.days)
-        part = part.sort_values(["income_date", "income_id", "exact", "days", "expense_date", "expense_id"])
-        used: dict = {}
-        out = []
-        for income, options in part.groupby("income_id", sort=False):
-            for row in options.itertuples():
-                if row.income_amount <= row.expense_amount - used.get(row.expense_id, 0):
-                    used[row.expense_id] = used.get(row.expense_id, 0) + row.income_amount
-                    out.append((income, row.expense_id))
-                    break
-        return pd.DataFrame(out, columns=["income_id", "expense_id"])
-
-    return candidates.groupBy("user_id", "account_id").applyInPandas(take, "income_id string, expense_id string")
+    """income_id and expense_id, incomes in order of date and id, each taking of its purchase's remaining amount.
+
+    The order is an account's, so its pairs are folded in order, batch by batch; a state holds what is taken of
+    purchases that have refunds.
+    """
+
+    def start():
+        return {"used": {}, "income": None, "done": False}
+
+    def take(state, row):
+        income, expense, wanted, whole = row[2:6]
+        if income != state["income"]:
+            state["income"], state["done"] = income, False
+        if state["done"] or wanted > whole - state["used"].get(expense, 0):
+            return ()
+        state["used"][expense] = state["used"].get(expense, 0) + wanted
+        state["done"] = True
+        return ((income, expense),)
+
+    names = ["user_id", "account_id", "income_id", "expense_id", "income_amount", "expense_amount", "income_date", "expense_date"]
+    return folded(candidates.select(*names), ["user_id", "account_id"], ["income_date", "income_id", *refund_order()], start, take, "income_id string, expense_id string")
 
 
 def receipt_matches(receipts: DataFrame, lines: DataFrame, least: float = 0.6) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
@@ -164,11 +165,13 @@ def a49(b):
 
 
 def r1(b):
-    rows = b.ledger.where(F.col("ym").startswith("2000"))
+    """A merchant's charges of one year are a series of their own."""
+    rows = b.ledger.withColumn("merchant", F.concat_ws(" ", "merchant", F.substring("ym", 1, 4)))
     return A.recurring(rows).withColumn("next_date", F.date_format("next_date", "yyyy-MM-dd")).withColumn("avg_gap", F.round("avg_gap", 6))
 
 
-R1_SQL = f"""WITH {V.LEDGER}, a AS (SELECT *, date_diff('day', lag(txn_date) OVER (PARTITION BY user_id, merchant ORDER BY txn_date, txn_id), txn_date) AS gap FROM ledger WHERE duplicate_of IS NULL AND NOT is_transfer AND txn_type = 'EXPENSE' AND ym LIKE '2000%'),
+R1_SQL = f"""WITH {V.LEDGER}, l AS (SELECT * REPLACE (merchant || ' ' || ym[1:4] AS merchant) FROM ledger),
+a AS (SELECT *, date_diff('day', lag(txn_date) OVER (PARTITION BY user_id, merchant ORDER BY txn_date, txn_id), txn_date) AS gap FROM l WHERE duplicate_of IS NULL AND NOT is_transfer AND txn_type = 'EXPENSE'),
 m AS (SELECT *, avg(gap) OVER w AS avg_gap, round(CAST(sum(amount) OVER w AS DOUBLE) / count(*) OVER w, 4) AS avg_amount FROM a WINDOW w AS (PARTITION BY user_id, merchant)),
 g AS (SELECT user_id, merchant, count(*) AS rows, max(avg_gap) AS avg_gap, max(avg_amount) AS avg_amount, max(txn_date) AS last_date,
   bool_and(coalesce(abs(gap - avg_gap) <= greatest(5.0, 0.35 * avg_gap), true) AND abs(CAST(amount AS DOUBLE) - avg_amount) <= 0.2 * avg_amount + 1) AS ok FROM m GROUP BY 1, 2)
@@ -176,6 +179,12 @@ SELECT user_id, merchant, rows, round(avg_gap, 6) AS avg_gap, avg_amount, CASE W
   strftime(last_date + CAST(floor(avg_gap + 0.5) AS INT), '%Y-%m-%d') AS next_date FROM g WHERE rows >= 3 AND ok AND avg_gap BETWEEN 5 AND 95"""
 
 
+def o5(b):
+    """Each user's recurring charges in the order in which the next is due."""
+    order = Window.partitionBy("user_id").orderBy("next_date", "merchant")
+    return r1(b).select("user_id", "merchant", "next_date", F.row_number().over(order).alias("place"))
+
+
 def notify(b):
     return A.notifications(b.ledger, b.accounts, b.budgets, MONTH)
 
@@ -203,6 +212,7 @@ QUERIES = {
 r AS (SELECT user_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY spent DESC, merchant) <= 5 THEN merchant ELSE 'Other' END AS label, spent FROM s), g AS (SELECT user_id, label, sum(spent) AS spent FROM r GROUP BY 1, 2)
 SELECT user_id, label, CAST(spent AS DOUBLE) AS spent, round(CAST(spent AS DOUBLE) / CAST(sum(spent) OVER (PARTITION BY user_id) AS DOUBLE) * 100, 4) AS share FROM g"""),
     "R1_recurring": (r1, R1_SQL),
+    "O5_recurring_by_next_date": (o5, f"SELECT user_id, merchant, next_date, row_number() OVER (PARTITION BY user_id ORDER BY next_date, merchant) AS place FROM ({R1_SQL})"),
     "N_notifications": (notify, f"""{HEAD}, {V.ACCOUNTS}, {V.BUDGETS}, s AS (SELECT user_id, category, sum(net) AS spent FROM net WHERE txn_type = 'EXPENSE' AND ym = '{MONTH}' GROUP BY 1, 2)
 SELECT user_id, 'LOW_BALANCE' AS kind, '' AS category, count(*) AS n FROM accounts WHERE account_type IN ('SAVINGS', 'WALLET') AND balance < 500 GROUP BY 1 UNION ALL SELECT user_id, 'BUDGET', category, 1 FROM budgets JOIN s USING (user_id, category) WHERE limit_amount > 0 AND spent >= limit_amount"""),
 }

@@ -15,7 +15,7 @@ def _files(b):
     amount = F.when(F.col("qty") == 50, F.lit("n/a")).when(F.col("txn_type") == "INCOME", F.concat(money, F.lit(" CR"))).when(F.col("tax") > 4, F.concat(F.lit("("), money, F.lit(")"))).otherwise(F.concat(F.lit("Rs. "), money))
     line = F.concat_ws(",", day, F.when(F.col("qty") == 49, F.lit("Opening Balance")).otherwise(F.concat(F.lit('"'), "description", F.lit(', x"'))), amount, F.col("txn_id"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("txn_date", "txn_id", line.alias("line")))), lambda r: r["line"]), "\n")
-    rows = b.base.where("ym like '1998%'").groupBy("account_id").agg(body.alias("body"))
+    rows = b.base.groupBy("account_id").agg(body.alias("body"))
     return rows.select(F.col("account_id").cast("string").alias("file"), F.concat(F.lit("Statement\nName: A Holder\nAccount No: XXXX1234\n\nTxn Date,Narration,Amount (INR),Ref No.\n"), "body").alias("value"))
 
 
@@ -45,19 +45,19 @@ def s17(b):
 
 
 def j14(b):
-    ledger = b.base.where("ym like '1998%' and qty < 25").select("txn_date", "amount", F.concat("description", F.lit(", x")).alias("description"))
+    ledger = b.base.where("qty < 25").select("txn_date", "amount", F.concat("description", F.lit(", x")).alias("description"))
     return statements.mark_duplicates(_staged(b).where("outcome = 'STAGED'"), ledger).select("reference", "matches")
 
 
 def s7(b):
-    d = b.base.where("ym = '1999-07'")
-    forms = F.array(F.date_format("txn_date", "dd.MM.yyyy"), F.date_format("txn_date", "dd/MM/yy"), F.concat(F.date_format("txn_date", "dd MMM yyyy"), F.lit(" 10:22:00")), F.date_format("txn_date", "ddMMMyyyy"), F.date_format("txn_date", "MMM dd, yyyy"), F.lit("no date"))
+    d = b.base
+    forms = F.array(F.date_format("txn_date", "dd.MM.yyyy"), F.date_format("txn_date", "dd/MM/yy"), F.concat(F.date_format("txn_date", "dd MMM yyyy"), F.lit(" 10:22:00")), F.date_format("txn_date", "ddMMMyyyy"), F.date_format("txn_date", "MMM dd, yyyy"), F.date_format("txn_date", "MMMMd, yyyy"), F.lit("no date"))
     return d.select("txn_id", F.posexplode(forms).alias("form", "text")).select("txn_id", "form", F.date_format(statements.parse_date(F.col("text")), "yyyy-MM-dd").alias("parsed"))
 
 
 def s8(b):
     forms = F.array(F.concat(F.lit("₹ "), F.col("amount").cast("string")), F.concat("amount", F.lit(" Dr")), F.concat(F.lit("INR"), "amount", F.lit("CR")), F.concat(F.lit("("), "amount", F.lit(")")), F.lit("-"), F.lit("1,234.50"), F.concat(F.lit("+"), "amount"))
-    rows = b.base.where("ym = '1999-07'").select("txn_id", F.posexplode(forms).alias("form", "text"))
+    rows = b.base.select("txn_id", F.posexplode(forms).alias("form", "text"))
     return rows.select("txn_id", "form", statements.parse_number(F.col("text")).cast("double").alias("value"), statements.raw_sign(F.col("text")).alias("sign"))
 
 
@@ -79,8 +79,8 @@ def s16(b):
 
 
 def s16_cells(b):
-    runs = b.table("lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_quantity").alias("x"), F.col("l_partkey").alias("y"), F.col("l_returnflag").alias("text"))
-    anchors = b.table("orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.posexplode(F.array(F.lit(5.0), F.lit(20.0), F.lit(40.0))).alias("column", "anchor_x"))
+    runs = b.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_quantity").alias("x"), F.col("l_partkey").alias("y"), F.col("l_returnflag").alias("text"))
+    anchors = b.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.posexplode(F.array(F.lit(5.0), F.lit(20.0), F.lit(40.0))).alias("column", "anchor_x"))
     return statements.bucket_cells(runs, anchors)
 
 
@@ -98,19 +98,19 @@ def s22(b):
     return sinks.content_addresses(b.table("documents"), "text")
 
 
-ROWS = "r AS (SELECT *, CASE WHEN qty = 49 THEN 'MARKER' WHEN qty = 50 THEN 'UNPARSEABLE' ELSE 'STAGED' END AS outcome FROM base WHERE ym LIKE '1998%')"
+ROWS = "r AS (SELECT *, CASE WHEN qty = 49 THEN 'MARKER' WHEN qty = 50 THEN 'UNPARSEABLE' ELSE 'STAGED' END AS outcome FROM base)"
 QUERIES = {
-    "S1_S2_S3_headers": (s2, f"WITH {V.BASE} SELECT DISTINCT CAST(account_id AS VARCHAR) AS file, 4 AS header_line, 'txn date|narration|amount|ref no' AS names FROM base WHERE ym LIKE '1998%'"),
+    "S1_S2_S3_headers": (s2, f"WITH {V.BASE} SELECT DISTINCT CAST(account_id AS VARCHAR) AS file, 4 AS header_line, 'txn date|narration|amount|ref no' AS names FROM base"),
     "S4_S5_S6_S11_staged_rows": (s11, f"WITH {V.BASE}, {ROWS} SELECT txn_id AS reference, strftime(txn_date, '%Y-%m-%d') AS txn_date, CAST(amount AS DOUBLE) AS amount, txn_type, description || ', x' AS description FROM r WHERE outcome = 'STAGED'"),
-    "S7_date_formats": (s7, f"WITH {V.BASE} SELECT txn_id, f AS form, CASE WHEN f = 1 THEN strftime(txn_date + INTERVAL 100 YEAR, '%Y-%m-%d') WHEN f < 5 THEN strftime(txn_date, '%Y-%m-%d') END AS parsed FROM base, (SELECT unnest(range(6)) AS f) WHERE ym = '1999-07'"),
-    "S8_S9_amounts_and_signs": (s8, f"WITH {V.BASE} SELECT txn_id, f AS form, CAST(CASE f WHEN 0 THEN amount WHEN 1 THEN -amount WHEN 2 THEN amount WHEN 3 THEN -amount WHEN 5 THEN 1234.50 WHEN 6 THEN amount END AS DOUBLE) AS value, CASE f WHEN 1 THEN 'EXPENSE' WHEN 2 THEN 'INCOME' WHEN 6 THEN 'INCOME' END AS sign FROM base, (SELECT unnest(range(7)) AS f) WHERE ym = '1999-07'"),
+    "S7_date_formats": (s7, f"WITH {V.BASE} SELECT txn_id, f AS form, CASE WHEN f = 1 AND year(txn_date) < 2000 THEN strftime(txn_date + INTERVAL 100 YEAR, '%Y-%m-%d') WHEN f < 6 THEN strftime(txn_date, '%Y-%m-%d') END AS parsed FROM base, (SELECT unnest(range(7)) AS f)"),
+    "S8_S9_amounts_and_signs": (s8, f"WITH {V.BASE} SELECT txn_id, f AS form, CAST(CASE f WHEN 0 THEN amount WHEN 1 THEN -amount WHEN 2 THEN amount WHEN 3 THEN -amount WHEN 5 THEN 1234.50 WHEN 6 THEN amount END AS DOUBLE) AS value, CASE f WHEN 1 THEN 'EXPENSE' WHEN 2 THEN 'INCOME' WHEN 6 THEN 'INCOME' END AS sign FROM base, (SELECT unnest(range(7)) AS f)"),
     "S12_S14_rejects": (s14, f"WITH {V.BASE}, {ROWS} SELECT 'NO_AMOUNT' AS reason, 'amount|narration|ref no|txn date' AS columns, count(*) AS rows FROM r WHERE outcome = 'UNPARSEABLE'"),
     "S13_preview_split": (s13, f"WITH {V.BASE}, {ROWS} SELECT CAST(account_id AS VARCHAR) AS file, outcome, count(*) AS rows FROM r GROUP BY 1, 2"),
     "S16_physical_rows": (s16, None),
-    "S16_column_buckets": (s16_cells, "WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_quantity AS x, l_partkey AS y, l_returnflag AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 50 = 0) SELECT doc_id, 0 AS page, x, y, text, CASE WHEN abs(x - 5) <= abs(x - 20) THEN 0 WHEN abs(x - 20) <= abs(x - 40) THEN 1 ELSE 2 END AS \"column\" FROM r"),
-    "S17_metadata": (s17, f"WITH {V.BASE} SELECT DISTINCT CAST(account_id AS VARCHAR) AS file, 'A Holder' AS holder, '1234' AS last4 FROM base WHERE ym LIKE '1998%'"),
+    "S16_column_buckets": (s16_cells, "WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_quantity AS x, l_partkey AS y, l_returnflag AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT doc_id, 0 AS page, x, y, text, CASE WHEN abs(x - 5) <= abs(x - 20) THEN 0 WHEN abs(x - 20) <= abs(x - 40) THEN 1 ELSE 2 END AS \"column\" FROM r"),
+    "S17_metadata": (s17, f"WITH {V.BASE} SELECT DISTINCT CAST(account_id AS VARCHAR) AS file, 'A Holder' AS holder, '1234' AS last4 FROM base"),
     "S18_receipts": (s18, S18_SQL),
-    "J14_staged_duplicates": (j14, f"WITH {V.BASE}, {ROWS}, k AS (SELECT txn_date, amount, description, count(*) AS n FROM base WHERE ym LIKE '1998%' AND qty < 25 GROUP BY 1, 2, 3) SELECT txn_id AS reference, coalesce(n, 0) AS matches FROM r LEFT JOIN k USING (txn_date, amount, description) WHERE outcome = 'STAGED'"),
+    "J14_staged_duplicates": (j14, f"WITH {V.BASE}, {ROWS}, k AS (SELECT txn_date, amount, description, count(*) AS n FROM base WHERE qty < 25 GROUP BY 1, 2, 3) SELECT txn_id AS reference, coalesce(n, 0) AS matches FROM r LEFT JOIN k USING (txn_date, amount, description) WHERE outcome = 'STAGED'"),
     "S20_change_set": (s20, f"WITH {V.LEDGER} SELECT txn_id, true AS is_recurring, status FROM ledger WHERE merchant = 'Brand#1' AND NOT is_recurring"),
     "S21_export_manifest": (s21, f"WITH {V.BASE}, {V.BUDGETS} SELECT user_id, count(*) AS rows, 'transactions' AS entity FROM base GROUP BY 1 UNION ALL SELECT user_id, count(*), 'budgets' FROM budgets GROUP BY 1"),
     "S22_content_addresses": (s22, "SELECT sha256(text) AS address, count(*) AS files, max(strlen(text)) AS bytes FROM documents GROUP BY 1"),

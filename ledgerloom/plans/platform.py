@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money
 from ..operators import platform as P
+from ..operators.reconcile import near_days
 from ..sources import views as V
 
 L, E = f"WITH {V.LEDGER}", f"WITH {V.EVENTS}"
@@ -34,14 +35,14 @@ def p2(b):
 
 
 def p5(b):
-    probe = b.ledger_events.where("user_id % 7 = 1").select("account_id", "txn_date", "amount", "description")
+    probe = b.ledger_events.select("account_id", "txn_date", "amount", "description")
     return b.ledger_events.join(probe.groupBy("account_id", "txn_date", "amount", "description").agg(F.count("*").alias("probes")), ["account_id", "txn_date", "amount", "description"]).select("txn_id", "probes")
 
 
 def p6(b):
-    probe = b.base.where("txn_id like '1%' and ym = '1999-05'").select("user_id", "amount", F.col("txn_date").alias("d")).distinct()
-    rows = b.ledger.where("txn_type = 'EXPENSE' and source != 'GMAIL_IMPORT'")
-    return rows.join(probe, ["user_id", "amount"]).where("txn_date between date_sub(d, 3) and date_add(d, 3)").groupBy("user_id").agg(F.count("*").alias("pairs"))
+    probe = b.base.select("user_id", "amount", "txn_date").distinct()
+    rows = b.ledger.where("txn_type = 'EXPENSE' and source != 'GMAIL_IMPORT'").select("user_id", "amount", "txn_date")
+    return near_days(rows, probe, ["user_id", "amount"], 3, 3).groupBy(F.col("a.user_id").alias("user_id")).agg(F.count("*").alias("pairs"))
 
 
 def p7(b):
@@ -214,7 +215,7 @@ def a54(b):
 
 def a55(b):
     delta = F.when(F.col("txn_type") == "INCOME", F.col("amount")).otherwise(-F.col("amount"))
-    rows = b.base.where("merchant = 'Brand#5'").withColumn("delta", delta)
+    rows = b.base.withColumn("delta", delta)
     return P.goal_progress(rows, 3000).select("user_id", F.col("current").cast("double").alias("current"), F.date_format("completed_on", "yyyy-MM-dd").alias("completed_on"))
 
 
@@ -225,7 +226,7 @@ def w1(b):
 
 def w3(b):
     order = Window.partitionBy("user_id", "merchant").orderBy("txn_date", "txn_id")
-    return b.base.where("user_id % 10 = 1").select("txn_id", F.datediff("txn_date", F.lag("txn_date").over(order)).alias("gap"))
+    return b.base.select("txn_id", F.datediff("txn_date", F.lag("txn_date").over(order)).alias("gap"))
 
 
 def w7(b):
@@ -296,13 +297,13 @@ CNT = "count(*) FILTER"
 QUERIES = {
     "P1_ledger_search": (p1, f"{L} SELECT txn_id, user_id, account_id, CAST(amount AS DOUBLE) AS amount, strftime(txn_date, '%Y-%m-%d') AS txn_date FROM ledger WHERE {P1}"),
     "P2_literal_contains": (p2, "SELECT count(*) AS hits FROM documents WHERE contains(lower(text), '50%_\\x')"),
-    "P5_duplicate_probe": (p5, f"WITH {V.LEDGER_EVENTS}, p AS (SELECT account_id, txn_date, amount, description, count(*) AS probes FROM le WHERE user_id % 7 = 1 GROUP BY ALL) SELECT txn_id, probes FROM le JOIN p USING (account_id, txn_date, amount, description)"),
-    "P6_candidate_window": (p6, f"{L}, p AS (SELECT DISTINCT user_id, amount, txn_date AS d FROM base WHERE txn_id LIKE '1%' AND ym = '1999-05') SELECT user_id, count(*) AS pairs FROM ledger JOIN p USING (user_id, amount) WHERE txn_type = 'EXPENSE' AND source <> 'GMAIL_IMPORT' AND txn_date BETWEEN d - 3 AND d + 3 GROUP BY 1"),
+    "P5_duplicate_probe": (p5, f"WITH {V.LEDGER_EVENTS}, p AS (SELECT account_id, txn_date, amount, description, count(*) AS probes FROM le GROUP BY ALL) SELECT txn_id, probes FROM le JOIN p USING (account_id, txn_date, amount, description)"),
+    "P6_candidate_window": (p6, f"{L}, p AS (SELECT DISTINCT user_id, amount, txn_date AS d FROM base) SELECT user_id, count(*) AS pairs FROM ledger JOIN p USING (user_id, amount) WHERE txn_type = 'EXPENSE' AND source <> 'GMAIL_IMPORT' AND txn_date BETWEEN d - 3 AND d + 3 GROUP BY 1"),
     "P7_user_search": (p7, "SELECT c_custkey AS user_id, c_name AS name FROM customer WHERE contains(lower(c_name), '#00000012') AND c_mktsegment = 'BUILDING'"),
     "P8_audit_search": (p8, f"{E} SELECT event_id, user_id, action FROM ev WHERE action LIKE 'p%' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06'"),
     "P9_json_path": (p9, "SELECT event_id, user_id FROM events WHERE json_extract_string(props, '$.k') = '42'"),
     "P12_flag_counts": (p12, f"{L} SELECT user_id, {CNT} (needs_review) AS review, {CNT} (duplicate_of IS NOT NULL) AS duplicates, {CNT} (is_transfer) AS transfers FROM ledger GROUP BY 1"),
-    "P13_referential_probe": (p13, f"{L} SELECT txn_id, user_id FROM ledger WHERE txn_id IN (SELECT refund_of FROM ledger WHERE status = 'REFUND')"),
+    "P13_referential_probe": (p13, f"{L} SELECT l.txn_id, l.user_id FROM ledger l JOIN (SELECT DISTINCT refund_of FROM ledger WHERE status = 'REFUND') r ON r.refund_of = l.txn_id"),
     "P14_O8_page": (p14, f"{L} SELECT txn_id, CAST(amount AS DOUBLE) AS amount FROM ledger WHERE {P1} ORDER BY ledger.amount DESC, txn_id LIMIT 25 OFFSET 25"),
     "J1_enrichment": (j1, "SELECT coalesce(r_name, 'Unknown') AS region, coalesce(n_name, 'Unknown') AS nation, o_orderstatus, count(*) AS orders FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2, 3"),
     "J3_distinct_through_join": (j3, "SELECT c_mktsegment AS segment, count(DISTINCT c_custkey) AS users, count(DISTINCT o_orderpriority) AS priorities FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
@@ -334,9 +335,9 @@ QUERIES = {
     "A52_referrals": (a52, "SELECT a.c_custkey AS referrer, a.c_custkey + 1 AS referred, a.c_name AS from_name, b.c_name AS to_name, a.c_nationkey = b.c_nationkey AS shared FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey + 1"),
     "A53_reference_check": (a53, f"{L}, r AS (SELECT * FROM ledger ORDER BY txn_date DESC, txn_id LIMIT 2000), p AS (SELECT duplicate_of AS pointer FROM r WHERE duplicate_of IS NOT NULL UNION SELECT refund_of FROM r WHERE refund_of IS NOT NULL) SELECT {CNT} (pointer IN (SELECT txn_id FROM base)) AS found, count(*) AS pointers FROM p"),
     "A54_import_trace": (a54, "WITH j AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT l_orderkey AS o_orderkey, count(*) AS stages, array_to_string(list_sort(list(DISTINCT l_returnflag)), '') AS flags FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) SELECT coalesce(j.o_orderkey, s.o_orderkey) AS o_orderkey, o_orderstatus, stages, flags FROM j FULL OUTER JOIN s ON j.o_orderkey = s.o_orderkey"),
-    "A55_goal_progress": (a55, f"WITH RECURSIVE {V.BASE}, r AS (SELECT user_id, txn_date, CASE WHEN txn_type = 'INCOME' THEN amount ELSE -amount END AS d, row_number() OVER (PARTITION BY user_id ORDER BY txn_date, txn_id) AS k FROM base WHERE merchant = 'Brand#5'), f AS (SELECT user_id, txn_date, k, CAST(greatest(0, d) AS DECIMAL(24,2)) AS c FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.txn_date, r.k, CAST(greatest(0, f.c + r.d) AS DECIMAL(24,2)) FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1) SELECT user_id, CAST(arg_max(c, k) AS DOUBLE) AS current, strftime(min(CASE WHEN c >= 3000 THEN txn_date END), '%Y-%m-%d') AS completed_on FROM f GROUP BY 1"),
+    "A55_goal_progress": (a55, f"WITH RECURSIVE {V.BASE}, r AS (SELECT user_id, txn_date, CASE WHEN txn_type = 'INCOME' THEN amount ELSE -amount END AS d, row_number() OVER (PARTITION BY user_id ORDER BY txn_date, txn_id) AS k FROM base), f AS (SELECT user_id, txn_date, k, CAST(greatest(0, d) AS DECIMAL(24,2)) AS c FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.txn_date, r.k, CAST(greatest(0, f.c + r.d) AS DECIMAL(24,2)) FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1) SELECT user_id, CAST(arg_max(c, k) AS DOUBLE) AS current, strftime(min(CASE WHEN c >= 3000 THEN txn_date END), '%Y-%m-%d') AS completed_on FROM f GROUP BY 1"),
     "W1_newest_wins": (w1, f"{E} SELECT user_id, action, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, action ORDER BY ts DESC, event_id) AS r FROM ev) WHERE r = 1"),
-    "W3_day_gaps": (w3, f"WITH {V.BASE} SELECT txn_id, CAST(date_diff('day', lag(txn_date) OVER (PARTITION BY user_id, merchant ORDER BY txn_date, txn_id), txn_date) AS INT) AS gap FROM base WHERE user_id % 10 = 1"),
+    "W3_day_gaps": (w3, f"WITH {V.BASE} SELECT txn_id, CAST(date_diff('day', lag(txn_date) OVER (PARTITION BY user_id, merchant ORDER BY txn_date, txn_id), txn_date) AS INT) AS gap FROM base"),
     "W7_changed": (w7, f"{E} SELECT event_id, coalesce(action <> lag(action) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS changed FROM ev"),
     "W12_share": (w12, f"{E} SELECT user_id, action, round(count(*) / sum(count(*)) OVER (PARTITION BY user_id), 6) AS share FROM ev GROUP BY 1, 2"),
     "O2_top_spenders": (o2, f"{L} SELECT user_id, CAST(sum(amount) AS DOUBLE) AS spent FROM ledger WHERE txn_type = 'EXPENSE' GROUP BY 1 ORDER BY spent DESC, user_id LIMIT 10"),

@@ -34,10 +34,14 @@ def windows(b):
     return Q.tumbling(b.events, "6 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
+Q5_SQL = f"""WITH RECURSIVE {V.EVENTS}, o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM ev),
+f AS (SELECT event_id, user_id, r, t AS opened, 1 AS n FROM o WHERE r = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.r, CASE WHEN t >= opened + 21600000000 THEN t ELSE opened END, CASE WHEN t >= opened + 21600000000 THEN 1 ELSE n + 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1)
+SELECT event_id, user_id, n <= 3 AS allowed FROM f"""
 QUERIES = {
     "Q1_Q4_claim": (q1, f"WITH {V.EVENTS}, q AS (SELECT event_id, CASE WHEN k < 30 THEN 'PENDING' WHEN k < 35 THEN 'RUNNING' ELSE 'DONE' END AS state, ts FROM ev) SELECT event_id, state FROM q WHERE (state = 'PENDING' AND ts <= TIMESTAMP '2024-01-10') OR (state = 'RUNNING' AND ts <= TIMESTAMP '2024-01-10' - INTERVAL 15 MINUTE) ORDER BY ts, event_id LIMIT 100"),
     "Q2_idempotent": (q2, f"WITH {V.EVENTS} SELECT user_id, count(DISTINCT (action, CAST(ts AS DATE))) AS events FROM ev GROUP BY 1"),
-    "Q5_rate_limit": (q5, None),
+    "Q5_rate_limit": (q5, Q5_SQL),
     "Q6_registry_merge": (q6, f"WITH {V.EVENTS} SELECT action, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS uses FROM ev GROUP BY 1"),
     "Q7_stage_timings": (q7, f"WITH {V.EVENTS} SELECT event_id, action, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS micros FROM ev"),
     "Q_tumbling_windows": (windows, f"WITH {V.EVENTS} SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S') AS start, action, count(*) AS events FROM ev GROUP BY 1, 2"),

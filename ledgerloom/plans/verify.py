@@ -13,9 +13,9 @@ MONEY = "decimal(24,2)"
 
 
 def statements(b):
-    """A statement for each account and month of 1999: signed amounts, running balances, some of them wrong or missing."""
+    """A statement for each account and month: signed amounts, running balances, some of them wrong or missing."""
     order = Window.partitionBy("statement_id").orderBy("txn_date", "txn_id")
-    rows = b.base.where("ym like '1999%'").withColumn("statement_id", F.concat_ws("/", F.col("account_id").cast("string"), "ym"))
+    rows = b.base.withColumn("statement_id", F.concat_ws("/", F.col("account_id").cast("string"), "ym"))
     signed = F.when(F.col("txn_type") == "INCOME", F.col("amount")).otherwise(-F.col("amount")).cast(MONEY)
     rows = rows.withColumn("signed", signed).withColumn("row_no", F.row_number().over(order)).withColumn("running", (F.lit(1000).cast(MONEY) + F.sum("signed").over(order)).cast(MONEY))
     wrong = F.when(F.col("qty") == 50, 1).when(F.col("qty") == 49, 2).otherwise(0).cast(MONEY)
@@ -27,7 +27,7 @@ def openings(b):
     return statements(b).select("statement_id").distinct().withColumn("opening", F.when(F.crc32("statement_id") % 5 != 0, F.lit(1000)).cast(MONEY))
 
 
-ST = f"""{V.BASE}, s0 AS (SELECT *, account_id || '/' || ym AS statement_id, CASE WHEN txn_type = 'INCOME' THEN amount ELSE -amount END AS signed FROM base WHERE ym LIKE '1999%'),
+ST = f"""{V.BASE}, s0 AS (SELECT *, account_id || '/' || ym AS statement_id, CASE WHEN txn_type = 'INCOME' THEN amount ELSE -amount END AS signed FROM base),
 s1 AS (SELECT *, row_number() OVER w AS row_no, 1000 + sum(signed) OVER w AS running FROM s0 WINDOW w AS (PARTITION BY statement_id ORDER BY txn_date, txn_id)),
 st AS (SELECT statement_id, row_no, txn_id, txn_date, CASE WHEN tax <> 0 OR qty <> 7 THEN signed END AS amount, CASE WHEN qty % 7 <> 0 THEN running + CASE qty WHEN 50 THEN 1 WHEN 49 THEN 2 ELSE 0 END END AS balance, tax, qty FROM s1)"""
 
@@ -82,7 +82,7 @@ SELECT statement_id, CASE WHEN pnc = nc AND pnd = nd AND pc = c AND pd = d THEN
 
 def v5(b):
     cell = lambda c: F.concat(c.cast("string"), F.lit(".00"))
-    rows = b.base.where("ym = '1999-04'").select(F.col("account_id").alias("statement_id"), F.when(F.col("qty") > 47, F.concat_ws(" ", cell(F.col("qty")), cell(F.col("tax")))).when(F.col("txn_type") == "EXPENSE", cell(F.col("qty"))).otherwise(F.lit("")).alias("debit"), F.when((F.col("txn_type") == "INCOME") | (F.col("tax") == 8), cell(F.col("qty"))).otherwise(F.lit("")).alias("credit"))
+    rows = b.base.select(F.col("account_id").alias("statement_id"), F.when(F.col("qty") > 47, F.concat_ws(" ", cell(F.col("qty")), cell(F.col("tax")))).when(F.col("txn_type") == "EXPENSE", cell(F.col("qty"))).otherwise(F.lit("")).alias("debit"), F.when((F.col("txn_type") == "INCOME") | (F.col("tax") == 8), cell(F.col("qty"))).otherwise(F.lit("")).alias("credit"))
     return C.column_ambiguity(rows)
 
 
@@ -159,11 +159,11 @@ def e4(b):
 
 
 def s_layout(b):
-    headers = F.split(F.substring("text", 1, 60), " ")
+    headers = F.split(F.substring_index("text", "\n", 1), " ")
     return b.table("documents").select("doc_id", Y.fingerprint(F.col("lang"), headers).alias("fingerprint"))
 
 
-LAYOUT_SQL = "WITH d AS (SELECT doc_id, lang, string_split(substr(text, 1, 60), ' ') AS h FROM documents) SELECT doc_id, 'FP-1-' || upper(substr(sha256(lang || '|' || len(h) || '|' || array_to_string(list_sort(list_distinct(list_transform(h, lambda x: lower(trim(x))))), ',')), 1, 8)) AS fingerprint FROM d"
+LAYOUT_SQL = "WITH d AS (SELECT doc_id, lang, string_split(string_split(text, chr(10))[1], ' ') AS h FROM documents) SELECT doc_id, 'FP-1-' || upper(substr(sha256(lang || '|' || len(h) || '|' || array_to_string(list_sort(list_distinct(list_transform(h, lambda x: lower(trim(x))))), ',')), 1, 8)) AS fingerprint FROM d"
 
 
 def a34(b):
@@ -196,7 +196,7 @@ def a33(b):
 
 
 def a35(b):
-    rows = b.table("documents").select(F.col("doc_id").alias("import_id"), F.concat("source", "lang").alias("fingerprint"), (F.col("doc_id") % 400).alias("day"), F.explode(F.array_distinct(F.split(F.lower(F.substring("text", 1, 40)), " "))).alias("header"))
+    rows = b.table("documents").select(F.col("doc_id").alias("import_id"), F.concat("source", "lang").alias("fingerprint"), (F.col("doc_id") % 400).alias("day"), F.explode(F.array_distinct(F.split(F.lower(F.substring_index("text", "\n", 1)), " "))).alias("header"))
     return Y.unknown_headers(rows.where("header != ''"))
 
 
@@ -236,7 +236,7 @@ QUERIES = {
     "V2_day_order": (v2, V2_SQL),
     "V3_statement_totals": (v3, V3_SQL),
     "V4_summary_totals": (v4, V4_SQL),
-    "V5_column_ambiguity": (v5, f"WITH {V.BASE}, c AS (SELECT account_id AS statement_id, CASE WHEN qty > 47 THEN qty || '.00 ' || tax || '.00' WHEN txn_type = 'EXPENSE' THEN qty || '.00' ELSE '' END AS debit, CASE WHEN txn_type = 'INCOME' OR tax = 8 THEN qty || '.00' ELSE '' END AS credit FROM base WHERE ym = '1999-04') SELECT statement_id, count(*) AS rows, {FIND} (len(regexp_extract_all(debit, '[0-9][0-9,]*\\.[0-9]{{2}}')) > 1 OR len(regexp_extract_all(credit, '[0-9][0-9,]*\\.[0-9]{{2}}')) > 1) AS two_amounts, {FIND} (regexp_matches(debit, '[1-9]') AND regexp_matches(credit, '[1-9]')) AS both_sides FROM c GROUP BY 1"),
+    "V5_column_ambiguity": (v5, f"WITH {V.BASE}, c AS (SELECT account_id AS statement_id, CASE WHEN qty > 47 THEN qty || '.00 ' || tax || '.00' WHEN txn_type = 'EXPENSE' THEN qty || '.00' ELSE '' END AS debit, CASE WHEN txn_type = 'INCOME' OR tax = 8 THEN qty || '.00' ELSE '' END AS credit FROM base) SELECT statement_id, count(*) AS rows, {FIND} (len(regexp_extract_all(debit, '[0-9][0-9,]*\\.[0-9]{{2}}')) > 1 OR len(regexp_extract_all(credit, '[0-9][0-9,]*\\.[0-9]{{2}}')) > 1) AS two_amounts, {FIND} (regexp_matches(debit, '[1-9]') AND regexp_matches(credit, '[1-9]')) AS both_sides FROM c GROUP BY 1"),
     "V6_row_accounting": (v6, f"WITH {V.BASE}, g AS (SELECT account_id AS statement_id, count(*) AS rows, {FIND} (qty BETWEEN 2 AND 49) AS staged, {FIND} (qty = 1) AS marker, {FIND} (qty = 50) AS unparseable FROM base GROUP BY 1) SELECT *, CASE WHEN unparseable = 0 THEN 'VERIFIED' WHEN unparseable * 2 >= rows THEN 'FAILED' ELSE 'WARNING' END AS verdict FROM g"),
     "V7_card_totals": (v7, "SELECT o_orderkey AS statement_id, CAST(o_orderkey % 500 + o_orderkey % 300 + o_orderkey % 7 + o_orderkey % 3 - o_orderkey % 200 AS DOUBLE) AS expected, CASE WHEN o_orderkey % 11 <> 0 THEN 'VERIFIED' ELSE 'WARNING' END AS verdict FROM orders"),
     "V8_card_flow": (v8, "WITH n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey AS statement_id, CASE WHEN n IS NOT NULL AND (n <= 6) THEN 'VERIFIED' ELSE 'WARNING' END AS verdict FROM orders LEFT JOIN n ON k = o_orderkey"),
@@ -251,7 +251,7 @@ QUERIES = {
     "A33_U3_capability_coverage": (a33, f"WITH {CAPS} SELECT c AS capability, count(DISTINCT import_id) AS activations, round(count(DISTINCT import_id) / (SELECT count(DISTINCT import_id) FROM caps), 6) AS ratio FROM (SELECT unnest(['dates', 'amounts', 'balances', 'refs', 'notes', 'never']) AS c) LEFT JOIN caps ON capability = c GROUP BY 1"),
     "A34_layout_summary": (a34, f"WITH {V.IMPORTS} SELECT fingerprint, count(*) AS uses, min(day) AS first_day, max(day) AS last_day, CAST(sum(rows) AS BIGINT) AS rows, list_sort(list(duration))[count(*) // 2 + 1] AS median FROM imports GROUP BY 1"),
     "A34_stable_capabilities": (a34_caps, f"WITH {CAPS}, n AS (SELECT fingerprint, count(DISTINCT import_id) AS n FROM caps GROUP BY 1) SELECT fingerprint, capability, count(DISTINCT import_id) AS \"with\", count(DISTINCT import_id) = any_value(n) AS stable FROM caps JOIN n USING (fingerprint) GROUP BY 1, 2"),
-    "A35_unknown_headers": (a35, "WITH h AS (SELECT doc_id, source || lang AS fp, doc_id % 400 AS day, unnest(list_distinct(string_split(lower(substr(text, 1, 40)), ' '))) AS header FROM documents) SELECT header, count(DISTINCT doc_id) AS imports, count(DISTINCT fp) AS layouts, min(day) AS first_day, max(day) AS last_day FROM h WHERE header <> '' GROUP BY 1"),
+    "A35_unknown_headers": (a35, "WITH h AS (SELECT doc_id, source || lang AS fp, doc_id % 400 AS day, unnest(list_distinct(string_split(lower(string_split(text, chr(10))[1]), ' '))) AS header FROM documents) SELECT header, count(DISTINCT doc_id) AS imports, count(DISTINCT fp) AS layouts, min(day) AS first_day, max(day) AS last_day FROM h WHERE header <> '' GROUP BY 1"),
     "A36_W9_encounters": (a36, f"WITH {V.IMPORTS}, m AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY day, import_id) = 1 AS first_time FROM imports) SELECT first_time, count(*) AS imports, round(avg(rows), 4) AS mean_rows, list_sort(list(duration))[count(*) // 2 + 1] AS median FROM m GROUP BY 1"),
     "A37_failures": (a37, f"WITH {V.IMPORTS}, p AS (SELECT 'E' || import_id % 6 AS code, fingerprint, count(*) AS n FROM imports GROUP BY 1, 2) SELECT code, CAST(sum(n) AS BIGINT) AS failures, arg_min(fingerprint, (-n, fingerprint)) AS dominant FROM p GROUP BY 1"),
     "A38_recent_summary": (a38, f"WITH {V.IMPORTS}, r AS (SELECT * FROM imports ORDER BY import_id DESC LIMIT 200) SELECT bank, count(*) AS imports, CAST(sum(rows) AS BIGINT) AS rows FROM r GROUP BY 1"),

@@ -6,6 +6,8 @@ amounts are Column expressions over all files at once.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ HINTS = {
     "category": ["category"],
 }
 #: Day-first formats come before the month-first one.
-DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yy", "dd-MM-yy", "dd MMM yyyy", "dd-MMM-yyyy", "dd-MMM-yy", "d MMM yyyy", "MMM dd, yyyy", "yyyy/MM/dd", "MM/dd/yyyy"]
+DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yy", "dd-MM-yy", "dd MMM yyyy", "dd-MMM-yyyy", "dd-MMM-yy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd", "MM/dd/yyyy"]
 MARKERS = ["opening balance", "closing balance", "balance forward", "balance b/f", "balance c/f"]
 
 
@@ -84,12 +86,19 @@ def first_amount(raw: Column, role: str) -> Column:
     return F.coalesce(*[F.when(v != 0, v) for v in values], *values)
 
 
+def _shape(form: str) -> str:
+    """A pattern that every text of a date format matches: a failed parse costs far more than a look at the text."""
+    digits = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MM": r"\d{2}", "dd": r"\d{2}", "d": r"\d{1,2}", "MMM": "[A-Za-z]{3}", "MMMM": "[A-Za-z]{3,}"}
+    return "^" + re.sub("[A-Za-z]+|[.]", lambda m: digits.get(m[0], "[.]"), form) + "$"
+
+
 def parse_date(c: Column) -> Column:
     """The first of the formats that reads the text, without times, ordinal suffixes or missing separators."""
     text = F.regexp_replace(F.trim(c), r"[ T]\d{1,2}:\d{2}(:\d{2})?.*$", "")
     text = F.regexp_replace(F.regexp_replace(text, r"^(\d)(st|nd|rd|th)\b", "0$1"), r"^(\d{2})(st|nd|rd|th)\b", "$1")
     text = F.regexp_replace(text, r"^(\d{2})([A-Za-z]{3})(\d{4})$", "$1-$2-$3")
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in DATE_FORMATS])
+    text = F.regexp_replace(text, r"^([A-Za-z]{3,9})\s*(\d{1,2})\s*,\s*(\d{4})$", "$1 $2, $3")
+    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.to_date(F.try_to_timestamp(text, F.lit(f)))) for f in DATE_FORMATS])
 
 
 def raw_sign(c: Column) -> Column:

@@ -26,6 +26,9 @@ RULES = [
     (7, "GLOBAL", None, "DESCRIPTION", "CONTAINS", "gear", "tools", "ADD_TAG", 100),
     (8, "GLOBAL", None, "MERCHANT", "EQUALS", "BRAND#3", "", "MARK_TRANSFER", 100),
     (9, "GLOBAL", None, "AMOUNT", "GREATER_THAN", "abc", "Never", "ASSIGN_CATEGORY", 1),
+    (10, "GLOBAL", None, "DESCRIPTION", "STARTS_WITH", "refund", "", "MARK_INVESTMENT", 60),
+    (11, "USER", 7, "AMOUNT", "LESS_THAN", "1200", "Funds", "MARK_INVESTMENT", 5),
+    (12, "GLOBAL", None, "MERCHANT", "EQUALS", "brand#5", "", "MARK_SUBSCRIPTION", 100),
 ]
 RULE_SCHEMA = "rule_id int, scope string, rule_user long, field string, operator string, value string, target string, action string, priority int"
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.folds import folded
+
 
 def deduplicated(events: DataFrame, keys: list[str], delay: str = "1 day") -> DataFrame:
     """The first event of each key within the watermark: at-least-once delivery made idempotent."""
@@ -29,7 +31,7 @@ def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """Whether each event is allowed: at most ``limit`` in a window that opens with a user's first event.
 
     A window is not aligned to the clock, so a user's events are folded in order. Streams keep
-    (opening, count) as state; batches fold each user's events at once.
+    (opening, count) as state; batches fold sorted rows with one user's state at a time.
     """
     schema = "event_id long, user_id long, allowed boolean"
 
@@ -45,7 +47,15 @@ def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
 
     rows = events.select("event_id", "user_id", "ts")
     if not events.isStreaming:
-        return rows.groupBy("user_id").applyInPandas(lambda p: fold(p, None, 0)[0], schema)
+        def step(state, row):
+            user, event, micros = row
+            if state[0] is None or micros >= state[0] + seconds * 1_000_000:
+                state[:] = [micros, 0]
+            state[1] += 1
+            return ((event, user, state[1] <= limit),)
+
+        timed = rows.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+        return folded(timed, ["user_id"], ["micros", "event_id"], lambda: [None, 0], step, schema)
 
     def stateful(key, parts, state):
         opened, count = state.get if state.exists else (None, 0)
