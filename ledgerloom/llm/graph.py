@@ -6,9 +6,10 @@ Each round's edges are checkpointed in the shared folder, which cuts lineage.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +25,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects garbage, which on a small heap of a long job may be half an hour away
+    (spark.cleaner.periodicGC.interval); by then a job of many steps holds many times its input on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """``df`` without a known partitioning on ``key``, so that a join deals it out itself and may split hot keys."""
     return df.withColumn(key, F.col(key) + F.lit(0))
@@ -47,4 +58,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(spread(low, "u"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        release(links.sparkSession)
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(links.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

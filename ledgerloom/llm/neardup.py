@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graph import checkpointed, components, spread
+from .graph import checkpointed, components, release, spread
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -267,6 +267,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     spokes = members.where("doc != hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
     measured = checkpointed(_measured(checkpointed(_agreeing(spokes, unique)), docs))
     links = _linked(measured, threshold)
+    release(docs.sparkSession)
     found = components(links)
     rest = checkpointed(_rest(members, measured, found, unique, threshold))
     if rest.agg(F.count("*")).head()[0]:
