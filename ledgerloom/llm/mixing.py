@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_SHARDS = 1 << 16
 #: Sources are ranked among each other in one task, a row of some numbers each; more than this are refused.
 MAX_SOURCES = 1 << 20
+#: Sources whose rows, of some numbers each, are broadcast.
+FEW_SOURCES = 20_000
 
 
 def words(text_col: str = "text") -> Column:
@@ -108,7 +110,8 @@ def mix(docs: DataFrame, block_words: int = 64, shard_rows: int = 256, repeat: i
     named = [F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")]
     sized = checkpointed(docs.select(*named, words(text_col).alias("size"), seeded(seed, id_col).alias("_seed")))
     sources = checkpointed(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows")))
-    if sources.count() > MAX_SOURCES:
+    number_of_sources = sources.count()
+    if number_of_sources > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     sources = targets(sources.withColumn("weight", (number - 1) % 3 + 1), repeat)
@@ -118,6 +121,7 @@ def mix(docs: DataFrame, block_words: int = 64, shard_rows: int = 256, repeat: i
 
     keyed = sized.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
     # a source may hold a third of all rows: without a known partitioning by source, the join may be split and shards are dealt out anew
+    sources = F.broadcast(sources) if number_of_sources <= FEW_SOURCES else sources
     placed = keyed.join(sources, ["_source", "_none"]).withColumn("_source", F.concat("_source", F.lit(""))).withColumn("_shard", F.pmod(F.col("_seed"), F.col("_shards")).cast("int"))
     by = ["_source", "_none", "_shard"]
     shards = placed.groupBy(*by).agg(F.sum("size").alias("_shard_size"), F.first("_source_quota").alias("_source_quota"))
