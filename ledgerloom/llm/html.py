@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _QUOTED = re.compile(r"""(?:[^>=]|=\s*(?:"[^"]*"|'[^']*')|=)*+>""")
 _COMMENT_END = re.compile(r"--!?>")
@@ -337,6 +339,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     stands for itself, so repeated rows and ids are all returned; other columns are ignored.
     """
 
+    @K.tidy
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):

@@ -101,6 +101,7 @@ def prototypes(docs: DataFrame, max_rows: int = 4000, dim: int = DIM, seed: int
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(max_rows)) / F.count("*")).alias("share"))
     taken = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 31)) <= F.col("share") * float(1 << 31))
 
+    @K.tidy
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for part, data, offsets in K.chunks(batches, "text"):
@@ -130,6 +131,7 @@ def identify(docs: DataFrame, learnt: list[tuple[str, np.ndarray]], dim: int = D
     names = [x for x, _ in learnt]
     shared = docs.sparkSession.sparkContext.broadcast(_unit(np.array([v for _, v in learnt])).astype(np.float32) if learnt else None)
 
+    @K.tidy
     def run(batches):
         for part, data, offsets in K.chunks(batches, "text"):
             vectors, letters = bundles(data, offsets, dim)

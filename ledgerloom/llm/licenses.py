@@ -103,6 +103,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """
     table = compiled(TEMPLATES if templates is None else templates)
 
+    @K.tidy
     def run(batches):
         known = np.unique(np.concatenate([np.fromiter(c, np.uint64, len(c)) for _, c, _ in table] or [np.zeros(0, np.uint64)]))
         gate = np.zeros(1 << 16, bool)

@@ -34,6 +34,7 @@ def lines(docs: DataFrame) -> DataFrame:
     Lines are compared without the white space at their ends.
     """
 
+    @K.tidy
     def run(batches):
         for part, data, offsets in K.chunks(batches, "text"):
             of, starts, ends = K.line_spans(data, offsets)
@@ -90,6 +91,7 @@ def _windows(base: DataFrame, min_words: int) -> DataFrame:
     """Distinct (document, start, len): the shortest run of min_words words from each line on, and up to each line."""
     packed = base.groupBy(*KEY, "run").agg(F.sort_array(F.collect_list(F.struct("idx", "upto", "words"))).alias("seq"))
 
+    @K.tidy
     def shortest(batches):
         for batch in batches:
             counts, starts, lens = [], [], []
@@ -161,6 +163,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     names = rows.columns
 
+    @K.tidy
     def run(batches):
         for batch in batches:
             texts, total, lost = [], [], []

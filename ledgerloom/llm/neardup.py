@@ -75,6 +75,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     digest is of the whole text. Texts without a word have no bands.
     """
 
+    @K.tidy
     def run(batches):
         weights = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
         for part, data, offsets in K.chunks(batches, "text", 1 << 20):
@@ -103,6 +104,7 @@ def distinct(text: bytes):
 def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """The pairs (a, b) with enough equal registers."""
 
+    @K.tidy
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("x", "y"))
@@ -115,6 +117,7 @@ def _agreeing(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 def _packed(docs: DataFrame) -> DataFrame:
     """doc_id and the compressed text of every row that has both: half as many bytes to shuffle."""
 
+    @K.tidy
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for part, data, offsets in K.chunks(batches, "text"):
@@ -129,6 +132,7 @@ def _measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     With a's number of shingles, and the hashes of those that b lacks and of those that b has beyond them.
     """
 
+    @K.tidy
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:

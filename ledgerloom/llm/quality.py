@@ -49,6 +49,7 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     empty, and all its counts are 0.
     """
 
+    @K.tidy
     def run(batches):
         for part, data, offsets in K.chunks(batches, "text"):
             n = len(offsets) - 1

@@ -248,6 +248,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @K.tidy
     def run(batches):
         codec = Codec(shared.value, threads)
         for part, data, offsets in K.chunks(batches, "text", CHUNK):
@@ -271,6 +272,7 @@ def decode(rows: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str =
     """doc_id and text of every row's ids; null ids give an empty text, bytes that aren't UTF-8 U+FFFD."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    @K.tidy
     def run(batches):
         codec = Codec(shared.value)
         for batch in batches:

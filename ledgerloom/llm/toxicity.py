@@ -58,6 +58,7 @@ def features(data, offsets, bits):
 
 
 def _example_batches(bits):
+    @K.tidy
     def run(batches):
         for rows, data, offsets in K.chunks(batches, "text"):
             pairs = [np.unique(d * (1 << bits) + f) for d, f in features(data, offsets, bits)]
@@ -165,6 +166,7 @@ def score(docs: DataFrame, model, bits: int = Ftrl.bits, id_col: str = "doc_id",
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @K.tidy
     def run(batches):
         scores = _margins(shared.value, bits)
         for rows, data, offsets in K.chunks(batches, "text"):
@@ -178,6 +180,7 @@ def keep_clean(docs: DataFrame, model, threshold: float = 0.7, bits: int = Ftrl.
     """The rows of ``docs``, all columns, that score under the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @K.tidy
     def run(batches):
         scores = _margins(shared.value, bits)
         for rows, data, offsets in K.chunks(batches, "text"):

@@ -403,3 +403,24 @@ def test_html_rows_stand_for_themselves(spark):
     got = sorted(((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html.extract(pages).collect()))
     assert got == [(0, "", 0), (1, word, len(word)), (1, word, len(word)), (2, "", 0)]
     assert html.extract(pages.where("false")).count() == 0
+
+
+def test_a_task_gives_its_memory_back_and_passes_batches_and_errors_through():
+    @kernels.tidy
+    def run(batches):
+        kernels.powers(3 * kernels.CHUNK_BYTES)
+        for batch in batches:
+            if batch is None:
+                raise ValueError("bad batch")
+            yield batch
+
+    assert list(run(iter([1, 2]))) == [1, 2]
+    assert len(kernels._POWERS[0]) == 1
+    with pytest.raises(ValueError, match="bad batch"):
+        list(run(iter([1, None])))
+    data = np.frombuffer("der zug kam".encode(), np.uint8)
+    starts, ends = np.array([0, 4, 8]), np.array([3, 7, 11])
+    before = kernels.span_hashes(data, starts, ends)
+    assert (kernels.span_hashes(data, starts, ends) == before).all()
+    kernels.give_back()
+    assert (kernels.span_hashes(data, starts, ends) == before).all()
