@@ -148,8 +148,10 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return covered.join(base.select(*KEY, "idx", "pos"), [*KEY, "idx"]).groupBy(*KEY).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the later copies of repeated runs deleted from text, and n_lines and n_gone (long) added.
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_gone")) -> DataFrame:
+    """``docs`` with the later copies of repeated runs deleted from text, and the lines and the deleted lines counted (long).
+
+    ``counts`` names the two counts; columns of ``docs`` with these names are replaced, all others pass through.
 
     A run is one or more lines in a row that hold a word, with at least ``min_words`` words
     in all; its first copy, by doc_id and position, stays. Copies that overlap the first
@@ -158,7 +160,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     are one document, and each keeps the same lines; a document may end up empty.
     """
     gone = later_copies(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias("__line_id"), F.col("tkey").alias("__line_tkey"), F.col("gone").alias("__line_gone"))
-    rows = docs.drop("n_lines", "n_gone")
+    rows = docs.drop(*counts)
     joined = rows.join(gone, (rows["doc_id"] == gone["__line_id"]) & (F.xxhash64(rows["text"]) == gone["__line_tkey"]), "left").drop("__line_id", "__line_tkey")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     names = rows.columns
@@ -176,6 +178,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     text = "\n".join(x for k, x in enumerate(split) if k not in drop)
                 texts.append(text)
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*names, "n_lines", "n_gone"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*names, *counts])
 
-    return joined.select(*names, "__line_gone").mapInArrow(run, f"{kinds}, n_lines long, n_gone long")
+    return joined.select(*names, "__line_gone").mapInArrow(run, f"{kinds}, `{counts[0]}` long, `{counts[1]}` long")
