@@ -45,9 +45,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     one id and text are one document.
     """
     graph.release(spark)
-    cut = linededup.dedup(docs)
-    left = (F.col("n_gone") == 0) | F.col("text").rlike(mixing.WORD)
-    return _measured(cut.where(left), docs.columns, F.col("n_gone") > 0)
+    # names of their own: the documents' n_lines and n_gone, if they have such columns, stay
+    cut = linededup.dedup(docs, counts=("__line_total", "__line_lost"))
+    left = (F.col("__line_lost") == 0) | F.col("text").rlike(mixing.WORD)
+    return _measured(cut.where(left), docs.columns, F.col("__line_lost") > 0)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
