@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, html, language, licenses, linededup, mixing, neardup, quality, sentencepieces, toxicity
+from . import embeddings, html, language, licenses, linededup, mixing, neardup, quality, sentencepieces, toxicity, trie
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -60,7 +60,11 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_gone", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_minhash_near_dedup, op4_language, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_line_dedup)}
+def op13_prefix_trie(spark, sf_dir):
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_minhash_near_dedup, op4_language, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_line_dedup, op13_prefix_trie)}
 WORDS = r"CAST(len(regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 OP6_SQL = rf"""WITH d AS (SELECT doc_id, source, {WORDS.format('text')} AS size, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS seed FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY 1),
@@ -87,4 +91,19 @@ fst AS (SELECT *, first_value(doc_id) OVER v AS fd, first_value(s) OVER v AS fs
 gone AS (SELECT DISTINCT l.doc_id, pos FROM fst JOIN l ON l.doc_id = fst.doc_id AND idx BETWEEN s AND e WHERE fd <> fst.doc_id OR fs + (e - s + 1) <= s),
 kept AS (SELECT a.doc_id, string_agg(line, chr(10) ORDER BY a.pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS n_gone, count(*) AS n_lines FROM a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.pos = a.pos GROUP BY 1)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_gone, 0) AS n_gone, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_line_dedup": OP10_SQL}
+#: A node is the list of the turns' digests; its subtree is what starts with it. Children of a node, in the order of their lists,
+#: give the preorder: a subtree's nodes follow its top, so the interval of its numbers is their count.
+OP13_SQL = r"""WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, md5(concat(CAST(strlen(coalesce(role, '')) AS VARCHAR), ':', coalesce(role, ''), ':', coalesce(text, ''))) AS turn, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT DISTINCT c, c - c % 5 AS base FROM o),
+codes AS (SELECT c, base, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS codes FROM k),
+bits AS (SELECT c, base, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), codes), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)) AS crc FROM codes),
+h AS (SELECT c, base, xor(crc, CAST(4294967295 AS BIGINT)) % 9 AS h FROM bits),
+r AS (SELECT h.c, 0 AS part, o.i, o.turn, o.bytes FROM h JOIN o ON o.c = h.base AND h.base <> h.c AND o.i < h.h UNION ALL SELECT h.c, 1, o.i, o.turn, o.bytes FROM h JOIN o ON o.c = h.c WHERE h.base = h.c OR o.i >= h.h),
+d AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, string_agg(turn, '') OVER (PARTITION BY c ORDER BY part, i) AS path, bytes FROM r UNION ALL SELECT c, 0, '', 0 FROM k),
+z AS (SELECT c, max(d) AS z FROM d GROUP BY 1),
+n AS (SELECT path, CAST(max(d.d) AS BIGINT) AS depth, min(d.c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, sha256(coalesce(string_agg(CASE WHEN d.d = z.z THEN CAST(d.c AS VARCHAR) END, ',' ORDER BY d.c), '')) AS ends_sha256 FROM d JOIN z ON z.c = d.c GROUP BY 1),
+kids AS (SELECT substr(path, 1, strlen(path) - 32) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+e AS (SELECT n.*, coalesce(kids.n_children, 0) AS n_children, row_number() OVER (ORDER BY n.path) - 1 AS first FROM n LEFT JOIN kids ON kids.path = n.path),
+s AS (SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum((b.n_convs - 1) * b.bytes) AS BIGINT) AS saved_tokens, count(*) AS size FROM e a JOIN e b ON starts_with(b.path, a.path) GROUP BY 1)
+SELECT e.conv_id, e.depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children, s.n_leaves, s.saved_tokens, e.ends_sha256, CAST(e.first AS BIGINT) AS first, CAST(e.first + s.size AS BIGINT) AS last FROM e JOIN s ON s.path = e.path LEFT JOIN n p ON e.depth > 0 AND p.path = substr(e.path, 1, strlen(e.path) - 32)"""
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_line_dedup": OP10_SQL, "op13_prefix_trie": OP13_SQL}
