@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, html, language, licenses, linededup, mixing, neardup, pii, quality, sentencepieces, toxicity, trie
+from . import alignment, embeddings, html, language, licenses, linededup, mixing, neardup, pii, quality, sentencepieces, toxicity, trie
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,10 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_gone", "text")
 
 
+def op11_token_alignment(spark, sf_dir, a: str = BYTE_LEVEL, b: str = MODEL):
+    return alignment.align(table(spark, sf_dir, "documents"), alignment.tokenizer_json(spark, a), sentencepieces.load(spark, b))
+
+
 def op12_pii(spark, sf_dir):
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op13_prefix_trie(spark, sf_dir):
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_minhash_near_dedup, op4_language, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_line_dedup, op12_pii, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_minhash_near_dedup, op4_language, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_embedding_near_dedup, op9_quality_rules, op10_line_dedup, op11_token_alignment, op12_pii, op13_prefix_trie)}
 WORDS = r"CAST(len(regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 OP6_SQL = rf"""WITH d AS (SELECT doc_id, source, {WORDS.format('text')} AS size, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS seed FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n FROM d GROUP BY 1),
