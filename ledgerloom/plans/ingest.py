@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources import sinks, statements
+from ..sources import sinks, statements, tables
 from ..sources import views as V
 
 
@@ -74,8 +75,78 @@ SELECT template, status, count(*) AS pages, CAST(sum(CASE WHEN status = 'PARSED'
 
 
 def s16(b):
-    runs = b.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).cast("long").alias("page"), F.col("l_discount").alias("x"), F.col("l_quantity").alias("y"), F.col("l_returnflag").alias("text"))
-    return statements.physical_rows(runs)
+    """Lines as text runs: a page's heights drift by less than the tolerance, so rows depend on where the one above began."""
+    item = b.table("lineitem")
+    runs = item.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).alias("page"), F.col("l_discount").alias("x"), F.col("l_quantity").alias("y"), F.lit(0.0).alias("width"), F.col("l_returnflag").alias("text"))
+    return tables.physical_rows(runs).select("doc_id", "page", "row_no", "y", F.array_join("texts", " ").alias("text"))
+
+
+#: Transactions on a page of the statements that ``_positioned`` prints.
+PAGE = 5
+
+
+def _positioned(b):
+    """Statements of one account and year as text runs, in four layouts by year.
+
+    0: plain. 1: a header of two lines, descriptions wrapped over up to four. 2: the description stands above its date. 3: a banner on every page,
+    a payment before the header, a closing line and a payment after it. All repeat header and footer on every page and
+    print amounts flush right, wider than their headers.
+    """
+    year = F.year("txn_date")
+    rows = b.base.withColumn("doc_id", F.col("account_id") * 10000 + year).withColumn("layout", year % 4)
+    order = Window.partitionBy("doc_id").orderBy("txn_date", "txn_id")
+    rows = rows.withColumn("r", F.row_number().over(order) - 1).withColumn("page", F.floor(F.col("r") / PAGE)).withColumn("top", 130.0 + F.col("r") % PAGE * 40)
+    run = lambda x, width, dy, text: F.struct(F.lit(x).cast("double").alias("x"), F.lit(width).cast("double").alias("width"), (F.col("top") + dy).alias("y"), text.alias("text"))
+    flush = lambda right, dy, text: F.struct((right - 12.0 * F.length(text)).alias("x"), (12.0 * F.length(text)).alias("width"), (F.col("top") + dy).alias("y"), text.alias("text"))
+    layout, money = F.col("layout"), F.col("amount").cast("string")
+    spent = F.col("txn_type") == "EXPENSE"
+    day = F.when(layout == 2, F.date_format("txn_date", "dd-MMM-yyyy")).when(layout == 3, F.date_format("txn_date", "yyyy-MM-dd")).otherwise(F.date_format("txn_date", "dd/MM/yyyy"))
+    word, rest = F.substring_index("description", " ", 1), F.expr("substr(description, length(substring_index(description, ' ', 1)) + 2)")
+    value = F.when(spent, flush(F.lit(350.0), 0, money)).otherwise(flush(F.lit(420.0), 0, money))
+    printed = F.when(layout == 0, F.array(run(40, 55, 0, day), run(110, 80, 0, F.col("description")), value)).when(layout == 1, F.array(run(40, 55, 0, day), run(110, 40, 0, word), value, run(110, 60, 9, rest), run(110, 60, 18, F.col("txn_id")), run(110, 60, 27, F.lit("via mobile banking")))).when(layout == 2, F.array(run(110, 80, -5, F.col("description")), run(40, 55, 0, day), value)).otherwise(F.array(run(40, 55, 0, day), run(110, 80, 0, F.col("description")), flush(F.lit(340.0), 0, money), run(380, 12, 0, F.when(spent, "DR").otherwise("CR"))))
+    body = rows.select("doc_id", "page", F.inline(printed))
+    pages = rows.groupBy("doc_id", "layout", "account_id").agg(F.max("page").alias("last")).withColumn("page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).withColumn("top", F.lit(0.0))
+    text = lambda x, width, y, what: run(x, width, y, F.lit(what))
+    plain = [text(40, 22, 100, "Date"), text(110, 55, 100, "Description"), text(300, 50, 100, "Withdrawal"), text(380, 40, 100, "Deposit")]
+    wrapped = [text(40, 18, 92, "Txn"), text(110, 50, 92, "Narration"), text(300, 50, 92, "Withdrawal"), text(380, 40, 92, "Deposit"), text(40, 22, 102, "Date"), text(310, 25, 102, "(INR)"), text(390, 25, 102, "(INR)")]
+    typed = [run(150, 200, 60, F.concat(F.lit("SAVINGS ACCOUNT - "), F.lpad(F.col("account_id").cast("string"), 8, "0"))), text(40, 22, 100, "Date"), text(110, 55, 100, "Particulars"), text(300, 40, 100, "Amount"), text(380, 20, 100, "Type")]
+    first = F.when(F.col("page") == 0, F.array(text(110, 60, 75, "Last payment"), text(40, 55, 75, "01/02/1995"), text(300, 40, 75, "12.50"))).otherwise(F.array().cast("array<struct<x:double,width:double,y:double,text:string>>"))
+    ended = F.when(F.col("page") == F.col("last"), F.array(text(200, 90, 705, "End of statement"), text(40, 55, 715, "03/02/1995"), text(300, 40, 715, "99.00"))).otherwise(F.array().cast("array<struct<x:double,width:double,y:double,text:string>>"))
+    foot = F.array(run(250, 60, 700, F.concat(F.lit("Page "), F.col("page") + 1, F.lit(" of "), F.col("last") + 1)))
+    frame = F.concat(F.when(layout == 1, F.array(*wrapped)).when(layout == 3, F.concat(F.array(*typed), first, ended)).otherwise(F.array(*plain)), foot)
+    return body.unionByName(pages.select("doc_id", "page", F.inline(frame)))
+
+
+def _located(b):
+    return tables.located(tables.physical_rows(_positioned(b)))
+
+
+def s16_tables(b):
+    rows = tables.columns_of(_located(b))
+    return rows.select("doc_id", "section", (F.row_number().over(Window.partitionBy("doc_id").orderBy("seq")) - 1).alias("row_no"), "page", "date", "description", "debit", "credit", "amount", "type")
+
+
+def s16_evidence(b):
+    return _located(b).where("kind != 'ROW'").groupBy("doc_id", "kind", "reason").agg(F.count("*").alias("lines"))
+
+
+POSITIONED_SQL = f"""{V.BASE}, p AS (SELECT *, account_id * 10000 + year(txn_date) AS doc_id, year(txn_date) % 4 AS layout, row_number() OVER (PARTITION BY account_id, year(txn_date) ORDER BY txn_date, txn_id) - 1 AS r, CAST(amount AS VARCHAR) AS money, CASE WHEN contains(description, ' ') THEN substr(description, strpos(description, ' ') + 1) ELSE '' END AS rest FROM base)"""
+S16_TABLES_SQL = f"""WITH {POSITIONED_SQL}
+SELECT doc_id, 0 AS section, r AS row_no, r // {PAGE} AS page, CASE layout WHEN 2 THEN strftime(txn_date, '%d-%b-%Y') WHEN 3 THEN strftime(txn_date, '%Y-%m-%d') ELSE strftime(txn_date, '%d/%m/%Y') END AS date,
+  CASE WHEN layout = 1 THEN concat_ws(' ', string_split(description, ' ')[1], nullif(rest, ''), txn_id, 'via mobile banking') ELSE description END AS description,
+  CASE WHEN layout < 3 AND txn_type = 'EXPENSE' THEN money END AS debit, CASE WHEN layout < 3 AND txn_type = 'INCOME' THEN money END AS credit,
+  CASE WHEN layout = 3 THEN money END AS amount, CASE WHEN layout = 3 THEN CASE WHEN txn_type = 'EXPENSE' THEN 'DR' ELSE 'CR' END END AS type FROM p"""
+S16_EVIDENCE_SQL = f"""WITH {POSITIONED_SQL}, d AS (SELECT doc_id, layout, count(*) AS n, (max(r) // {PAGE}) + 1 AS pages, count(*) FILTER (rest <> '') AS rests FROM p GROUP BY 1, 2),
+e AS (SELECT doc_id, 'EVENT' AS kind, 'REPEATED_HEADER' AS reason, pages - 1 AS lines FROM d UNION ALL SELECT doc_id, 'EVENT', 'FOOTER', pages FROM d
+  UNION ALL SELECT doc_id, 'EVENT', 'WRAPPED_HEADER', pages FROM d WHERE layout = 1 UNION ALL SELECT doc_id, 'EVENT', 'CONTINUATION', rests + 2 * n FROM d WHERE layout = 1
+  UNION ALL SELECT doc_id, 'EVENT', 'LEADING_LINE', n FROM d WHERE layout = 2
+  UNION ALL SELECT doc_id, 'EVENT', 'REPEATED_BANNER', pages - 1 FROM d WHERE layout = 3 UNION ALL SELECT doc_id, 'EVENT', 'TABLE_CLOSED', 1 FROM d WHERE layout = 3
+  UNION ALL SELECT doc_id, 'DROPPED', 'BEFORE_HEADER', 1 FROM d WHERE layout = 3 UNION ALL SELECT doc_id, 'TEXT', NULL, 4 FROM d WHERE layout = 3)
+SELECT * FROM e WHERE lines > 0"""
+S16_ROWS_SQL = """WITH RECURSIVE o AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS page, l_discount AS x, l_quantity AS y, l_returnflag AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 2, l_quantity, l_discount, l_returnflag) AS r FROM lineitem),
+f AS (SELECT doc_id, r, page, y AS anchor, 0 AS row_no FROM o WHERE r = 1
+  UNION ALL SELECT o.doc_id, o.r, o.page, CASE WHEN o.page <> f.page OR o.y - anchor > 3 THEN o.y ELSE anchor END, row_no + CASE WHEN o.page <> f.page OR o.y - anchor > 3 THEN 1 ELSE 0 END FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r + 1)
+SELECT f.doc_id, f.page, row_no, anchor AS y, string_agg(text, ' ' ORDER BY x, text) AS text FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r GROUP BY 1, 2, 3, 4"""
 
 
 def s16_cells(b):
@@ -106,7 +177,9 @@ QUERIES = {
     "S8_S9_amounts_and_signs": (s8, f"WITH {V.BASE} SELECT txn_id, f AS form, CAST(CASE f WHEN 0 THEN amount WHEN 1 THEN -amount WHEN 2 THEN amount WHEN 3 THEN -amount WHEN 5 THEN 1234.50 WHEN 6 THEN amount END AS DOUBLE) AS value, CASE f WHEN 1 THEN 'EXPENSE' WHEN 2 THEN 'INCOME' WHEN 6 THEN 'INCOME' END AS sign FROM base, (SELECT unnest(range(7)) AS f)"),
     "S12_S14_rejects": (s14, f"WITH {V.BASE}, {ROWS} SELECT 'NO_AMOUNT' AS reason, 'amount|narration|ref no|txn date' AS columns, count(*) AS rows FROM r WHERE outcome = 'UNPARSEABLE'"),
     "S13_preview_split": (s13, f"WITH {V.BASE}, {ROWS} SELECT CAST(account_id AS VARCHAR) AS file, outcome, count(*) AS rows FROM r GROUP BY 1, 2"),
-    "S16_physical_rows": (s16, None),
+    "S16_physical_rows": (s16, S16_ROWS_SQL),
+    "S16_tables": (s16_tables, S16_TABLES_SQL),
+    "S16_evidence": (s16_evidence, S16_EVIDENCE_SQL),
     "S16_column_buckets": (s16_cells, "WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_quantity AS x, l_partkey AS y, l_returnflag AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT doc_id, 0 AS page, x, y, text, CASE WHEN abs(x - 5) <= abs(x - 20) THEN 0 WHEN abs(x - 20) <= abs(x - 40) THEN 1 ELSE 2 END AS \"column\" FROM r"),
     "S17_metadata": (s17, f"WITH {V.BASE} SELECT DISTINCT CAST(account_id AS VARCHAR) AS file, 'A Holder' AS holder, '1234' AS last4 FROM base"),
     "S18_receipts": (s18, S18_SQL),

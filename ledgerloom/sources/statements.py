@@ -148,30 +148,6 @@ def metadata(lines: DataFrame) -> DataFrame:
     return found.distinct().withColumn("opening", parse_number(F.col("opening"))).withColumn("closing", parse_number(F.col("closing")))
 
 
-def physical_rows(runs: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Positioned text (doc_id, page, x, y, text) in rows: row numbers and their text, in order.
-
-    A run joins the row whose first run is at most ``tolerance`` above it, so slow drift starts a
-    new row. The fold runs over a page's distinct heights, in one group a page.
-    """
-
-    def fold(part):
-        import pandas as pd
-
-        part = part.sort_values(["y", "x"], kind="stable")
-        row, anchor, rows = -1, None, []
-        for y in part["y"]:
-            if anchor is None or abs(y - anchor) > tolerance:
-                row, anchor = row + 1, y
-            rows.append(row)
-        part = part.assign(row_no=rows).sort_values(["row_no", "x"], kind="stable")
-        joined = part.groupby("row_no")["text"].agg(" ".join)
-        head = part.iloc[0]
-        return pd.DataFrame({"doc_id": head["doc_id"], "page": head["page"], "row_no": joined.index, "text": joined.values})
-
-    return runs.groupBy("doc_id", "page").applyInPandas(fold, "doc_id long, page long, row_no long, text string")
-
-
 def bucket_cells(runs: DataFrame, anchors: DataFrame) -> DataFrame:
     """Each run's column: the nearest anchor of its page, the first of equals (anchors are a few rows a page)."""
     near = runs.join(anchors, ["doc_id", "page"])

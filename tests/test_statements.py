@@ -45,11 +45,6 @@ def test_dates_and_numbers(spark):
     assert {r["t"]: r["n"] for r in got} == numbers
 
 
-def test_physical_rows_anchor_on_the_first_run(spark):
-    runs = spark.createDataFrame([(1, 1, 5.0, 10.0, "b"), (1, 1, 1.0, 12.0, "a"), (1, 1, 1.0, 14.0, "c"), (1, 1, 9.0, 16.0, "d")], "doc_id long, page long, x double, y double, text string")
-    assert [r["text"] for r in statements.physical_rows(runs).orderBy("row_no").collect()] == ["a b", "c d"]
-
-
 def chain(spark, rows, opening=100):
     frame = spark.createDataFrame([("s", k, date(2024, 1, d), None if a is None else Decimal(a), None if b is None else Decimal(b)) for k, (d, a, b) in enumerate(rows)], "statement_id string, row_no int, txn_date date, amount decimal(24,2), balance decimal(24,2)")
     openings = spark.createDataFrame([("s", None if opening is None else Decimal(opening))], "statement_id string, opening decimal(24,2)")
@@ -121,9 +116,3 @@ def test_upserts_and_change_sets(spark, tmp_path):
     manifest = sinks.export({"t": rows}, str(tmp_path / "out"))
     assert sorted(map(tuple, manifest.collect())) == [(1, 2, "t"), (2, 1, "t")]
     assert spark.read.json(str(tmp_path / "out" / "t")).count() == 3
-
-
-def test_physical_rows_of_every_document(spark):
-    items = spark.createDataFrame([(k, 1, 0.1, 10.0, "R") for k in range(1, 8)], "l_orderkey long, l_linenumber int, l_discount double, l_quantity double, l_returnflag string")
-    got = ingest.s16(SimpleNamespace(table=lambda name: items)).collect()
-    assert sorted(r["doc_id"] for r in got) == list(range(1, 8))
