@@ -175,30 +175,6 @@ def replay(events: DataFrame) -> DataFrame:
     return folded(rows, ["user_id", "merchant"], ["ts", "event_id"], start, step, schema, finish)
 
 
-# Product hypotheses as (type, signal place, pattern, weight, expected) rows; forbidden ones veto.
-PRODUCTS = [
-    ("CREDIT_CARD", "HEADER", "minimum due", 1.0, True), ("CREDIT_CARD", "ROWS", "purchase", 0.8, True), ("CREDIT_CARD", "SECTION", "card number", 0.6, True), ("CREDIT_CARD", "ROWS", "cheque", 0.0, False),
-    ("SAVINGS", "HEADER", "balance", 1.0, True), ("SAVINGS", "ROWS", "neft", 0.8, True), ("SAVINGS", "SECTION", "savings account", 0.6, True), ("SAVINGS", "SECTION", "card number", 0.0, False),
-]
-
-
-def classify_products(signals: DataFrame, least: float = 0.6, top: float = 0.95) -> DataFrame:
-    """Each document's product from its (doc_id, place, text) signals.
-
-    Score: weights found over the number expected, capped; under two corroborating signals
-    0; a forbidden signal vetoes; under ``least`` UNKNOWN; ties in the order of the table.
-    """
-    spark = signals.sparkSession
-    table = spark.createDataFrame([(i, *p) for i, p in enumerate(PRODUCTS)], "n int, product string, place string, pattern string, weight double, expected boolean")
-    docs = signals.select("doc_id").distinct()
-    hit = signals.join(F.broadcast(table), "place").where(F.contains(F.lower("text"), F.col("pattern"))).select("doc_id", "n", "product", "weight", "expected").distinct()
-    size = table.where("expected").groupBy("product").agg(F.count("*").alias("size"), F.min("n").alias("first"))
-    scored = hit.groupBy("doc_id", "product").agg(F.sum(F.when(F.col("expected"), F.col("weight")).otherwise(0.0)).alias("sum"), F.count(F.when(F.col("expected"), 1)).alias("found"), F.bool_or(~F.col("expected")).alias("veto")).join(F.broadcast(size), "product")
-    score = F.when(F.col("veto") | (F.col("found") < 2), 0.0).otherwise(F.least(F.lit(top), F.col("sum") / F.col("size")))
-    best = scored.withColumn("score", F.round(score, 4)).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "first"))).where("place = 1")
-    return docs.join(best, "doc_id", "left").select("doc_id", F.when(F.col("score") >= least, F.col("product")).otherwise(F.lit("UNKNOWN")).alias("product"), F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
 def match_products(found: DataFrame, known: DataFrame) -> DataFrame:
     """How each found product (found_id, institution, number) is known: EXACT by identity key, PROBABLE by institution and last four digits, else NONE."""
     last4 = lambda c: F.right(F.regexp_replace(c, "[^0-9]", ""), F.lit(4))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import enrich as N
+from ..operators import institutions
+from ..operators import products as P
 from ..sources import views as V
 from .reconcile import NORM
 
@@ -167,18 +169,52 @@ def c9(b):
     return b.ledger.where((F.col("decision_source") == "MERCHANT_DEFAULT") & (word == "Other")).groupBy("user_id").agg(F.count("*").alias("ask"))
 
 
-def c10(b):
-    place = F.element_at(F.array(F.lit("HEADER"), F.lit("ROWS"), F.lit("SECTION")), (F.col("event_id") % 3 + 1).cast("int"))
-    words = F.element_at(F.array(*map(F.lit, ["Balance", "NEFT in", "Savings Account", "Minimum Due", "Purchase x", "Card Number", "cheque", "other"])), F.col("k") % 8 + 1)
-    return N.classify_products(b.events.select((F.col("event_id") % 500).alias("doc_id"), place.alias("place"), words.alias("text")))
+#: Facts of the events: eight events a section, most of them signals of the section's intended type, the others any signal.
+C10_TYPES = ["SAVINGS", "CURRENT", "OVERDRAFT", "WALLET", "CREDIT_CARD", "RECURRING_DEPOSIT", "FIXED_DEPOSIT", "LOAN", "PPF", "EPF", "NPS", "DEMAT", "MUTUAL_FUND"]
+C10_SIGNALS = ["DATE_COLUMN", "DESCRIPTION_COLUMN", "DEBIT_CREDIT_COLUMNS", "RUNNING_BALANCE_COLUMN", "TRANSACTION_ROWS", "OPENING_BALANCE_FIELD", "CLOSING_BALANCE_FIELD", "MATURITY_FIELD", "INTEREST_RATE_FIELD", "PRINCIPAL_FIELD", "INSTALLMENT_FIELD", "MINIMUM_DUE_FIELD", "TOTAL_DUE_FIELD", "CREDIT_LIMIT_FIELD", "CARD_NUMBER_FIELD", "EMI_FIELD", "OUTSTANDING_FIELD", "TENURE_FIELD"]
+#: By type the places (from 1) in C10_SIGNALS of what is expected, forbidden and proving; and whether it must be named.
+C10_ROWS = [
+    ([1, 2, 3, 4, 5, 6, 7], [8, 11, 16, 12, 13], [1, 2, 5, 6, 7], False), ([1, 2, 3, 4, 5], [8, 11, 16, 12], [1, 2, 5], True), ([1, 2, 4, 5, 14], [8, 11, 12], [1, 5], True), ([1, 2, 5, 4], [8, 11, 16, 14], [1, 5], True),
+    ([12, 13, 14, 15, 1, 2], [8, 11, 6], [15, 13], False), ([11, 8, 1, 9], [2, 12, 16], [11, 8], False), ([8, 9, 10, 1], [2, 11, 12, 16], [10, 9, 8], False), ([16, 17, 18, 9], [12, 15], [17, 16], False),
+    ([], [2, 12], [], True), ([], [2, 12], [], True), ([], [2, 12], [], True), ([], [2, 12], [], True), ([], [2, 12], [], True),
+]
 
 
-C10_SQL = f"""WITH {V.EVENTS}, s AS (SELECT event_id % 500 AS doc_id, ['HEADER', 'ROWS', 'SECTION'][event_id % 3 + 1] AS place, ['Balance', 'NEFT in', 'Savings Account', 'Minimum Due', 'Purchase x', 'Card Number', 'cheque', 'other'][k % 8 + 1] AS t FROM ev),
-p AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{a}', '{c}', '{d}', {w}, {str(e).lower()})" for i, (a, c, d, w, e) in enumerate(N.PRODUCTS))}) v(n, product, place, pattern, weight, expected)),
-h AS (SELECT DISTINCT doc_id, n, product, weight, expected FROM s JOIN p ON s.place = p.place AND contains(lower(t), pattern)), z AS (SELECT product, count(*) AS size, min(n) AS first FROM p WHERE expected GROUP BY 1),
-c AS (SELECT doc_id, product, round(CASE WHEN bool_or(NOT expected) OR count(*) FILTER (expected) < 2 THEN 0.0 ELSE least(0.95, sum(CASE WHEN expected THEN weight ELSE 0.0 END) / any_value(size)) END, 4) AS score, any_value(first) AS first FROM h JOIN z USING (product) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) AS place FROM c)
-SELECT d.doc_id, CASE WHEN score >= 0.6 THEN product ELSE 'UNKNOWN' END AS product, CAST(coalesce(score, 0.0) AS DOUBLE) AS score FROM (SELECT DISTINCT doc_id FROM s) d LEFT JOIN r ON r.doc_id = d.doc_id AND place = 1"""
+def _strings(values):
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
+def c10(b):
+    e = b.events
+    doc = F.floor(F.col("event_id") / 8)
+    kind = (doc % 13).cast("int")
+    expected = F.get(F.array(*[_strings([C10_SIGNALS[k - 1] for k in row[0]]) for row in C10_ROWS]), kind)
+    own = F.get(expected, (F.col("event_id") % F.greatest(F.size(expected), F.lit(1))).cast("int"))
+    # one event in eight names the type, or the next one; some are noise
+    naming = F.col("event_id") % 8 == 7
+    noise = F.get(_strings(C10_SIGNALS), F.col("k") % 18)
+    signal = F.when(naming, "PRODUCT_NAME").when((F.col("k") % 9 == 0) | own.isNull(), noise).otherwise(own)
+    place = F.get(_strings(list(P.PLACES)), F.when(F.col("k") % 7 == 0, 3).otherwise(F.col("k") % 3).cast("int"))
+    named = F.when(naming, F.get(_strings(C10_TYPES), ((kind + (F.col("k") % 10 == 1).cast("int")) % 13).cast("int")))
+    return P.classify(e.select(doc.alias("doc_id"), place.alias("place"), signal.alias("signal"), named.alias("named")))
+
+
+_C10_TABLE = ", ".join(f"({n}, '{t}', CAST({e} AS INT[]), CAST({f} AS INT[]), CAST({p} AS INT[]), {str(must).lower()})" for n, (t, (e, f, p, must)) in enumerate(zip(C10_TYPES, C10_ROWS, strict=True)))
+C10_SQL = f"""WITH {V.EVENTS}, h(n, type, expected, forbidden, proof, must) AS (VALUES {_C10_TABLE}),
+x AS (SELECT event_id, k, event_id // 8 AS doc_id, event_id % 8 = 7 AS naming, h.n, h.expected FROM ev JOIN h ON h.n = event_id // 8 % 13),
+f AS (SELECT doc_id, CASE WHEN k % 7 = 0 THEN 3 ELSE k % 3 END AS place, CASE WHEN naming THEN NULL WHEN k % 9 = 0 OR len(expected) = 0 THEN k % 18 + 1 ELSE expected[event_id % len(expected) + 1] END AS signal, CASE WHEN naming THEN (n + CASE WHEN k % 10 = 1 THEN 1 ELSE 0 END) % 13 END AS named FROM x),
+s AS (SELECT doc_id, signal, min(place) AS place FROM f WHERE signal IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT doc_id, named, min(place) AS place FROM f WHERE named IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT DISTINCT doc_id FROM f),
+w(place, weight) AS (VALUES (0, 1.0), (1, 0.8), (2, 0.6), (3, 0.15)),
+e AS (SELECT d.doc_id, h.n, count(s.signal) AS support, coalesce(sum(w.weight), 0) AS earned FROM d CROSS JOIN h LEFT JOIN s ON s.doc_id = d.doc_id AND list_contains(h.expected, s.signal) LEFT JOIN w ON w.place = s.place GROUP BY 1, 2),
+c AS (SELECT d.doc_id, h.n, count(s.signal) AS against FROM d CROSS JOIN h LEFT JOIN s ON s.doc_id = d.doc_id AND s.place < 3 AND list_contains(h.forbidden, s.signal) GROUP BY 1, 2),
+p AS (SELECT d.doc_id, h.n, len(h.proof) > 0 AND count(s.signal) = len(h.proof) AS proved FROM d CROSS JOIN h LEFT JOIN s ON s.doc_id = d.doc_id AND list_contains(h.proof, s.signal) GROUP BY d.doc_id, h.n, h.proof),
+g AS (SELECT e.doc_id, h.n, h.type, p.proved, CASE WHEN against > 0 OR (must AND NOT coalesce(m.place < 3, false)) THEN 0 WHEN len(expected) = 0 THEN CAST(nw.weight AS DOUBLE) WHEN support + CASE WHEN coalesce(m.place < 3, false) THEN 1 ELSE 0 END < 2 THEN 0
+    ELSE least(0.95, round(CAST(earned + coalesce(nw.weight, 0) AS DOUBLE) / CAST(len(expected) + coalesce(nw.weight, 0) AS DOUBLE), 9)) END AS score
+  FROM e JOIN h ON h.n = e.n JOIN c ON c.doc_id = e.doc_id AND c.n = e.n JOIN p ON p.doc_id = e.doc_id AND p.n = e.n LEFT JOIN m ON m.doc_id = e.doc_id AND m.named = e.n LEFT JOIN w nw ON nw.place = m.place),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n) AS r FROM g)
+SELECT doc_id, CASE WHEN least(score, 0.95) >= 0.6 THEN type ELSE 'UNKNOWN' END AS product, round(least(score, 0.95), 6) AS score, CASE WHEN least(score, 0.95) < 0.6 THEN 'UNIDENTIFIED' WHEN proved THEN 'VALIDATED' ELSE 'UNPROVEN' END AS verdict FROM b WHERE r = 1"""
 
 
 def c11(b):
@@ -230,11 +266,46 @@ def j11(b):
 
 
 def j17(b):
-    banks = [("HDFC", "ring"), ("ICIC", "bolt"), ("SBIN", "gear")]
-    hit = F.array_compact(F.array(*[F.when(F.contains("p_name", F.lit(alias)), F.lit(bank)) for bank, alias in banks]))
-    return b.table("part").select("p_partkey", F.coalesce(F.array_min(hit), F.lit("OTHER")).alias("bank"))
-
-
+    """A file for each customer: its name and five lines name institutions (after nations) in words, split words and codes, alone or against each other."""
+    nation = b.table("nation").select(F.col("n_nationkey").cast("int").alias("n"), "n_name")
+    aliases = nation.select("n_name", F.explode(F.array(F.concat(F.lit("Bank of "), "n_name"), F.concat(F.left("n_name", F.lit(3)), F.lit(" Bank")), F.concat("n_name", F.lit(" Savings Bank")))).alias("alias"))
+    codes = nation.select("n_name", F.left(F.concat(F.regexp_replace("n_name", " ", ""), F.lit("XXXX")), F.lit(4)).alias("prefix"))
+    c = b.table("customer").select(F.col("c_custkey").alias("file"), F.col("c_nationkey").cast("int").alias("n"), F.col("c_custkey").alias("key"))
+    # the institution that each line is about: the customer's own nation or one of the next
+    about = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: ((F.col("n") + F.when((F.col("key") % (k + 3)) == 0, k).otherwise(0)) % 25).cast("int"))).alias("at", "m")
+    said = c.select("file", "key", about).join(F.broadcast(nation.withColumnRenamed("n", "m")), "m")
+    code = F.concat(F.left(F.concat(F.regexp_replace("n_name", " ", ""), F.lit("XXXX")), F.lit(4)), F.lit("0"), F.lpad((F.col("key") % 1000000).cast("string"), 6, "0"))
+    at, key = F.col("at"), F.col("key")
+    text = (
+        F.when((at == 0) & (key % 5 == 0), F.concat(F.lit("IFSC : "), code)).when((at == 1) & (key % 5 == 1), F.concat(F.lit("IFSC code "), code, F.lit(" branch")))
+        .when((at == 2) & (key % 4 != 3), F.concat(F.lit("Welcome to bank  of-"), F.lower("n_name"))).when((at == 3) & (key % 3 != 1), F.concat(F.initcap(F.left("n_name", F.lit(3))), F.lit("bank, your "), F.lower("n_name"), F.lit(" savings bank")))
+        .when((at == 4) & (key % 7 == 2), F.concat(F.lit("paid to "), code)).when((at == 5) & (key % 2 == 0), F.concat(F.lower("n_name"), F.lit("bankofx xbank of "), F.lower("n_name")))
+    )
+    lines = said.select("file", text.alias("text")).where("text is not null")
+    files = c.join(F.broadcast(nation), "n").select("file", F.concat(F.lit("stmt_"), F.left(F.lower("n_name"), F.lit(3)), F.when(key % 6 == 0, F.lit("x")).otherwise(F.lit("_")), F.lit("bank_2024.pdf")).alias("name"))
+    return institutions.detect(files, lines, aliases.withColumnRenamed("n_name", "institution"), codes.withColumnRenamed("n_name", "institution"))
+
+
+#: An alias as a pattern: its letters with anything but letters and digits between them, neither in front nor behind.
+J17_SQL = r"""WITH nat AS (SELECT CAST(n_nationkey AS INT) AS n, n_name, substr(replace(n_name, ' ', '') || 'XXXX', 1, 4) AS prefix FROM nation),
+al AS (SELECT n_name, upper(regexp_replace(a, '[^A-Za-z0-9]', '', 'g')) AS a FROM (SELECT n_name, unnest(['Bank of ' || n_name, left(n_name, 3) || ' Bank', n_name || ' Savings Bank']) AS a FROM nat)),
+pat AS (SELECT n_name, strlen(a) AS len, '(^|[^A-Z0-9])' || array_to_string(string_split(a, ''), '[^A-Z0-9]*') || '([^A-Z0-9]|$)' AS p FROM al),
+c AS (SELECT c_custkey AS file, c_custkey AS key, CAST(c_nationkey AS INT) AS n, unnest(range(6)) AS pos FROM customer),
+s AS (SELECT file, key, pos, n_name, prefix || '0' || lpad(CAST(key % 1000000 AS VARCHAR), 6, '0') AS code FROM c JOIN nat ON nat.n = (c.n + CASE WHEN key % (pos + 3) = 0 THEN pos ELSE 0 END) % 25),
+t AS (SELECT DISTINCT file, CASE WHEN pos = 0 AND key % 5 = 0 THEN 'IFSC : ' || code WHEN pos = 1 AND key % 5 = 1 THEN 'IFSC code ' || code || ' branch' WHEN pos = 2 AND key % 4 <> 3 THEN 'Welcome to bank  of-' || lower(n_name)
+    WHEN pos = 3 AND key % 3 <> 1 THEN upper(left(n_name, 1)) || lower(substr(n_name, 2, 2)) || 'bank, your ' || lower(n_name) || ' savings bank' WHEN pos = 4 AND key % 7 = 2 THEN 'paid to ' || code WHEN pos = 5 AND key % 2 = 0 THEN lower(n_name) || 'bankofx xbank of ' || lower(n_name) END AS text FROM s),
+l AS (SELECT * FROM t WHERE text IS NOT NULL),
+k AS (SELECT file, upper(text) LIKE '%IFSC%' AS labelled, n_name FROM (SELECT file, text, unnest(regexp_extract_all(text, '([A-Z]{4})0[A-Z0-9]{6}', 1)) AS code FROM l) x JOIN nat ON nat.prefix = x.code),
+bk AS (SELECT file, CASE WHEN count(DISTINCT n_name) FILTER (labelled) = 1 THEN min(n_name) FILTER (labelled) END AS by_label, CASE WHEN count(DISTINCT n_name) = 1 THEN min(n_name) END AS by_code FROM k GROUP BY 1),
+words AS (SELECT DISTINCT text FROM l), hit AS (SELECT w.text, pat.n_name, pat.len, max(pat.len) OVER (PARTITION BY w.text) AS longest FROM words w JOIN pat ON regexp_matches(upper(w.text), pat.p)),
+v AS (SELECT l.file, hit.n_name, count(DISTINCT l.text) AS lines FROM l JOIN hit ON hit.text = l.text AND hit.len = hit.longest GROUP BY 1, 2),
+bt AS (SELECT file, CASE WHEN count(*) = 1 THEN min(n_name) END AS by_text FROM (SELECT *, max(lines) OVER (PARTITION BY file) AS most FROM v) WHERE lines = most GROUP BY 1),
+names AS (SELECT DISTINCT key % 6 = 0 AS welded, nat.n_name, 'STMT_' || left(nat.n_name, 3) || CASE WHEN key % 6 = 0 THEN 'X' ELSE '_' END || 'BANK_2024.PDF' AS name FROM c JOIN nat ON nat.n = c.n),
+nh AS (SELECT names.name, pat.n_name, pat.len, max(pat.len) OVER (PARTITION BY names.name) AS longest FROM (SELECT DISTINCT name FROM names) names JOIN pat ON regexp_matches(names.name, pat.p)),
+bn AS (SELECT name, CASE WHEN count(DISTINCT n_name) = 1 THEN min(n_name) END AS by_name FROM nh WHERE len = longest GROUP BY 1),
+f AS (SELECT DISTINCT c.file, 'STMT_' || left(nat.n_name, 3) || CASE WHEN key % 6 = 0 THEN 'X' ELSE '_' END || 'BANK_2024.PDF' AS name FROM c JOIN nat ON nat.n = c.n)
+SELECT f.file, coalesce(by_label, by_text, by_code, by_name, 'OTHER') AS institution, CASE WHEN by_label IS NOT NULL THEN 'LABELLED_CODE' WHEN by_text IS NOT NULL THEN 'TEXT' WHEN by_code IS NOT NULL THEN 'CODE' WHEN by_name IS NOT NULL THEN 'FILE_NAME' ELSE 'NONE' END AS signal
+FROM f LEFT JOIN bk ON bk.file = f.file LEFT JOIN bt ON bt.file = f.file LEFT JOIN bn ON bn.name = f.name"""
 QUERIES = {
     "F_text_functions": (f_text, F_TEXT),
     "F_masking_and_identity": (f_mask, F_MASK),
@@ -258,5 +329,5 @@ QUERIES = {
     "A32_confidence_distribution": (a32, f"WITH {LEARN} SELECT user_id, merchant, category_id, CAST(floor(confirmations * 100 / sum(confirmations) OVER (PARTITION BY user_id, merchant) + 0.5) AS BIGINT) AS confidence FROM learning"),
     "W6_top_learnt": (w6, f"WITH {LEARN}, {TOP} SELECT user_id, merchant, category_id, confirmations, confidence FROM tl"),
     "J11_identifier_join": (j11, f"WITH {V.BASE}, i AS (SELECT DISTINCT user_id, lower(string_split(description, ' ')[-1]) AS identifier FROM base WHERE qty = 50) SELECT DISTINCT txn_id FROM base b JOIN i ON b.user_id = i.user_id AND contains({NORM.format('description')}, identifier)"),
-    "J17_institution": (j17, "SELECT p_partkey, coalesce(min(bank), 'OTHER') AS bank FROM part LEFT JOIN (VALUES ('HDFC', 'ring'), ('ICIC', 'bolt'), ('SBIN', 'gear')) v(bank, alias) ON contains(p_name, alias) GROUP BY 1"),
+    "J17_institution": (j17, J17_SQL),
 }

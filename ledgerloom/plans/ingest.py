@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources import sinks, statements, tables
+from ..sources import labels, sinks, statements, tables
 from ..sources import views as V
 
 
@@ -149,6 +149,51 @@ f AS (SELECT doc_id, r, page, y AS anchor, 0 AS row_no FROM o WHERE r = 1
 SELECT f.doc_id, f.page, row_no, anchor AS y, string_agg(text, ' ' ORDER BY x, text) AS text FROM f JOIN o ON o.doc_id = f.doc_id AND o.r = f.r GROUP BY 1, 2, 3, 4"""
 
 
+def _fronts(b):
+    """First pages of one account and year as text runs, in five layouts by year: label and value in one run, side by side, in a grid,
+    the label behind its value, and in single words."""
+    d = b.base.withColumn("doc_id", F.col("account_id") * 10000 + F.year("txn_date")).groupBy("doc_id", "account_id", "user_id").agg(F.min("txn_date").alias("first"), F.max("txn_date").alias("last"), F.sum("amount").alias("total"), F.max("amount").alias("most"))
+    layout = (F.col("doc_id") % 5).cast("int")
+    name = F.concat(F.lit("A "), F.translate(F.col("user_id").cast("string"), "0123456789", "ghijklmnop"))
+    day = F.when(layout == 1, F.date_format("last", "dd MMM yyyy")).otherwise(F.date_format("last", "dd/MM/yyyy"))
+    period = F.concat(F.date_format("first", "dd-MM-yyyy"), F.lit(" to "), F.date_format("last", "dd-MM-yyyy"))
+    values = [
+        ("Account Holder Name", name), ("Account Number", F.concat(F.lit("XXXX"), F.lpad(F.col("account_id").cast("string"), 8, "0"))), ("Branch", F.concat(F.lit("Road "), F.col("user_id"))),
+        ("IFSC Code", F.concat(F.lit("ABCD0"), F.lpad(F.col("account_id").cast("string"), 6, "0"))), ("Statement Period", period), ("Credit Limit", F.concat(F.lit("Rs. "), F.col("most"))),
+        ("Payment Due Date", day), ("Opening Balance", F.concat(F.col("most"), F.lit(" Dr"))), ("Closing Balance", F.col("total").cast("string")),
+    ]
+    run = lambda x, y, text: F.struct(F.lit(x).cast("double").alias("x"), (5.0 * F.length(text)).alias("width"), F.lit(y).cast("double").alias("y"), text.alias("text"))
+    made = [[], [], [], [], []]
+    for k, (label, value) in enumerate(values):
+        label, y = F.lit(label), 40 + 15 * k
+        made[0].append(run(40, y, F.concat(label, F.lit(" : "), value)))
+        made[1] += [run(40, y, label), run(220, y, F.concat(F.lit(": "), value))]
+        x, top = 40 + 180 * (k % 3), 40 + 40 * (k // 3)
+        made[2] += [run(x, top, label), run(x + 10, top + 14, value)]
+        made[3] += [run(40, y, value), run(300, y, label)]
+    words = []
+    for k, (label, _) in enumerate(values):
+        before = 0
+        for word in label.split():
+            words.append(run(40 + 180 * (k % 3) + 5 * before, 40 + 40 * (k // 3), F.lit(word)))
+            before += len(word) + 1
+    made[4] = [run(40 + 180 * (k % 3), 54 + 40 * (k // 3), value) for k, (_, value) in enumerate(values)]
+    kind = "array<struct<x:double,width:double,y:double,text:string>>"
+    runs = F.when(layout == 0, F.array(*made[0]).cast(kind)).when(layout == 1, F.array(*made[1]).cast(kind)).when(layout == 2, F.array(*made[2]).cast(kind)).when(layout == 3, F.array(*made[3]).cast(kind)).otherwise(F.array(*made[4], *words).cast(kind))
+    return d.select("doc_id", F.lit(0).alias("page"), F.inline(runs))
+
+
+def s17_fields(b):
+    found = labels.fields(tables.physical_rows(_fronts(b)))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return found.select("doc_id", "holder", "last4", "branch", "ifsc", day("period_from"), day("period_to"), F.col("credit_limit").cast("double").alias("credit_limit"), day("due_date"), F.col("opening").cast("double").alias("opening"), F.col("closing").cast("double").alias("closing"))
+
+
+S17_FIELDS_SQL = f"""WITH {V.BASE}, d AS (SELECT account_id * 10000 + year(txn_date) AS doc_id, account_id, user_id, min(txn_date) AS first, max(txn_date) AS last, sum(amount) AS total, max(amount) AS most FROM base GROUP BY ALL)
+SELECT doc_id, 'A ' || translate(CAST(user_id AS VARCHAR), '0123456789', 'ghijklmnop') AS holder, right(lpad(CAST(account_id AS VARCHAR), 8, '0'), 4) AS last4, 'Road ' || user_id AS branch, 'ABCD0' || lpad(CAST(account_id AS VARCHAR), 6, '0') AS ifsc,
+  strftime(first, '%Y-%m-%d') AS period_from, strftime(last, '%Y-%m-%d') AS period_to, CAST(most AS DOUBLE) AS credit_limit, strftime(last, '%Y-%m-%d') AS due_date, CAST(-most AS DOUBLE) AS opening, CAST(total AS DOUBLE) AS closing FROM d"""
+
+
 def s16_cells(b):
     runs = b.table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.col("l_quantity").alias("x"), F.col("l_partkey").alias("y"), F.col("l_returnflag").alias("text"))
     anchors = b.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.posexplode(F.array(F.lit(5.0), F.lit(20.0), F.lit(40.0))).alias("column", "anchor_x"))
@@ -181,6 +226,7 @@ QUERIES = {
     "S16_tables": (s16_tables, S16_TABLES_SQL),
     "S16_evidence": (s16_evidence, S16_EVIDENCE_SQL),
     "S16_column_buckets": (s16_cells, "WITH r AS (SELECT DISTINCT l_orderkey AS doc_id, l_quantity AS x, l_partkey AS y, l_returnflag AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT doc_id, 0 AS page, x, y, text, CASE WHEN abs(x - 5) <= abs(x - 20) THEN 0 WHEN abs(x - 20) <= abs(x - 40) THEN 1 ELSE 2 END AS \"column\" FROM r"),
+    "S17_fields": (s17_fields, S17_FIELDS_SQL),
     "S17_metadata": (s17, f"WITH {V.BASE} SELECT DISTINCT CAST(account_id AS VARCHAR) AS file, 'A Holder' AS holder, '1234' AS last4 FROM base"),
     "S18_receipts": (s18, S18_SQL),
     "J14_staged_duplicates": (j14, f"WITH {V.BASE}, {ROWS}, k AS (SELECT txn_date, amount, description, count(*) AS n FROM base WHERE qty < 25 GROUP BY 1, 2, 3) SELECT txn_id AS reference, coalesce(n, 0) AS matches FROM r LEFT JOIN k USING (txn_date, amount, description) WHERE outcome = 'STAGED'"),
