@@ -102,7 +102,8 @@ def mix(docs: DataFrame, block_words: int = 64, shard_rows: int = 256, repeat: i
 
     taken = passes * size + extra words; extra < size is a prefix of the document in its
     shard's last pass. The sources, by code point with null last, weigh 1, 2, 3, 1, ...
-    Null texts have size 0 and take nothing. A row's place follows from its id
+    Quotas count blocks of ``block_words``, or of the smallest target if that is less. A target
+    under one word may get none. Null texts have size 0 and take nothing. A row's place follows from its id
     and size alone, so reruns agree; rows alike in both tie, and any order of them gives
     the same result.
     """
@@ -115,18 +116,21 @@ def mix(docs: DataFrame, block_words: int = 64, shard_rows: int = 256, repeat: i
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     sources = targets(sources.withColumn("weight", (number - 1) % 3 + 1), repeat)
-    sources = sources.withColumn("_blocks", F.floor(F.sum("target").over(Window.partitionBy()) / block_words + 0.5).cast("long"))
+    # no block is larger than the smallest target, else small sources would get none
+    smallest = F.min(F.when(F.col("target") >= 1, F.floor("target"))).over(Window.partitionBy())
+    sources = sources.withColumn("_block", F.coalesce(F.least(F.lit(block_words), smallest), F.lit(1)).cast("long"))
+    sources = sources.withColumn("_blocks", F.floor(F.sum("target").over(Window.partitionBy()) / F.col("_block") + 0.5).cast("long"))
     sources = apportion(sources, [], "target", "_blocks", ["source"])
-    sources = sources.select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), "source_size", "target", F.least(F.ceil(F.col("_rows") / shard_rows), F.lit(MAX_SHARDS)).cast("int").alias("_shards"), F.col("quota").alias("_source_quota"))
+    sources = sources.select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), "source_size", "target", "_block", F.least(F.ceil(F.col("_rows") / shard_rows), F.lit(MAX_SHARDS)).cast("int").alias("_shards"), F.col("quota").alias("_source_quota"))
 
     keyed = sized.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
     # a source may hold a third of all rows: without a known partitioning by source, the join may be split and shards are dealt out anew
     sources = F.broadcast(sources) if number_of_sources <= FEW_SOURCES else sources
     placed = keyed.join(sources, ["_source", "_none"]).withColumn("_source", F.concat("_source", F.lit(""))).withColumn("_shard", F.pmod(F.col("_seed"), F.col("_shards")).cast("int"))
     by = ["_source", "_none", "_shard"]
-    shards = placed.groupBy(*by).agg(F.sum("size").alias("_shard_size"), F.first("_source_quota").alias("_source_quota"))
+    shards = placed.groupBy(*by).agg(F.sum("size").alias("_shard_size"), F.first("_source_quota").alias("_source_quota"), F.first("_block").alias("_block"))
     shards = apportion(shards, ["_source", "_none"], "_shard_size", "_source_quota", ["_shard"])
-    shards = shards.select(*by, "_shard_size", F.least(F.col("quota") * block_words, F.col("_shard_size") * repeat).alias("_words"))
+    shards = shards.select(*by, "_shard_size", F.least(F.col("quota") * F.col("_block"), F.col("_shard_size") * repeat).alias("_words"))
 
     stream = Window.partitionBy(*by).orderBy("_seed", "doc_id", "size")
     laid = placed.join(shards, by).withColumn("_start", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))

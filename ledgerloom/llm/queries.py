@@ -82,12 +82,13 @@ o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (CAST(sum(weight) OVER () AS DOUBLE) - coalesce(sum(weight) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM o),
 f AS (SELECT min(place) AS place, arg_min(level, place) AS level FROM l WHERE cap > level * weight),
 t AS (SELECT l.source, source_size, n, CASE WHEN l.place < f.place THEN cap ELSE coalesce(f.level * weight, 0.0) END AS target FROM l, f),
-k AS (SELECT CAST(floor(sum(target) / 64 + 0.5) AS BIGINT) AS blocks FROM t),
-q AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, source NULLS LAST, i) AS r FROM t, LATERAL (SELECT unnest(range(CAST(ceil(target / 64) AS BIGINT) + 2)) AS i)) WHERE r <= (SELECT blocks FROM k) GROUP BY 1),
+z AS (SELECT coalesce(least(64, min(CASE WHEN target >= 1 THEN CAST(floor(target) AS BIGINT) END)), 1) AS block FROM t),
+k AS (SELECT CAST(floor(sum(target) / any_value(block) + 0.5) AS BIGINT) AS blocks FROM t, z),
+q AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, source NULLS LAST, i) AS r FROM t, z, LATERAL (SELECT unnest(range(CAST(ceil(target / block) AS BIGINT) + 2)) AS i)) WHERE r <= (SELECT blocks FROM k) GROUP BY 1),
 p AS (SELECT d.*, t.source_size, t.target, coalesce(q.quota, 0) AS source_quota, d.seed % least(CAST(ceil(t.n / 256) AS BIGINT), 65536) AS shard FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 h AS (SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(source_quota) AS source_quota FROM p GROUP BY 1, 2),
 hq AS (SELECT source, shard, count(*) AS quota FROM (SELECT source, shard, source_quota, row_number() OVER (PARTITION BY source ORDER BY shard_size / (2 * i + 1) DESC, shard, i) AS r FROM h, LATERAL (SELECT unnest(range(source_quota)) AS i) WHERE shard_size > 0) WHERE r <= source_quota GROUP BY 1, 2),
-hw AS (SELECT h.source, h.shard, shard_size, least(coalesce(quota, 0) * 64, shard_size * 3) AS words FROM h LEFT JOIN hq ON h.source IS NOT DISTINCT FROM hq.source AND h.shard = hq.shard),
+hw AS (SELECT h.source, h.shard, shard_size, least(coalesce(quota, 0) * block, shard_size * 3) AS words FROM h CROSS JOIN z LEFT JOIN hq ON h.source IS NOT DISTINCT FROM hq.source AND h.shard = hq.shard),
 c AS (SELECT p.*, shard_size, words, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS passes, CAST(sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY seed, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start FROM p JOIN hw ON p.source IS NOT DISTINCT FROM hw.source AND p.shard = hw.shard)
 SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, words - passes * shard_size - start)) AS BIGINT) AS taken FROM c"""
 OP10_SQL = rf"""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
