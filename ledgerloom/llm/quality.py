@@ -178,7 +178,8 @@ def bins() -> dict:
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
     """stratum, none (the stratum is null) and each rule's cutoff as a grid bin, from labels (doc_id, good: 1 or 0).
 
-    A cutoff rejects its bin and those above, GRID + 1 nothing; a stratum without a row rejects nothing.    Repeated labels of a document count as good if one is; null labels and ids are left out. Only counts
+    A cutoff rejects its bin and those above, GRID + 1 nothing; a stratum without a row rejects nothing. Repeated
+    labels of a document count as good if one is, and its rows as one trial in a stratum; null labels and ids are left out. Only counts
     leave the rows: by stratum, rule and grid point for the ladders, by stratum and step for the
     holdout; each stratum is decided in its own small group.
     """
@@ -186,7 +187,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     of, names = bins(), list(RULES)
     rows = _in_strata(measured.where(~failed_base()), stratum).join(known, "doc_id")
     half = F.pmod(F.xxhash64("doc_id", F.lit("holdout")), F.lit(2))
-    labelled = checkpointed(rows.select("stratum", "none", half.alias("half"), "good", *[of[r].alias(f"bin_{r}") for r in names]))
+    # a document is one trial, however many rows have its id: by the highest bin of each rule
+    once = rows.groupBy("stratum", "none", "doc_id").agg(F.max("good").alias("good"), *[F.max(of[r]).alias(f"bin_{r}") for r in names])
+    labelled = checkpointed(once.select("stratum", "none", half.alias("half"), "good", *[f"bin_{r}" for r in names]))
     tally = [F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad")]
     at = F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"bin_{r}").alias("bin")) for r in names]))
     counted = labelled.where("half = 0").select("stratum", "none", "good", at).groupBy("stratum", "none", "rule", "bin").agg(*tally)
