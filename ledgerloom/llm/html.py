@@ -316,16 +316,18 @@ def main_text(page: str | None) -> str:
             if alike or tree.tag[n] in HEADINGS or tree.tag[n] == "p" and chars[n] > 80 and density[n] < 0.25:
                 roots.add(n)
     # from each element up to its root: whether it has one, and passes a list of links, a header, a heading
-    kept, menu, header, heading = ([False] * size for _ in range(4))
+    kept, menu, header, heading, body = ([False] * size for _ in range(5))
     for n in range(size):
         if n in roots:
-            kept[n] = True
+            kept[n], body[n] = True, tree.tag[n] in MAIN
             continue
         up = tree.parent[n]
         if up < 0 or not kept[up]:
             continue
         kept[n] = True
-        menu[n] = menu[up] or tree.tag[n] in ("ul", "ol", "div", "table", "dl") and anchors[n] >= 3 and density[n] > 0.6
+        # of an article's own lists only those that a name or a place marks as navigation are none of its text, and these are dropped
+        body[n] = body[up] or tree.tag[n] in MAIN
+        menu[n] = menu[up] or not body[n] and tree.tag[n] in ("ul", "ol", "div", "table", "dl") and anchors[n] >= 3 and density[n] > 0.6
         header[n] = header[up] or tree.tag[n] == "header"
         heading[n] = heading[up] or tree.tag[n] in HEADINGS
     wanted = [kept[n] and not menu[n] and (not header[n] or heading[n]) for n in range(size)]
