@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources import labels, sinks, statements, tables
+from ..sources import labels, receipts, sinks, statements, tables
 from ..sources import views as V
 
 
@@ -200,6 +200,52 @@ def s16_cells(b):
     return statements.bucket_cells(runs, anchors)
 
 
+def _mails(b):
+    """A message for each order: seven merchants by the order's key, whole, or with a stop word, no marker, no total, no date, or other items."""
+    key = F.col("o_orderkey")
+    money = F.col("o_totalprice").cast("decimal(14,2)")
+    part = (money / 4).cast("decimal(14,2)")
+    said = F.format_number(money, 2)
+    fault = key % 11
+    day = F.when(key % 3 == 0, F.date_format("o_orderdate", "MMMM d, yyyy")).when(key % 3 == 1, F.date_format("o_orderdate", "d MMM yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    total = F.when(fault == 3, F.lit("soon")).otherwise(said)
+    when = F.when(fault == 4, F.lit("today")).otherwise(day)
+    shapes = [
+        ("amazon.in", "Hello,<b>Order&nbsp;#</b> 171", "", F.concat(F.lit("<p>Order Total: &#8377;"), total, F.lit("</p><i>Order Date: "), when, F.lit("</i>"))),
+        ("booking.com", "<h1>Booking  Confirmed</h1>", "<p>Pay at the property</p>", F.concat(F.lit("<td>Amount charged</td><td>INR "), total, F.lit("</td><div>Booked on "), when, F.lit("</div>"))),
+        ("olacabs.com", "Ride\nBill", "", F.concat(F.lit("<table><tr><td>Total fare<td>Rs. "), total, F.lit("</table>Ride Date : "), when)),
+        ("myntra.com", "Order <b>Confirmed</b>", "Return Initiated", F.concat(F.lit("<!-- Order Total 1.00 -->Order total "), total, F.lit("<br>Order Date "), when)),
+        ("food.example", "Thanks for ordering", "It was cancelled", F.concat(F.lit("<table><tr><th>Dish</th><th>Price</th></tr><tr><td>Soup</td><td>₹"), F.format_number(part, 2), F.lit("</td></tr><tr><td>Rice &amp; peas</td><td>₹"), F.format_number(F.when(fault == 5, part).otherwise(money - part), 2), F.lit("</td></tr><tr><td><b>Grand Total</b></td><td>₹ "), total, F.lit("</td></tr></table><table><tr><td>Ordered on</td><td>"), when, F.lit("</td></tr></table>"))),
+        ("grocer.example", "TAX INVOICE", "Credit note", F.concat(F.lit("<tr><td>Invoice date<td>"), when, F.lit("<tr><td>1</td><td>Flour</td><td>"), F.format_number(F.when(fault == 5, part).otherwise(money), 2), F.lit("<tr><td></td><td>Amount payable</td><td>"), total, F.lit("</td></tr>"))),
+        ("stream.example", "Your receipt", "Free trial", F.concat(F.lit("<style>.a{}</style><div style='display:none'>Total 5.00</div>Billed on "), when, F.lit("<tr><td>Total</td><td>"), total, F.lit("</td></tr>"))),
+    ]
+    html = lambda shape: F.concat(F.lit("<html><head><title>Order # Booking Confirmed</title></head><body>"), F.when(fault == 1, F.lit("News")).otherwise(F.lit(shape[1])), F.when(fault == 2, F.lit(shape[2])).otherwise(F.lit("")), shape[3], F.lit("</body></html>"))
+    at = (key % 8).cast("int")
+    return b.table("orders").select(key.alias("message_id"), F.get(F.array(*[F.lit(s[0]) for s in shapes], F.lit("other.example")), at).alias("domain"), F.get(F.array(*[html(s) for s in shapes], F.lit("Order Total: 5.00")), at).alias("html"))
+
+
+def s18_merchants(b):
+    found = receipts.parse(_mails(b), receipts.stored(b.spark), "1998-01-01")
+    return found.select("message_id", "domain", "status", "reason", F.col("amount").cast("double").alias("amount"), F.date_format("day", "yyyy-MM-dd").alias("day"), "n_items", F.array_join("violations", ",").alias("violations"))
+
+
+def s18_try(b):
+    """A new template against the messages of the domain without one, and against another's."""
+    mails = _mails(b).where("domain in ('other.example', 'olacabs.com')")
+    tried = receipts.try_template(mails.drop("domain"), ("other.example", "Total", "(?i)ride", None, None, r"Order Total: ([0-9.]+)", r"(\d{4}-\d{2}-\d{2})", False), "1998-01-01")
+    return tried.groupBy("status", "reason").agg(F.count("*").alias("messages"))
+
+
+S18_MERCHANTS_SQL = """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS m, o_orderkey % 11 AS f, CAST(o_totalprice AS DECIMAL(14,2)) AS money, CAST(CAST(o_totalprice AS DECIMAL(14,2)) / 4 AS DECIMAL(14,2)) AS part, CAST(o_orderdate AS DATE) AS day FROM orders),
+s AS (SELECT *, ['amazon.in', 'booking.com', 'olacabs.com', 'myntra.com', 'food.example', 'grocer.example', 'stream.example', 'other.example'][m + 1] AS domain,
+  CASE WHEN m = 7 THEN 'NO_TEMPLATE' WHEN f = 2 AND m IN (1, 3, 4, 5, 6) THEN 'STOP' WHEN f = 1 THEN 'NO_MARKER' WHEN f = 3 AND m < 4 THEN 'AMOUNT_NOT_FOUND' WHEN f = 3 THEN 'AMOUNT_UNREADABLE' WHEN f = 4 AND m IN (4, 5) THEN 'DATE_UNREADABLE' WHEN f = 4 THEN 'DATE_NOT_FOUND' END AS reason FROM o)
+SELECT k AS message_id, domain, CASE WHEN reason IN ('NO_TEMPLATE', 'STOP', 'NO_MARKER') THEN 'NOT_A_RECEIPT' WHEN reason IS NOT NULL THEN 'MALFORMED' ELSE 'PARSED' END AS status, reason, CASE WHEN reason IS NULL THEN CAST(money AS DOUBLE) END AS amount, CASE WHEN reason IS NULL THEN strftime(day, '%Y-%m-%d') END AS day,
+  CASE WHEN reason IS NULL THEN CASE m WHEN 4 THEN 2 WHEN 5 THEN 1 ELSE 0 END END AS n_items,
+  CASE WHEN reason IS NULL THEN concat_ws(',', CASE WHEN day > DATE '1998-01-01' THEN 'DATE_IN_FUTURE' END, CASE WHEN f = 5 AND ((m = 4 AND part + part <> money) OR (m = 5 AND part <> money)) THEN 'ITEMS_DIFFER' END) END AS violations FROM s"""
+S18_TRY_SQL = """WITH o AS (SELECT CASE WHEN o_orderkey % 8 = 7 OR o_orderkey % 11 = 1 THEN 1 ELSE 0 END AS other, o_orderkey % 8 = 7 AS own FROM orders WHERE o_orderkey % 8 IN (2, 7))
+SELECT CASE WHEN own THEN 'MALFORMED' ELSE 'NOT_A_RECEIPT' END AS status, CASE WHEN own THEN 'DATE_NOT_FOUND' ELSE 'STOP' END AS reason, count(*) AS messages FROM o GROUP BY 1, 2"""
+
+
 def s20(b):
     after = b.ledger.withColumn("is_recurring", F.col("is_recurring") | (F.col("merchant") == "Brand#1"))
     return sinks.change_set(b.ledger, after, "txn_id", ["is_recurring", "status"]).select("txn_id", "is_recurring", "status")
@@ -229,6 +275,8 @@ QUERIES = {
     "S17_fields": (s17_fields, S17_FIELDS_SQL),
     "S17_metadata": (s17, f"WITH {V.BASE} SELECT DISTINCT CAST(account_id AS VARCHAR) AS file, 'A Holder' AS holder, '1234' AS last4 FROM base"),
     "S18_receipts": (s18, S18_SQL),
+    "S18_merchant_receipts": (s18_merchants, S18_MERCHANTS_SQL),
+    "S18_template_test": (s18_try, S18_TRY_SQL),
     "J14_staged_duplicates": (j14, f"WITH {V.BASE}, {ROWS}, k AS (SELECT txn_date, amount, description, count(*) AS n FROM base WHERE qty < 25 GROUP BY 1, 2, 3) SELECT txn_id AS reference, coalesce(n, 0) AS matches FROM r LEFT JOIN k USING (txn_date, amount, description) WHERE outcome = 'STAGED'"),
     "S20_change_set": (s20, f"WITH {V.LEDGER} SELECT txn_id, true AS is_recurring, status FROM ledger WHERE merchant = 'Brand#1' AND NOT is_recurring"),
     "S21_export_manifest": (s21, f"WITH {V.BASE}, {V.BUDGETS} SELECT user_id, count(*) AS rows, 'transactions' AS entity FROM base GROUP BY 1 UNION ALL SELECT user_id, count(*), 'budgets' FROM budgets GROUP BY 1"),

@@ -30,6 +30,35 @@ def q7(b):
     return Q.stage_timings(b.events)
 
 
+def q7_runs(b):
+    """A user's events as the log of one job: what happens and to which stage by the event's number and value."""
+    what = F.get(F.array(*map(F.lit, ["ENTER", "COMPLETE", "ENTER", "FINISH", "COMPLETE", "FAIL", "RETRY", "ENTER"])), (F.col("event_id") % 8).cast("int"))
+    stage = F.get(F.array(*map(F.lit, Q.STAGES)), F.col("k") % 4)
+    log = b.events.select(F.col("user_id").alias("job_id"), "event_id", "ts", what.alias("what"), F.when(what == "ENTER", stage).alias("stage"))
+    return Q.stage_runs(log)
+
+
+Q7_SQL = f"""WITH RECURSIVE {V.EVENTS}, o AS (SELECT user_id AS job_id, event_id, epoch_us(ts) AS t, ['ENTER', 'COMPLETE', 'ENTER', 'FINISH', 'COMPLETE', 'FAIL', 'RETRY', 'ENTER'][event_id % 8 + 1] AS what, k % 4 AS stage, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM ev),
+f AS (SELECT job_id, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS event_id, 1 AS attempt, -1 AS open, CAST(0 AS BIGINT) AS since, -1 AS last, 0 AS seen, 'GOING' AS state, 'NONE' AS did, -1 AS closed, CAST(NULL AS BIGINT) AS spent FROM o WHERE r = 1
+  UNION ALL SELECT n.job_id, n.r, n.event_id, CASE WHEN did = 'RETRY' THEN attempt + 1 ELSE attempt END, CASE did WHEN 'ENTER' THEN stage WHEN 'COMPLETE' THEN -1 WHEN 'FAIL' THEN -1 WHEN 'RETRY' THEN -1 ELSE open END, CASE WHEN did = 'ENTER' THEN t ELSE since END,
+    CASE did WHEN 'ENTER' THEN stage WHEN 'RETRY' THEN -1 ELSE last END, CASE did WHEN 'ENTER' THEN seen | (1 << stage) WHEN 'RETRY' THEN 0 ELSE seen END, CASE did WHEN 'FAIL' THEN 'FAILED' WHEN 'RETRY' THEN 'GOING' WHEN 'FINISH' THEN 'DONE' ELSE state END, did, open, CASE WHEN did IN ('COMPLETE', 'FAIL') AND open >= 0 THEN t - since END
+  FROM (SELECT o.job_id, o.r, o.event_id, o.t, CAST(o.stage AS INT) AS stage, f.attempt, f.open, f.since, f.last, f.seen, f.state,
+      CASE WHEN what = 'ENTER' AND state = 'GOING' AND open < 0 AND o.stage > last THEN what WHEN what = 'COMPLETE' AND state = 'GOING' AND open >= 0 THEN what WHEN what = 'FAIL' AND state = 'GOING' THEN what WHEN what = 'RETRY' AND state = 'FAILED' THEN what
+        WHEN what = 'FINISH' AND state = 'GOING' AND open < 0 AND last >= 0 THEN what ELSE 'ILLEGAL' END AS did
+    FROM f JOIN o ON o.job_id = f.job_id AND o.r = f.r + 1) n),
+names AS (SELECT ['PARSING', 'ANALYZING', 'VERIFYING', 'IMPORTING'] AS s)
+SELECT job_id, event_id, CAST(attempt AS BIGINT) AS attempt, CASE WHEN closed >= 0 AND did <> 'ILLEGAL' THEN s[closed + 1] END AS stage, CASE did WHEN 'COMPLETE' THEN 'COMPLETED' WHEN 'FAIL' THEN 'FAILED' ELSE did END AS status, spent AS micros FROM f, names WHERE did IN ('COMPLETE', 'FAIL', 'ILLEGAL')
+UNION ALL SELECT job_id, event_id, attempt, s[i + 1], 'SKIPPED', NULL FROM (SELECT f.*, unnest(range(last)) AS i FROM f WHERE did = 'FINISH') x, names WHERE (seen >> CAST(i AS INT)) & 1 = 0
+UNION ALL SELECT job_id, NULL, attempt, s[open + 1], 'RUNNING', NULL FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY r DESC) AS back FROM f) x, names WHERE back = 1 AND open >= 0"""
+
+
+def q4(b):
+    """Attempts of jobs (a user's errors and clicks run, views end) that nothing followed for 15 hours."""
+    state = F.when(F.col("action").isin("click", "error"), "RUNNING").when(F.col("action") == "view", "DONE").otherwise("OTHER")
+    jobs = b.events.select(F.col("user_id").alias("job_id"), F.col("k").alias("attempt"), state.alias("state"), "ts")
+    return Q.recovered(jobs, 15 * 60).withColumn("given_up", dates.epoch(F.col("given_up")))
+
+
 def windows(b):
     return Q.tumbling(b.events, "6 hours").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
@@ -43,6 +72,8 @@ QUERIES = {
     "Q2_idempotent": (q2, f"WITH {V.EVENTS} SELECT user_id, count(DISTINCT (action, CAST(ts AS DATE))) AS events FROM ev GROUP BY 1"),
     "Q5_rate_limit": (q5, Q5_SQL),
     "Q6_registry_merge": (q6, f"WITH {V.EVENTS} SELECT action, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS uses FROM ev GROUP BY 1"),
+    "Q4_recovered_attempts": (q4, f"WITH {V.EVENTS}, s AS (SELECT user_id AS job_id, k, ts, CASE WHEN action = 'view' THEN 'DONE' ELSE 'RUNNING' END AS state FROM ev WHERE action IN ('click', 'error', 'view')), n AS (SELECT *, coalesce(lead(ts) OVER (PARTITION BY job_id ORDER BY ts, k, state), (SELECT max(ts) FROM s)) AS next FROM s) SELECT job_id, CAST(k AS BIGINT) AS attempt, epoch_us(ts) + 54000000000 AS given_up FROM n WHERE state = 'RUNNING' AND epoch_us(next) >= epoch_us(ts) + 54000000000"),
+    "Q7_stage_runs": (q7_runs, Q7_SQL),
     "Q7_stage_timings": (q7, f"WITH {V.EVENTS} SELECT event_id, action, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts) AS micros FROM ev"),
     "Q_tumbling_windows": (windows, f"WITH {V.EVENTS} SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S') AS start, action, count(*) AS events FROM ev GROUP BY 1, 2"),
 }
