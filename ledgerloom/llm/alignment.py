@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .sentencepieces import Model, load, ragged
 STRIPE = 32
 #: Matrix cells are bounded by STRIPE times the larger vocabulary allowed.
 MAX_IDS = 1 << 18
-CHUNK, BATCH_BYTES, PAIRS, KNOWN = 1 << 20, 1 << 26, 1 << 20, 1 << 17
+CHUNK, BATCH_BYTES, PAIRS, KNOWN, AT_ONCE = 1 << 20, 1 << 26, 1 << 20, 1 << 18, 1 << 15
 EMPTY = np.zeros(0, np.int64)
 COLUMNS = "batch long, kind int, place long, doc_id {id}, numbers array<long>, body binary, digest string, counts array<long>"
 
@@ -49,6 +50,12 @@ def _bytes_of_a(text: str) -> list[bytes]:
     return spelled
 
 
+def _joined(parts: list[bytes]):
+    """Starts, lengths and bytes of parts end to end."""
+    size = np.array([len(p) for p in parts], np.int64)
+    return np.cumsum(size) - size, size, np.frombuffer(b"".join(parts), np.uint8)
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray, separate: bool) -> np.ndarray:
     """Starts of the pieces of texts end to end: where both tokenizers have a border.
 
@@ -89,10 +96,10 @@ class Aligner:
         model = Model(b_model)
         self.separate = model.separate() and not model.charsmap and not model.collapse
         at, spelled = model.bytes_table()
-        whole = spelled.tobytes()
-        self.spelled = [_bytes_of_a(a_json), [whole[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]]
-        self.lengths = [np.array([len(x) for x in s], np.int64) for s in self.spelled]
-        self.n_b = len(self.spelled[1])
+        # each side's start, number and bytes of what its ids spell, and the same of decimal ids
+        self.spelled = [_joined(_bytes_of_a(a_json)), (at[:-1], np.diff(at), spelled)]
+        self.n_b = len(model.pieces)
+        self.decimals = _joined([str(k).encode() for k in range(max(self.n_b, len(self.spelled[0][0])))])
         self.forget()
 
     def forget(self):
@@ -102,52 +109,64 @@ class Aligner:
         self.counts = np.zeros((0, 4), np.int64)
         self.same, self.at, self.size, self.links = np.zeros(0, bool), EMPTY, EMPTY, EMPTY
 
-    def learn(self, hashes, texts):
+    def _same(self, side, flat, owner, data, size):
+        """Whether each piece's ids spell its bytes."""
+        at, length, spelled = self.spelled[side]
+        same = np.bincount(owner, length[flat], minlength=len(size)).astype(np.int64) == size
+        kept = flat[same[owner]]
+        inside = np.repeat(same, size)
+        other = spelled[ragged(at[kept], length[kept])] != data[inside]
+        return same & (np.bincount(np.repeat(np.arange(len(size)), size)[inside], other, minlength=len(size)) == 0)
+
+    def learn(self, hashes, raw):
         """Encode new pieces: for each its groups as text, its numbers of ids, groups and links, its links and whether the bytes agree."""
+        texts = [r.decode("utf-8", "replace") for r in raw]
+        size = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
         ids = [[e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode(texts, num_threads=1)]
-        raw = [t.encode() for t in texts]
-        same = np.array([b"".join(map(self.spelled[0].__getitem__, a)) == r and b"".join(map(self.spelled[1].__getitem__, b)) == r for a, b, r in zip(*ids, raw, strict=True)], bool)
-        good = np.flatnonzero(same)
-        flat, ends, owner = [], [], []
+        numbers = [np.array([len(x) for x in side], np.int64) for side in ids]
+        flat = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip(ids, numbers, strict=True)]
+        owner = [np.repeat(np.arange(len(raw)), n) for n in numbers]
+        same = self._same(0, flat[0], owner[0], data, size) & self._same(1, flat[1], owner[1], data, size)
         for side in (0, 1):
-            chosen = [ids[side][k] for k in good]
-            n = np.array([len(x) for x in chosen], np.int64)
-            flat.append(np.fromiter((i for x in chosen for i in x), np.int64, int(n.sum())))
-            owner.append(np.repeat(np.arange(len(good)), n))
-            ends.append(np.cumsum(self.lengths[side][flat[side]]))
-        starts = [e - self.lengths[side][f] for side, (e, f) in enumerate(zip(ends, flat, strict=True))]
-        # ids of A and B whose byte ranges overlap; pieces meet at common borders, so none reaches over
+            flat[side], owner[side] = flat[side][same[owner[side]]], owner[side][same[owner[side]]]
+        # places in the agreeing pieces' bytes end to end
+        length = [self.spelled[side][1][flat[side]] for side in (0, 1)]
+        ends = [np.cumsum(n) for n in length]
+        starts = [e - n for e, n in zip(ends, length, strict=True)]
+        # ids of A and B whose bytes overlap; pieces meet at common borders, so none reaches over
         first = np.searchsorted(ends[1], starts[0], "right")
         reach = np.maximum(np.searchsorted(starts[1], ends[0], "left") - first, 0)
         pairs = np.repeat(flat[0], reach) * self.n_b + flat[1][ragged(first, reach)]
-        n_links = np.bincount(np.repeat(owner[0], reach), minlength=len(good))
-        common = np.intersect1d(ends[0], ends[1])
-        group = [np.searchsorted(common, e, "left") for e in ends]
-        word = [list(map(str, f.tolist())) for f in flat]
-        cut = [np.searchsorted(g, np.arange(len(common) + 1)) for g in group]
-        spelled = [",".join(word[0][i:j]) + "|" + ",".join(word[1][k:m]) for i, j, k, m in zip(cut[0][:-1], cut[0][1:], cut[1][:-1], cut[1][1:], strict=True)]
-        of_piece = np.searchsorted(common, ends[0], "left")
-        n_groups = np.zeros(len(good), np.int64)
-        if len(common):
-            owner_of_group = np.zeros(len(common), np.int64)
-            owner_of_group[of_piece] = owner[0]
-            n_groups = np.bincount(owner_of_group, minlength=len(good))
-        limits = np.concatenate([[0], np.cumsum(n_groups)])
-        made = [b""] * len(texts)
-        for k, at in enumerate(good):
-            made[at] = ";".join(spelled[limits[k] : limits[k + 1]]).encode()
-        counts = np.zeros((len(texts), 4), np.int64)
-        counts[good] = np.stack([*[np.bincount(o, minlength=len(good)) for o in owner], n_groups, n_links], 1) if len(good) else 0
-        size = counts[:, 3]
-        self.at = np.concatenate([self.at, len(self.links) + np.cumsum(size) - size])
+        shared = np.isin(ends[0], ends[1], assume_unique=True)
+        common = ends[0][shared]
+        # ids in the order of groups, A before B, and what stands after each
+        place = np.concatenate([2 * np.searchsorted(common, ends[0], "left"), 2 * np.searchsorted(common, ends[1], "left") + 1])
+        order = np.argsort(place, kind="stable")
+        place, number = place[order], np.concatenate(flat)[order]
+        step = np.diff(place, append=-9)
+        after = np.where(step == 0, 44, np.where((step == 1) & (place % 2 == 0), 124, 59)).astype(np.uint8)
+        at, digits, decimals = self.decimals
+        width = digits[number]
+        begin = np.cumsum(width + 1) - width - 1
+        written = np.zeros(int((width + 1).sum()), np.uint8)
+        written[ragged(begin, width)] = decimals[ragged(at[number], width)]
+        written[begin + width] = after
+        counts = np.stack([np.bincount(x, minlength=len(raw)) for x in (owner[0], owner[1], owner[0][shared], np.repeat(owner[0], reach))], 1).astype(np.int64)
+        last = np.cumsum(counts[:, 0] + counts[:, 1])
+        text = written.tobytes()
+        bounds = np.concatenate([[0], begin + width + 1])
+        from_, to = bounds[last - counts[:, 0] - counts[:, 1]], np.maximum(bounds[last] - 1, 0)
+        links = counts[:, 3]
+        self.at = np.concatenate([self.at, len(self.links) + np.cumsum(links) - links])
         self.links = np.concatenate([self.links, pairs])
-        self.size, self.same, self.counts = np.concatenate([self.size, size]), np.concatenate([self.same, same]), np.concatenate([self.counts, counts])
-        self.groups += made
+        self.size, self.same, self.counts = np.concatenate([self.size, links]), np.concatenate([self.same, same]), np.concatenate([self.counts, counts])
+        self.groups += [text[i:j] for i, j in zip(from_.tolist(), to.tolist(), strict=True)]
         self.known = np.concatenate([self.known, hashes])
         self.order = np.argsort(self.known, kind="stable")
 
     def slots(self, hashes, spell):
-        """Where each hash's piece is kept; ``spell`` gives the texts at the positions it gets."""
+        """Where each hash's piece is kept; ``spell`` gives the bytes at the positions it gets."""
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > KNOWN:
             self.forget()
@@ -159,7 +178,9 @@ class Aligner:
 
         spot, old = find()
         if not old.all():
-            self.learn(distinct[~old], spell(where[~old]))
+            new, at = distinct[~old], where[~old]
+            for lo in range(0, len(new), AT_ONCE):
+                self.learn(new[lo : lo + AT_ONCE], spell(at[lo : lo + AT_ONCE]))
             spot, _ = find()
         return spot[inverse]
 
@@ -173,7 +194,7 @@ class Aligner:
         ends = np.append(starts[1:], len(data))[: len(starts)]
         owner = np.searchsorted(offsets, starts, "right") - 1
         raw = data.tobytes()
-        slot = self.slots(K.span_hashes(data, starts, ends), lambda at: [raw[starts[k] : ends[k]].decode("utf-8", "replace") for k in at])
+        slot = self.slots(K.span_hashes(data, starts, ends), lambda at: [raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
         # a text that is only its space is empty; where a piece's bytes differ the whole text has no tokens
         none = np.diff(offsets) <= 1
         none |= np.bincount(owner[~self.same[slot]], minlength=docs) > 0
