@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..sources import labels, receipts, sinks, statements, tables
+from ..sources import labels, receipts, records, sinks, statements, tables
 from ..sources import views as V
 
 
@@ -50,6 +50,35 @@ def j14(b):
     return statements.mark_duplicates(_staged(b).where("outcome = 'STAGED'"), ledger).select("reference", "matches")
 
 
+def _csv_lines(b):
+    """A file for each account and year, as lines in blocks of seven: descriptions with line breaks, blank lines, commas and quotes inside quotes, and bad rows."""
+    d = b.base.withColumn("file", F.concat_ws("-", "account_id", F.year("txn_date")))
+    order = Window.partitionBy("file").orderBy("txn_date", "txn_id")
+    kind = F.col("qty") % 7
+    said = F.when(kind == 0, F.concat(F.lit('"'), F.replace("description", F.lit(" "), F.lit("\n")), F.lit('"'))).when(kind == 1, F.concat(F.lit('"'), F.replace("description", F.lit(" "), F.lit('""')), F.lit(', x"'))).when(kind == 2, F.concat(F.lit('"'), "description", F.lit('\n\n""\n"'))).when(kind == 3, F.concat("description", F.lit(' "x" '))).otherwise(F.col("description"))
+    text = F.concat("txn_id", F.lit(","), said, F.lit(","), "amount", F.when(kind == 4, "\n").otherwise(""))
+    last = F.lead("txn_id").over(order).isNull() & (F.col("qty") % 3 == 0)
+    rows = d.select("file", F.row_number().over(order).alias("r"), F.split(F.concat(text, F.when(last, ',"open').otherwise("")), "\n").alias("parts"))
+    # where each row's lines start in its file
+    upto = F.sum(F.size("parts")).over(Window.partitionBy("file").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    lines = rows.withColumn("upto", F.coalesce(upto, F.lit(0))).select("file", "upto", F.posexplode("parts").alias("k", "line")).withColumn("at", F.col("upto") + F.col("k"))
+    return lines.select("file", F.floor(F.col("at") / 7).alias("block"), "at", "line")
+
+
+def s1(b):
+    return records.records(_csv_lines(b)).select("file", "record", "first_line", F.array_join("cells", "|").alias("cells"), "status")
+
+
+S1_SQL = f"""WITH {V.BASE}, d AS (SELECT *, concat_ws('-', account_id, year(txn_date)) AS file, qty % 7 AS kind FROM base),
+o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY txn_date, txn_id) - 1 AS record, lead(txn_id) OVER (PARTITION BY file ORDER BY txn_date, txn_id) IS NULL AND qty % 3 = 0 AS open,
+  CASE kind WHEN 0 THEN len(string_split(description, ' ')) WHEN 2 THEN 4 WHEN 4 THEN 2 ELSE 1 END AS lines FROM d),
+l AS (SELECT *, coalesce(sum(lines) OVER (PARTITION BY file ORDER BY record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_line FROM o),
+-- an open quote behind a line break stands on the line below, which is then the record
+x AS (SELECT *, CASE kind WHEN 0 THEN replace(description, ' ', chr(10)) WHEN 1 THEN replace(description, ' ', '"') || ', x' WHEN 2 THEN description || chr(10) || chr(10) || '"' || chr(10) ELSE description END AS said FROM l),
+r AS (SELECT file, record, first_line, CASE WHEN kind = 3 OR (open AND kind <> 4) THEN NULL ELSE txn_id || '|' || said || '|' || amount END AS cells, CASE WHEN open AND kind <> 4 THEN 'UNTERMINATED' WHEN kind = 3 THEN 'MALFORMED' ELSE 'OK' END AS status FROM x)
+SELECT file, record, CAST(first_line AS BIGINT) AS first_line, cells, status FROM r UNION ALL SELECT file, record + 1, CAST(first_line + 1 AS BIGINT), NULL, 'UNTERMINATED' FROM x WHERE open AND kind = 4"""
+
+
 def s7(b):
     d = b.base
     forms = F.array(F.date_format("txn_date", "dd.MM.yyyy"), F.date_format("txn_date", "dd/MM/yy"), F.concat(F.date_format("txn_date", "dd MMM yyyy"), F.lit(" 10:22:00")), F.date_format("txn_date", "ddMMMyyyy"), F.date_format("txn_date", "MMM dd, yyyy"), F.date_format("txn_date", "MMMMd, yyyy"), F.lit("no date"))
@@ -262,6 +291,7 @@ def s22(b):
 
 ROWS = "r AS (SELECT *, CASE WHEN qty = 49 THEN 'MARKER' WHEN qty = 50 THEN 'UNPARSEABLE' ELSE 'STAGED' END AS outcome FROM base)"
 QUERIES = {
+    "S1_records": (s1, S1_SQL),
     "S1_S2_S3_headers": (s2, f"WITH {V.BASE} SELECT DISTINCT CAST(account_id AS VARCHAR) AS file, 4 AS header_line, 'txn date|narration|amount|ref no' AS names FROM base"),
     "S4_S5_S6_S11_staged_rows": (s11, f"WITH {V.BASE}, {ROWS} SELECT txn_id AS reference, strftime(txn_date, '%Y-%m-%d') AS txn_date, CAST(amount AS DOUBLE) AS amount, txn_type, description || ', x' AS description FROM r WHERE outcome = 'STAGED'"),
     "S7_date_formats": (s7, f"WITH {V.BASE} SELECT txn_id, f AS form, CASE WHEN f = 1 AND year(txn_date) < 2000 THEN strftime(txn_date + INTERVAL 100 YEAR, '%Y-%m-%d') WHEN f < 6 THEN strftime(txn_date, '%Y-%m-%d') END AS parsed FROM base, (SELECT unnest(range(7)) AS f)"),
