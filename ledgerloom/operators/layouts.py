@@ -62,6 +62,26 @@ def recent_summary(imports: DataFrame, last: int) -> DataFrame:
     return imports.orderBy(F.desc("import_id")).limit(last).groupBy("bank").agg(F.count("*").alias("imports"), F.sum("rows").alias("rows"))
 
 
+def analysis_summary(sessions: DataFrame, last: int) -> DataFrame:
+    """Counters of statement analyses as rows of (part, key, n): all of them, and of the ``last`` newest with the merged histogram of their reasons.
+
+    ``sessions``: session_id, at, outcome, layout, rows and reasons, a JSON object of counts. ALL: sessions, PARSED, FAILED and layouts (distinct, not null).
+    RECENT: sessions, rows, unanchored (all counts) and unreadable, the sessions whose reasons are no object of whole numbers; these add nothing. REASON: each
+    reason's count; reading it by count, highest first, then by name, gives the report's order.
+    """
+    newest = sessions.orderBy(F.desc("at"), F.desc("session_id")).limit(last)
+    read = newest.withColumn("blank", F.trim(F.coalesce("reasons", F.lit(""))) == "").withColumn("map", F.from_json("reasons", "map<string,string>"))
+    whole = F.forall(F.map_values("map"), lambda v: F.coalesce(v.rlike(r"^-?\d{1,9}$"), F.lit(False)))
+    read = read.withColumn("good", F.coalesce(F.col("map").isNotNull() & whole, F.lit(False)) & ~F.col("blank"))
+    counts = read.where("good").select(F.explode("map").alias("key", "n")).groupBy("key").agg(F.sum(F.col("n").cast("long")).alias("n"))
+    stack = lambda part, **n: F.inline(F.array(*[F.struct(F.lit(part).alias("part"), F.lit(k).alias("key"), F.coalesce(v, F.lit(0)).cast("long").alias("n")) for k, v in n.items()]))
+    ever = sessions.agg(F.count("*").alias("a"), F.count(F.when(F.col("outcome") == "PARSED", 1)).alias("p"), F.count(F.when(F.col("outcome") == "FAILED", 1)).alias("f"), F.count_distinct("layout").alias("l"))
+    now = read.agg(F.count("*").alias("a"), F.sum("rows").alias("r"), F.sum(F.when(F.col("good"), F.aggregate(F.map_values("map"), F.lit(0).cast("long"), lambda x, v: x + v.cast("long")))).alias("u"), F.count(F.when(~F.col("good") & ~F.col("blank"), 1)).alias("x"))
+    every = ever.select(stack("ALL", sessions=F.col("a"), PARSED=F.col("p"), FAILED=F.col("f"), layouts=F.col("l")))
+    recent = now.select(stack("RECENT", sessions=F.col("a"), rows=F.col("r"), unanchored=F.col("u"), unreadable=F.col("x")))
+    return every.union(recent).union(counts.select(F.lit("REASON"), "key", "n"))
+
+
 def changed_headers(imports: DataFrame) -> DataFrame:
     """Whether an import's layout differs from the one before of its bank; the first doesn't."""
     order = Window.partitionBy("bank").orderBy("day", "import_id")

@@ -130,3 +130,10 @@ def goal_progress(contributions: DataFrame, target: float) -> DataFrame:
     current = summed.withColumn("current", F.col("total") - lowest)
     last = F.max_by("current", F.struct("txn_date", "txn_id"))
     return current.groupBy("user_id").agg(last.alias("current"), F.min(F.when(F.col("current") >= target, F.col("txn_date"))).alias("completed_on"))
+
+
+def import_trace(jobs: DataFrame, analyses: DataFrame, stages: DataFrame, findings: DataFrame, learnt: DataFrame) -> DataFrame:
+    """One row for each import known as a job or as an analysis, or both, by ``trace``, with its stages, findings and learning events if it has any."""
+    both = jobs.join(analyses, "trace", "full_outer")
+    whole = both.join(stages, "trace", "left").join(findings, "trace", "left").join(learnt, "trace", "left")
+    return whole.fillna(0, ["findings", "learning_events"])

@@ -219,12 +219,12 @@ SELECT doc_id, CASE WHEN least(score, 0.95) >= 0.6 THEN type ELSE 'UNKNOWN' END
 
 def c11(b):
     found = b.table("customer").select(F.col("c_custkey").alias("found_id"), F.concat(F.lit("B"), F.col("c_nationkey") % 3).alias("institution"), (F.col("c_custkey") * 31 + 5000).cast("string").alias("number"))
-    known = b.table("customer").where("c_custkey % 4 = 0").select(F.concat(F.lit("B"), F.col("c_nationkey") % 3).alias("institution"), F.when(F.col("c_custkey") % 8 == 0, (F.col("c_custkey") * 31 + 5000).cast("string")).otherwise(F.concat(F.lit("99"), (F.col("c_custkey") * 31 + 5000).cast("string"))).alias("number"))
+    known = b.table("customer").select(F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("B"), F.col("c_nationkey") % 3)).otherwise("OTHER").alias("institution"), F.when(F.col("c_custkey") % 8 == 0, (F.col("c_custkey") * 31 + 5000).cast("string")).otherwise(F.concat(F.lit("99"), (F.col("c_custkey") * 31 + 5000).cast("string"))).alias("number"))
     return N.match_products(found, known)
 
 
 C11_SQL = """WITH f AS (SELECT c_custkey AS found_id, 'B' || c_nationkey % 3 AS i, CAST(c_custkey * 31 + 5000 AS VARCHAR) AS n FROM customer),
-k AS (SELECT i, CASE WHEN found_id % 8 = 0 THEN n ELSE '99' || n END AS n FROM f WHERE found_id % 4 = 0)
+k AS (SELECT CASE WHEN found_id % 4 = 0 THEN i ELSE 'OTHER' END AS i, CASE WHEN found_id % 8 = 0 THEN n ELSE '99' || n END AS n FROM f)
 SELECT found_id, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.i = f.i AND k.n = f.n) THEN 'EXACT' WHEN EXISTS (SELECT 1 FROM k WHERE k.i = f.i AND right(k.n, 4) = right(f.n, 4)) THEN 'PROBABLE' ELSE 'NONE' END AS match FROM f"""
 
 

@@ -208,9 +208,22 @@ def a53(b):
 
 
 def a54(b):
-    jobs = b.table("orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus")
-    stages = b.table("lineitem").where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("stages"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), "").alias("flags"))
-    return jobs.join(stages, "o_orderkey", "full_outer")
+    """Jobs (orders) and analyses (their lines), either of which may miss the other, with stages, findings and learning events."""
+    jobs = b.table("orders").select(F.when(F.col("o_orderstatus") == "P", -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("trace"), "o_orderstatus")
+    line = b.table("lineitem").select(F.when(F.col("l_quantity") > 45, F.col("l_orderkey") + 1_000_000_000_000).otherwise(F.col("l_orderkey")).alias("trace"), "l_linenumber", "l_returnflag", "l_quantity")
+    analyses = line.groupBy("trace").agg(F.count("*").alias("lines"), F.sum(F.col("l_quantity").cast("long")).alias("rows"))
+    stages = line.groupBy("trace").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda s: F.concat(s["l_linenumber"], F.lit(":"), s["l_returnflag"])), ",").alias("stages"))
+    events = b.events.withColumn("trace", F.col("event_id"))
+    findings = events.where("action = 'error'").groupBy("trace").agg(F.count("*").alias("findings"), F.max("k").alias("worst"))
+    learnt = events.where("action in ('click', 'view')").groupBy("trace").agg(F.count("*").alias("learning_events"))
+    return P.import_trace(jobs, analyses, stages, findings, learnt)
+
+
+A54_SQL = f"""WITH {V.EVENTS}, j AS (SELECT CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END AS trace, o_orderstatus FROM orders),
+l AS (SELECT CASE WHEN l_quantity > 45 THEN l_orderkey + 1000000000000 ELSE l_orderkey END AS trace, * FROM lineitem),
+s AS (SELECT trace, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS rows, string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS stages FROM l GROUP BY 1),
+t AS (SELECT coalesce(j.trace, s.trace) AS trace, o_orderstatus, lines, rows, stages FROM j FULL OUTER JOIN s ON j.trace = s.trace)
+SELECT t.trace, o_orderstatus, lines, rows, stages, CAST(CASE WHEN action = 'error' THEN 1 ELSE 0 END AS BIGINT) AS findings, CASE WHEN action = 'error' THEN k END AS worst, CAST(CASE WHEN action IN ('click', 'view') THEN 1 ELSE 0 END AS BIGINT) AS learning_events FROM t LEFT JOIN ev ON ev.event_id = t.trace"""
 
 
 def a55(b):
@@ -334,7 +347,7 @@ QUERIES = {
     "A51_recent_imports": (a51, "WITH r AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) SELECT o_orderkey, coalesce(c_name, 'unknown') AS user, o_orderstatus = 'P' AS skipped FROM r LEFT JOIN customer ON o_custkey = c_custkey"),
     "A52_referrals": (a52, "SELECT a.c_custkey AS referrer, a.c_custkey + 1 AS referred, a.c_name AS from_name, b.c_name AS to_name, a.c_nationkey = b.c_nationkey AS shared FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey + 1"),
     "A53_reference_check": (a53, f"{L}, r AS (SELECT * FROM ledger ORDER BY txn_date DESC, txn_id LIMIT 2000), p AS (SELECT duplicate_of AS pointer FROM r WHERE duplicate_of IS NOT NULL UNION SELECT refund_of FROM r WHERE refund_of IS NOT NULL) SELECT {CNT} (pointer IN (SELECT txn_id FROM base)) AS found, count(*) AS pointers FROM p"),
-    "A54_import_trace": (a54, "WITH j AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT l_orderkey AS o_orderkey, count(*) AS stages, array_to_string(list_sort(list(DISTINCT l_returnflag)), '') AS flags FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) SELECT coalesce(j.o_orderkey, s.o_orderkey) AS o_orderkey, o_orderstatus, stages, flags FROM j FULL OUTER JOIN s ON j.o_orderkey = s.o_orderkey"),
+    "A54_import_trace": (a54, A54_SQL),
     "A55_goal_progress": (a55, f"WITH RECURSIVE {V.BASE}, r AS (SELECT user_id, txn_date, CASE WHEN txn_type = 'INCOME' THEN amount ELSE -amount END AS d, row_number() OVER (PARTITION BY user_id ORDER BY txn_date, txn_id) AS k FROM base), f AS (SELECT user_id, txn_date, k, CAST(greatest(0, d) AS DECIMAL(24,2)) AS c FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.txn_date, r.k, CAST(greatest(0, f.c + r.d) AS DECIMAL(24,2)) FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1) SELECT user_id, CAST(arg_max(c, k) AS DOUBLE) AS current, strftime(min(CASE WHEN c >= 3000 THEN txn_date END), '%Y-%m-%d') AS completed_on FROM f GROUP BY 1"),
     "W1_newest_wins": (w1, f"{E} SELECT user_id, action, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, action ORDER BY ts DESC, event_id) AS r FROM ev) WHERE r = 1"),
     "W3_day_gaps": (w3, f"WITH {V.BASE} SELECT txn_id, CAST(date_diff('day', lag(txn_date) OVER (PARTITION BY user_id, merchant ORDER BY txn_date, txn_id), txn_date) AS INT) AS gap FROM base"),

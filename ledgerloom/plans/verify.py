@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import evidence as EV
 from ..operators import layouts as Y
 from ..operators import verify as C
 from ..sources import views as V
@@ -138,17 +139,54 @@ def e3(b):
     return C.dimensions(b.events.select((F.col("event_id") % 4000).alias("claim_id"), F.col("action").alias("dimension"), (F.col("k") > 50).alias("holds")))
 
 
+E3_FIELDS = ["TRANSACTION_AMOUNT", "OPENING_BALANCE", "CLOSING_BALANCE", "TRANSACTION_DATE", "TRANSACTION_DIRECTION"]
+
+
+def e3_assessed(b):
+    """Claims with two or three facts each: words of lines of pages are the provenance, checks rest on pages or on nothing known."""
+    claim = F.floor(F.col("event_id") / 3)
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    e = b.events.select(claim.alias("claim_id"), "event_id", "k", "action")
+    field = pick(E3_FIELDS, F.col("claim_id") % 5)
+    value = F.when(F.col("k") % 13 != 0, F.concat(F.lit("v"), F.col("claim_id") % 7 + (F.col("k") % 8 == 0).cast("int")))
+    node = F.when(F.col("k") % 17 != 0, F.concat(F.lit("w"), F.col("k")))
+    facts = e.select("claim_id", field.alias("field"), pick(["SECTION_TEXT", "ROW_DATA", "DOCUMENT_TEXT", "COLUMN_HEADERS"], F.col("k") % 4).alias("source"), value.alias("value"), node.alias("node"))
+    k = b.events.select("k").distinct()
+    nodes = k.select(F.concat(F.lit("w"), "k").alias("node"), F.concat(F.lit("l"), F.col("k") % 20).alias("parent")).union(k.select(F.concat(F.lit("l"), F.col("k") % 20), F.concat(F.lit("p"), F.col("k") % 20 % 5))).union(k.select(F.concat(F.lit("p"), F.col("k") % 20 % 5), F.lit(None)))
+    finance = e.where("event_id % 3 = 1").select("claim_id", F.when(F.col("k") % 5 < 3, "HOLDS").when(F.col("k") % 5 == 3, "BROKEN").alias("chain"), F.when(F.col("k") % 3 == 0, "VERIFIED").when(F.col("k") % 3 == 1, "FAILED").alias("totals"), F.when(F.col("k") % 2 == 0, "OPENING_BALANCE").alias("cause"), F.when(F.col("k") % 6 > 0, F.concat(F.lit("p"), F.col("k") % 5)).alias("node"))
+    return EV.assess(facts, nodes, finance)
+
+
+E3_SQL = f"""WITH RECURSIVE {V.EVENTS}, e AS (SELECT event_id // 3 AS claim_id, event_id, k FROM ev),
+n AS (SELECT DISTINCT 'w' || k AS node, 'l' || (k % 20) AS parent FROM ev UNION SELECT DISTINCT 'l' || (k % 20), 'p' || (k % 20 % 5) FROM ev UNION SELECT DISTINCT 'p' || (k % 20 % 5), NULL FROM ev),
+up AS (SELECT node, node AS up FROM n UNION SELECT up.node, n.parent FROM up JOIN n ON n.node = up.up WHERE n.parent IS NOT NULL),
+f AS (SELECT claim_id, event_id, ['TRANSACTION_AMOUNT', 'OPENING_BALANCE', 'CLOSING_BALANCE', 'TRANSACTION_DATE', 'TRANSACTION_DIRECTION'][claim_id % 5 + 1] AS field, [2, 3, 1, 4][k % 4 + 1] AS rank, 'v' || (claim_id % 7 + CASE WHEN k % 8 = 0 THEN 1 ELSE 0 END) AS value, CASE WHEN k % 17 <> 0 THEN 'w' || k END AS node FROM e WHERE k % 13 <> 0),
+fl AS (SELECT f.*, coalesce(list_sort(list(DISTINCT up.up) FILTER (up.up IS NOT NULL)), []) AS lines FROM f LEFT JOIN up ON up.node = f.node GROUP BY f.claim_id, f.event_id, f.field, f.rank, f.value, f.node),
+c AS (SELECT claim_id, min(field) AS field, count(*) AS facts, count(DISTINCT value) AS vals, max(rank) AS rank, list_distinct(flatten(list(lines))) AS all_lines FROM fl GROUP BY 1),
+s AS (SELECT claim_id, lines AS strongest FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY rank DESC, lines DESC) AS r FROM fl) WHERE r = 1),
+i AS (SELECT DISTINCT x.claim_id FROM fl x JOIN fl y ON x.claim_id = y.claim_id AND x.event_id < y.event_id AND x.value = y.value AND NOT list_has_any(x.lines, y.lines)),
+k AS (SELECT e.claim_id, CASE WHEN k % 5 < 3 THEN 'HOLDS' WHEN k % 5 = 3 THEN 'BROKEN' END AS chain, CASE WHEN k % 3 = 0 THEN 'VERIFIED' WHEN k % 3 = 1 THEN 'FAILED' END AS totals, k % 2 = 0 AS opening, CASE WHEN k % 6 > 0 THEN ['p' || (k % 5)] ELSE [] END AS check_lines FROM e WHERE event_id % 3 = 1),
+d AS (SELECT c.claim_id, CASE WHEN rank > 2 THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS structural, CASE WHEN facts < 2 THEN 'INSUFFICIENT' WHEN vals > 1 THEN 'CONFLICTING' WHEN i.claim_id IS NOT NULL THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS corroboration,
+  CASE WHEN field IN ('TRANSACTION_AMOUNT', 'TRANSACTION_DIRECTION') THEN CASE chain WHEN 'HOLDS' THEN 'SUPPORTED' WHEN 'BROKEN' THEN 'CONFLICTING' ELSE 'INSUFFICIENT' END
+    WHEN field IN ('OPENING_BALANCE', 'CLOSING_BALANCE') AND totals = 'VERIFIED' THEN 'SUPPORTED' WHEN field = 'OPENING_BALANCE' AND totals = 'FAILED' AND opening THEN 'CONFLICTING' ELSE 'INSUFFICIENT' END AS financial, strongest, all_lines, coalesce(check_lines, []) AS check_lines
+  FROM c JOIN s ON s.claim_id = c.claim_id LEFT JOIN i ON i.claim_id = c.claim_id LEFT JOIN k ON k.claim_id = c.claim_id)
+SELECT claim_id, structural, corroboration, financial, CASE WHEN 'CONFLICTING' IN (structural, corroboration, financial) THEN 'CONFLICTING'
+  WHEN (structural = 'SUPPORTED' AND corroboration = 'SUPPORTED' AND NOT list_has_any(strongest, all_lines)) OR (structural = 'SUPPORTED' AND financial = 'SUPPORTED' AND NOT list_has_any(strongest, check_lines)) OR (corroboration = 'SUPPORTED' AND financial = 'SUPPORTED' AND NOT list_has_any(all_lines, check_lines)) THEN 'SUPPORTED' ELSE 'INSUFFICIENT' END AS status FROM d"""
+
+
 def _facts(b, shift):
-    return b.events.where(f"user_id % 3 = {shift} or k < 40").select((F.col("event_id") % 300).alias("doc_id"), (F.col("k") % 3).alias("page"), F.col("event_id").alias("n"), F.date_add(F.to_date("ts"), F.lit(shift)).alias("d"), F.floor("value").cast("double").alias("amount"), (F.col("action") == "click").alias("inflow"), F.array("action").alias("words"), (F.col("k") * 10.0).alias("top"), (F.col("k") * 10.0 + 8 + shift).alias("bottom"))
+    # the second reading sees every day one later and some amounts otherwise; forty facts a document
+    seen = F.floor("value") + (F.col("user_id") % 3 == shift).cast("int") * shift
+    return b.events.select(F.floor(F.col("event_id") / 40).alias("doc_id"), (F.col("k") % 3).alias("page"), F.col("event_id").alias("n"), F.date_add(F.to_date("ts"), F.lit(shift)).alias("d"), seen.cast("double").alias("amount"), (F.col("action") == "click").alias("inflow"), F.array("action").alias("words"), (F.col("k") * 10.0).alias("top"), (F.col("k") * 10.0 + 8 + shift).alias("bottom"))
 
 
 def e5(b):
     return C.fact_scores(_facts(b, 0), _facts(b, 1)).where("score >= 8")
 
 
-E5_SQL = f"""WITH {V.EVENTS}, f AS (SELECT event_id % 300 AS doc_id, k % 3 AS page, event_id AS n, CAST(ts AS DATE) AS d, floor(value) AS amount, action = 'click' AS inflow, action AS w, k * 10.0 AS top, user_id, k FROM ev),
-p AS (SELECT x.doc_id, x.page, x.n AS n_x, y.n AS n_y, abs(date_diff('day', x.d, y.d + 1)) AS days, abs(x.amount - y.amount) AS off, abs(x.amount - y.amount) <= abs(x.amount) * 0.001 AS near, x.inflow = y.inflow AS dir, x.w = y.w AS same,
-  greatest(0.0, least(x.top + 8, y.top + 9) - greatest(x.top, y.top)) / greatest(1e-9, greatest(x.top + 8, y.top + 9) - least(x.top, y.top)) AS lap FROM f x JOIN f y USING (doc_id, page) WHERE (x.user_id % 3 = 0 OR x.k < 40) AND (y.user_id % 3 = 1 OR y.k < 40)),
+E5_SQL = f"""WITH {V.EVENTS}, f AS (SELECT event_id // 40 AS doc_id, k % 3 AS page, event_id AS n, CAST(ts AS DATE) AS d, floor(value) AS amount, floor(value) + CASE WHEN user_id % 3 = 1 THEN 1 ELSE 0 END AS other, action = 'click' AS inflow, action AS w, k * 10.0 AS top FROM ev),
+p AS (SELECT x.doc_id, x.page, x.n AS n_x, y.n AS n_y, abs(date_diff('day', x.d, y.d + 1)) AS days, abs(x.amount - y.other) AS off, abs(x.amount - y.other) <= abs(x.amount) * 0.001 AS near, x.inflow = y.inflow AS dir, x.w = y.w AS same,
+  greatest(0.0, least(x.top + 8, y.top + 9) - greatest(x.top, y.top)) / greatest(1e-9, greatest(x.top + 8, y.top + 9) - least(x.top, y.top)) AS lap FROM f x JOIN f y USING (doc_id, page)),
 s AS (SELECT *, CASE days WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END + CASE WHEN off = 0 THEN 3 WHEN near THEN 1 ELSE 0 END + CASE WHEN dir THEN 2 ELSE 0 END + CASE WHEN same THEN 2 ELSE 0 END + CASE WHEN lap > 0.3 THEN 2 ELSE 0 END + CASE WHEN n_x = n_y THEN 1 ELSE 0 END AS score FROM p)
 SELECT doc_id, page, n_x, n_y, score, CASE WHEN (days > 1 AND NOT near AND lap = 0) OR (lap = 0 AND n_x <> n_y) THEN 'DIFFERENT' WHEN score >= 10 AND (lap > 0.3 OR n_x = n_y) THEN 'SAME' ELSE 'UNCERTAIN' END AS verdict FROM s WHERE score >= 8"""
 
@@ -212,6 +250,22 @@ def a38(b):
     return Y.recent_summary(b.imports, 200)
 
 
+def a38_analyses(b):
+    """The events as analyses: outcome, layout, rows and reasons (some blank, some no JSON, some with other values) by their value."""
+    k = F.col("k")
+    reasons = F.when(k % 9 == 0, F.lit("{bad")).when(k % 11 == 0, F.lit(" ")).when(k % 14 == 0, F.lit('{"NO_DATE":"many"}')).when(k % 5 == 0, F.lit(None)).otherwise(F.format_string('{"NO_DATE":%d,"SHAPE:%d":%d}', k % 4, k % 3, k % 7))
+    sessions = b.events.select(F.col("event_id").alias("session_id"), F.col("ts").alias("at"), F.when(F.col("action") == "error", "FAILED").when(F.col("action") == "view", "PARSED").otherwise("OPEN").alias("outcome"), F.when(k % 6 > 0, k % 31).alias("layout"), F.when(k % 8 > 0, k).alias("rows"), reasons.alias("reasons"))
+    return Y.analysis_summary(sessions, 500)
+
+
+A38_SQL = f"""WITH {V.EVENTS}, s AS (SELECT event_id, ts, action, k, CASE WHEN k % 6 > 0 THEN k % 31 END AS layout, CASE WHEN k % 8 > 0 THEN k END AS rows,
+  CASE WHEN k % 9 = 0 THEN 'BAD' WHEN k % 11 = 0 THEN 'BLANK' WHEN k % 14 = 0 THEN 'BAD' WHEN k % 5 = 0 THEN 'BLANK' ELSE 'GOOD' END AS json FROM ev),
+r AS (SELECT * FROM s ORDER BY ts DESC, event_id DESC LIMIT 500), h AS (SELECT 'NO_DATE' AS key, k % 4 AS n FROM r WHERE json = 'GOOD' UNION ALL SELECT 'SHAPE:' || (k % 3), k % 7 FROM r WHERE json = 'GOOD')
+SELECT 'ALL' AS part, 'sessions' AS key, count(*) AS n FROM s UNION ALL SELECT 'ALL', 'PARSED', count(*) FILTER (action = 'view') FROM s UNION ALL SELECT 'ALL', 'FAILED', count(*) FILTER (action = 'error') FROM s UNION ALL SELECT 'ALL', 'layouts', count(DISTINCT layout) FROM s
+UNION ALL SELECT 'RECENT', 'sessions', count(*) FROM r UNION ALL SELECT 'RECENT', 'rows', CAST(coalesce(sum(rows), 0) AS BIGINT) FROM r UNION ALL SELECT 'RECENT', 'unanchored', CAST(coalesce(sum(n), 0) AS BIGINT) FROM h UNION ALL SELECT 'RECENT', 'unreadable', count(*) FILTER (json = 'BAD') FROM r
+UNION ALL SELECT 'REASON', key, CAST(sum(n) AS BIGINT) FROM h GROUP BY key"""
+
+
 def w7_layout(b):
     return Y.changed_headers(b.imports)
 
@@ -254,6 +308,8 @@ QUERIES = {
     "A35_unknown_headers": (a35, "WITH h AS (SELECT doc_id, source || lang AS fp, doc_id % 400 AS day, unnest(list_distinct(string_split(lower(string_split(text, chr(10))[1]), ' '))) AS header FROM documents) SELECT header, count(DISTINCT doc_id) AS imports, count(DISTINCT fp) AS layouts, min(day) AS first_day, max(day) AS last_day FROM h WHERE header <> '' GROUP BY 1"),
     "A36_W9_encounters": (a36, f"WITH {V.IMPORTS}, m AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY day, import_id) = 1 AS first_time FROM imports) SELECT first_time, count(*) AS imports, round(avg(rows), 4) AS mean_rows, list_sort(list(duration))[count(*) // 2 + 1] AS median FROM m GROUP BY 1"),
     "A37_failures": (a37, f"WITH {V.IMPORTS}, p AS (SELECT 'E' || import_id % 6 AS code, fingerprint, count(*) AS n FROM imports GROUP BY 1, 2) SELECT code, CAST(sum(n) AS BIGINT) AS failures, arg_min(fingerprint, (-n, fingerprint)) AS dominant FROM p GROUP BY 1"),
+    "A38_analysis_summary": (a38_analyses, A38_SQL),
+    "E3_assessment": (e3_assessed, E3_SQL),
     "A38_recent_summary": (a38, f"WITH {V.IMPORTS}, r AS (SELECT * FROM imports ORDER BY import_id DESC LIMIT 200) SELECT bank, count(*) AS imports, CAST(sum(rows) AS BIGINT) AS rows FROM r GROUP BY 1"),
     "A46_J6_layouts_with_registry": (j6, f"WITH {V.IMPORTS}, s AS (SELECT fingerprint, count(*) AS uses, min(day) AS f, max(day) AS l, CAST(sum(rows) AS BIGINT) AS rows FROM imports GROUP BY 1), g AS (SELECT 'src' || n_nationkey || 'en' AS fingerprint, n_name AS name, n_nationkey % 3 AS rf, 500 AS rl FROM nation) SELECT coalesce(s.fingerprint, g.fingerprint) AS fingerprint, coalesce(name, 'unnamed') AS name, coalesce(uses, 0) AS uses, coalesce(rows, 0) AS rows, coalesce(rf, f) AS first_day, coalesce(rl, l) AS last_day FROM s FULL OUTER JOIN g ON s.fingerprint = g.fingerprint"),
     "W7_layout_changes": (w7_layout, f"WITH {V.IMPORTS} SELECT import_id, coalesce(fingerprint <> lag(fingerprint) OVER (PARTITION BY bank ORDER BY day, import_id), false) AS changed FROM imports"),
