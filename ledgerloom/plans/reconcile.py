@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reconcile as R
+from ..operators import rerun as RR
 from ..sources import views as V
 
 NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
@@ -99,6 +100,15 @@ def d8(b):
     return R.duplicates(left.withColumn("confirmed_at", F.lit(None).cast("timestamp")))
 
 
+def d8_incremental(b):
+    """Some rows of every ledger are removed, moved by a month or renamed; the marks that this changes, from a run over the edited islands alone."""
+    at = F.col("txn_date").cast("timestamp")
+    before = b.base.select(*ROWS, at.alias("created_at"), F.lit(None).cast("timestamp").alias("confirmed_at"), "qty", "tax").dropDuplicates(["txn_id"])
+    moved = before.where("not (qty = 50 and tax = 0)").withColumn("txn_date", F.when((F.col("qty") == 49) & (F.col("tax") == 1), F.date_add("txn_date", 30)).otherwise(F.col("txn_date"))).withColumn("description", F.when((F.col("qty") == 48) & (F.col("tax") == 2), "Card Payment moved").otherwise(F.col("description")))
+    before, after = before.drop("qty", "tax"), moved.drop("qty", "tax")
+    return RR.rerun(before, after, R.saved(RR.marks(before)))
+
+
 def j15(b):
     return R.dangling(b.ledger.where("user_id % 5 != 0 or txn_type = 'INCOME'"))
 
@@ -114,6 +124,7 @@ QUERIES = {
     "D5_receipt_match": (d5, D5_SQL),
     "D6_import_tally": (d6, f"WITH {V.LEDGER} SELECT account_id, count(*) AS rows, count(*) FILTER (status = 'DUPLICATE') AS duplicate, count(*) FILTER (status = 'TRANSFER') AS transfer, count(*) FILTER (status = 'REFUND') AS refund, count(*) FILTER (status = 'OK') AS ok FROM ledger GROUP BY 1"),
     "D7_pointer_reset": (d7, f"WITH {V.LEDGER}, g AS MATERIALIZED (SELECT DISTINCT txn_id FROM ledger WHERE ym = '1998-01' OR user_id % 5 = 0) SELECT l.txn_id, 'OK' AS status, status AS was FROM ledger l ANTI JOIN g ON g.txn_id = l.txn_id SEMI JOIN g h ON h.txn_id = coalesce(l.duplicate_of, l.refund_of)"),
+    "D8_incremental_rerun": (d8_incremental, None),
     "D8_bulk_change_and_rerun": (d8, f"WITH {V.LEDGER_EVENTS}, x AS (SELECT * REPLACE (CASE WHEN merchant = 'click' THEN 'view' ELSE description END AS description) FROM le WHERE merchant <> 'view' OR user_id % 4 <> 0), m AS (SELECT *, first_value(txn_id) OVER (PARTITION BY account_id, txn_date, amount, description ORDER BY created_at, txn_id) AS original FROM x) SELECT txn_id, original AS duplicate_of FROM m WHERE original <> txn_id"),
     "J15_dangling_pointers": (j15, f"WITH {V.LEDGER}, r AS (SELECT * FROM ledger WHERE user_id % 5 <> 0 OR txn_type = 'INCOME') SELECT 'duplicate_of' AS pointer, count(*) AS dangling FROM r WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT txn_id FROM r) UNION ALL SELECT 'refund_of', count(*) FROM r WHERE refund_of IS NOT NULL AND refund_of NOT IN (SELECT txn_id FROM r)"),
 }
