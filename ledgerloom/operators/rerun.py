@@ -28,8 +28,9 @@ def marks(rows: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:
 
 
 def edited(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows that were removed, added or changed, each version that there is: the columns of ``after``."""
-    return before.select(after.columns).exceptAll(after).union(after.exceptAll(before.select(after.columns)))
+    """Rows that were removed, added or changed, each version that there is once: the columns of ``after``."""
+    both = before.select(after.columns).withColumn("_n", F.lit(1)).union(after.withColumn("_n", F.lit(-1)))
+    return both.groupBy(*after.columns).agg(F.sum("_n").alias("_n")).where("_n != 0").drop("_n")
 
 
 def islands(before: DataFrame, after: DataFrame, edits: DataFrame, days: int = reconcile.REFUND_DAYS) -> DataFrame:
