@@ -17,6 +17,8 @@ from ..functions import text
 from .folds import folded
 
 TRANSFER_DAYS, OWN_ACCOUNT_DAYS, REFUND_DAYS, RECEIPT_DAYS = 4, 10, 180, 3
+#: Pairs of one user that a task tries one after the other.
+FOLDED_PAIRS = 2_000_000
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -73,9 +75,45 @@ def transfer_candidates(rows: DataFrame, identifiers: DataFrame | None = None) -
     return pairs.where(fits & near).select(F.col("a.user_id").alias("user_id"), F.col("a.txn_id").alias("a_id"), F.col("b.txn_id").alias("b_id"), F.col("a.txn_date").alias("a_date"), F.col("b.txn_date").alias("b_date"))
 
 
-def transfers(candidates: DataFrame) -> DataFrame:
-    """The pairs that are taken if pairs are tried in order of (a, b), each row in one pair at most."""
-    left = saved(candidates.select("a_id", "b_id", F.struct("a_date", "a_id", "b_date", "b_id").alias("turn")))
+def transfers(candidates: DataFrame, most: int = FOLDED_PAIRS) -> DataFrame:
+    """The pairs that are taken if pairs are tried in order of (a, b), each row in one pair at most.
+
+    A user's pairs are tried one after the other as a stream. Users with more than ``most`` pairs, which one task would be long at, are
+    taken in rounds instead: every pair that is the first of both its rows is taken, and what it meets goes; the result is the same.
+    Pairs without a user_id are taken in rounds.
+    """
+    if "user_id" not in candidates.columns:
+        return _in_rounds(candidates)
+    pairs = saved(candidates.select("user_id", "a_id", "b_id", "a_date", "b_date"))
+    large = pairs.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("user_id")
+    if large.head() is None:
+        return _tried(pairs)
+    large = saved(large)
+    return _tried(pairs.join(large, "user_id", "left_anti")).union(_in_rounds(pairs.join(large, "user_id", "left_semi")))
+
+
+def _tried(pairs: DataFrame) -> DataFrame:
+    """The pairs taken, each user's in order; a state holds the rows taken of the days that pairs still reach."""
+
+    def take(state, row):
+        _, a_day, a, b_day, b = row
+        if a_day != state["day"]:
+            state["day"] = a_day
+            # both rows of a pair lie within OWN_ACCOUNT_DAYS
+            state["used"] = {k: d for k, d in state["used"].items() if d >= a_day - 2 * OWN_ACCOUNT_DAYS}
+        if a in state["used"] or b in state["used"]:
+            return ()
+        state["used"] |= {a: a_day, b: b_day}
+        return ((a, b),)
+
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long").alias(c)
+    rows = pairs.select("user_id", day("a_date"), "a_id", day("b_date"), "b_id")
+    return folded(rows, ["user_id"], ["a_date", "a_id", "b_date", "b_id"], lambda: {"day": None, "used": {}}, take, "a_id string, b_id string")
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """The same pairs for users of any size: no user is one task's, and rounds follow the longest chain of conflicts."""
+    left = saved(pairs.select("a_id", "b_id", F.struct("a_date", "a_id", "b_date", "b_id").alias("turn")))
     taken = None
     while left.head() is not None:
         ends = left.select(F.col("a_id").alias("id"), "turn").union(left.select(F.col("b_id"), "turn"))

@@ -157,3 +157,26 @@ def test_health_needs_rows_and_scores(spark):
     got = A.health(spark.createDataFrame(rows, LEDGER), accounts).first()
     assert (got["savings"], got["debt"], got["emergency"], got["consistency"], got["cash_flow"]) == (100.0, 100.0, 100.0, 100.0, 100.0) and got["score"] == 100
     assert A.health(spark.createDataFrame(rows[:9], LEDGER), accounts).count() == 0
+
+
+def test_transfers_in_order_and_in_rounds_are_the_same(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for user in range(3):
+        days = {f"{user}r{k}": rng.randint(0, 40 if user else 400) for k in range(60)}
+        ids = sorted(days)
+        for _ in range(200):
+            a, b = rng.sample(ids, 2)
+            if abs(days[a] - days[b]) <= 10:
+                rows.append((user, a, b, date(2024, 1, 1) + timedelta(days=days[a]), date(2024, 1, 1) + timedelta(days=days[b])))
+    pairs = spark.createDataFrame(rows, "user_id long, a_id string, b_id string, a_date date, b_date date")
+    used, want = set(), set()
+    for _, a, b, *_ in sorted(rows, key=lambda r: (r[3], r[1], r[4], r[2])):
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((a, b))
+    for most in (10**6, 0, 40):
+        assert {tuple(r) for r in R.transfers(pairs, most).collect()} == want and want
+    assert R.transfers(pairs.limit(0)).collect() == []
