@@ -15,8 +15,8 @@ CLASHING = (
     "label lang_pred last left level line lines link marks n n_gone n_lines n_links n_tokens n_words none packed part passes place pos predicted quota rank row rows run score seed "
     "shard similarity size sizes source_size start stratum taken target tkey total turn u v weight words x y"
 ).split()
-ID = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}
-READS = {"op5_html_extraction": "pages", "op8_embedding_near_dedup": "embeddings"}
+ID = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "conversations": "conv_id"}
+READS = {"op5_html_extraction": "pages", "op8_embedding_near_dedup": "embeddings", "op13_prefix_trie": "conversations"}
 needs_model = pytest.mark.skipif(not os.path.exists(queries.MODEL), reason="no model file")
 
 
@@ -32,7 +32,11 @@ def rows_of():
     page = "<html><body><nav><a href=x>Menu</a></nav><article><p>" + ", ".join(text(8) for _ in range(9)) + ".</p></article></body></html>"
     pages = [(0, "u", page), (0, "u", page), (1, None, None), (2, "u", ""), (3, "u", "<p>" * 30_000 + "deep"), (4, "u", "just text"), (None, "u", page), (5, "v", page)]
     vectors = [[1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0], [1.0, 0.1, 0.0, 0.0], [0.0] * 4, None, [float("nan"), 1.0, 0.0, 0.0], [None, 1.0, 0.0, 0.0], [1.0, 0.0], [1.0, 0.0], [], [-1.0, 0.0, 0.0, 0.0]]
+    # each conversation has a turn of its own, so each is the smallest member of a node
+    turns = [(c, t, r, f"{c} {x}") for c in (0, 5, 10, 15) for t, r, x in ((None, None, "first"), (1, "user", "tie"), (1, "user", "tie"), (1, "assistant", "tie"), (2, "user", text(3_000)))]
+    turns += [(0, 3, "user", None), (20, None, None, None), (None, 1, "user", "lost"), (None, None, None, None)]
     return {
+        "conversations": (turns, "conv_id long, turn long, role string, text string"),
         "documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"),
         "labels": (labels, "doc_id long, quality int, toxic int"),
         "pages": (pages, "page_id long, url string, html string"),
