@@ -82,6 +82,11 @@ def keyword_category(c: Column) -> Column:
     return F.get(F.transform(F.array(normalize(c)), first), F.lit(0))
 
 
+def is_salary(norm: Column) -> Column:
+    """Whether the category of a normalised text is Salary: its keywords come first, so no other category's are looked at."""
+    return norm.rlike(r"\b(?:" + "|".join(CATEGORY_KEYWORDS[0][1]) + r")\b")
+
+
 def mentions_refund(c: Column) -> Column:
     return normalize(c).rlike("|".join(REFUND_WORDS))
 

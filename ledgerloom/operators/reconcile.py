@@ -59,16 +59,17 @@ def duplicates(rows: DataFrame) -> DataFrame:
 
 def transfer_candidates(rows: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) that may be the two sides of a transfer, with their order."""
-    marked = rows.withColumn("norm", text.normalize(F.col("description"))).withColumn("salary", text.keyword_category(F.col("description")) == "Salary")
+    marked = rows.withColumn("norm", text.normalize(F.col("description"))).withColumn("salary", text.is_salary(F.col("norm")))
+    reach = OWN_ACCOUNT_DAYS
     if identifiers is None:
-        marked = marked.withColumn("own", F.lit(False))
+        marked, reach = marked.withColumn("own", F.lit(False)), TRANSFER_DAYS
     else:
         # identifiers are a user's own: an equi-join on the user, then a substring test
         own = marked.select("txn_id", "user_id", "norm").join(identifiers, "user_id").where(F.contains("norm", "identifier")).select("txn_id").distinct().withColumn("own", F.lit(True))
         marked = marked.join(own, "txn_id", "left").withColumn("own", F.coalesce("own", F.lit(False)))
     looks = ~F.col("salary") & (F.col("own") | F.col("norm").contains("payment"))
     cols = ["txn_id", "account_id", "txn_date", "amount", "txn_type", "own", "user_id"]
-    pairs = near_days(marked.where(looks).select(*cols), marked.where(~F.col("salary")).select(*cols), ["user_id"], OWN_ACCOUNT_DAYS, OWN_ACCOUNT_DAYS)
+    pairs = near_days(marked.where(looks).select(*cols), marked.where(~F.col("salary")).select(*cols), ["user_id"], reach, reach)
     days = F.abs(F.datediff("a.txn_date", "b.txn_date"))
     fits = (F.col("a.account_id") != F.col("b.account_id")) & (F.col("a.txn_type") != F.col("b.txn_type")) & (F.abs(F.col("a.amount") - F.col("b.amount")) < 1)
     near = days <= F.when(F.col("a.own") | F.col("b.own"), OWN_ACCOUNT_DAYS).otherwise(TRANSFER_DAYS)
