@@ -66,9 +66,10 @@ class Book:
     @cached_property
     def ledger(self) -> DataFrame:
         """Ledger rows with the marks of a finished reconciliation."""
-        first = F.min("txn_id").over(Window.partitionBy("account_id"))
+        # an account is one user's, so rows dealt by user serve both windows: one shuffle of whole rows
+        first = F.min("txn_id").over(Window.partitionBy("user_id", "account_id"))
         bought = F.min(F.when(F.col("txn_type") == "EXPENSE", F.col("txn_id"))).over(Window.partitionBy("user_id", "merchant"))
-        rows = self.base.withColumn("first_id", first).withColumn("bought_id", bought)
+        rows = self.base.repartition("user_id").withColumn("first_id", first).withColumn("bought_id", bought)
         duplicate = F.when((F.col("tax") == 8) & (F.col("qty") <= 5) & (F.col("first_id") != F.col("txn_id")), F.col("first_id"))
         rows = rows.withColumn("duplicate_of", duplicate).withColumn("is_transfer", (F.col("tax") == 7) & (F.col("qty") > 40) & F.col("duplicate_of").isNull())
         refund = F.when((F.col("txn_type") == "INCOME") & (F.col("qty") >= 30) & ~F.col("is_transfer") & F.col("duplicate_of").isNull(), F.col("bought_id"))
