@@ -71,6 +71,11 @@ def first_of(raw: Column, role: str) -> Column:
     return F.coalesce(*[F.try_element_at(raw, F.lit(h)) for h in HINTS[role]])
 
 
+def _once(c: Column, use) -> Column:
+    """``use`` of the value: a lambda's variable is worked out once, where a plain expression is again in every branch that names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def parse_number(c: Column) -> Column:
     """DR and brackets are negative; currency signs, commas and spaces don't count; blank and - are null."""
     text = F.upper(F.trim(c))
@@ -98,7 +103,9 @@ def parse_date(c: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, r"^(\d)(st|nd|rd|th)\b", "0$1"), r"^(\d{2})(st|nd|rd|th)\b", "$1")
     text = F.regexp_replace(text, r"^(\d{2})([A-Za-z]{3})(\d{4})$", "$1-$2-$3")
     text = F.regexp_replace(text, r"^([A-Za-z]{3,9})\s*(\d{1,2})\s*,\s*(\d{4})$", "$1 $2, $3")
-    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.to_date(F.try_to_timestamp(text, F.lit(f)))) for f in DATE_FORMATS])
+    # no format fits a text of fewer than three digits, so most texts that aren't dates end here
+    read = lambda t: F.coalesce(*[F.when(t.rlike(_shape(f)), F.to_date(F.try_to_timestamp(t, F.lit(f)))) for f in DATE_FORMATS])
+    return F.when(c.rlike(r"\d[^\d]*\d[^\d]*\d"), _once(text, read))
 
 
 def raw_sign(c: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import reconcile, rerun
-from ledgerloom.sources import views
+from ledgerloom.sources import statements, views
 
 
 def optimized(df):
@@ -39,3 +39,10 @@ def test_salary_is_told_without_the_other_categories(spark):
     assert all(r["one"] == r["all"] for r in rows.collect())
     ledger = spark.createDataFrame([], "txn_id string, user_id long, account_id long, txn_date date, amount decimal(14,2), txn_type string, description string")
     assert "bigbasket" not in reconcile.transfer_candidates(ledger).select("a_id")._jdf.queryExecution().logical().toString()
+
+
+def test_a_date_text_is_worked_out_once(spark):
+    assert str(statements.parse_date(F.col("said"))).count("said") <= 2
+    said = ["1st Jan 2020", "05Mar2021", "March5, 2021", "03/04/21", "12/31/2020", "2020-01-02T10:22:00", "1.2", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").select("k", statements.parse_date(F.col("t")).alias("day")).orderBy("k").collect()
+    assert [str(r["day"]) for r in rows] == ["2020-01-01", "2021-03-05", "2021-03-05", "2021-04-03", "2020-12-31", "2020-01-02", "None", "None", "None"]
