@@ -47,14 +47,20 @@ def near_days(left: DataFrame, right: DataFrame, keys: list[str], before: int, a
     return pairs.where(gap.between(-before, after))
 
 
-def duplicates(rows: DataFrame) -> DataFrame:
-    """txn_id and duplicate_of: all but the first row of an account with one date, amount and description.
+def with_originals(rows: DataFrame) -> DataFrame:
+    """The rows with duplicate_of: the first row of an account with the same date, amount and description, null for that row itself.
 
     Null descriptions make rows unique; rows confirmed as no duplicates aren't marked but may be the first.
     """
     order = Window.partitionBy("account_id", "txn_date", "amount", "description").orderBy("created_at", "txn_id")
-    marked = rows.where("description is not null").withColumn("original", F.first("txn_id").over(order))
-    return marked.where((F.col("original") != F.col("txn_id")) & F.col("confirmed_at").isNull()).select("txn_id", F.col("original").alias("duplicate_of"))
+    original = F.first("txn_id").over(order)
+    marked = F.col("description").isNotNull() & (F.col("original") != F.col("txn_id")) & F.col("confirmed_at").isNull()
+    return rows.withColumn("original", original).withColumn("duplicate_of", F.when(marked, F.col("original"))).drop("original")
+
+
+def duplicates(rows: DataFrame) -> DataFrame:
+    """txn_id and duplicate_of of the rows that ``with_originals`` marks."""
+    return with_originals(rows.where("description is not null")).where("duplicate_of is not null").select("txn_id", "duplicate_of")
 
 
 def transfer_candidates(rows: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:

@@ -16,13 +16,15 @@ MARKS = ["duplicate_of", "transfer_with", "refund_of", "status"]
 
 def marks(rows: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:
     """txn_id, duplicate_of, transfer_with, refund_of and status of every row: duplicates first, then transfers among the rest, then refunds."""
-    same = reconcile.saved(reconcile.duplicates(rows))
-    left = rows.join(same.select("txn_id"), "txn_id", "left_anti").withColumn("status", F.lit("OK"))
+    # the rows are written once with their mark as a duplicate; all that follows reads that, and only the chosen ids meet by txn_id
+    placed = reconcile.saved(reconcile.with_originals(rows).select(*rows.columns, "duplicate_of"))
+    left = placed.where("duplicate_of is null").drop("duplicate_of").withColumn("status", F.lit("OK"))
     pairs = reconcile.saved(reconcile.transfers(reconcile.transfer_candidates(left, identifiers)))
     sides = pairs.select(F.col("a_id").alias("txn_id"), F.col("b_id").alias("transfer_with")).union(pairs.select("b_id", "a_id"))
     left = left.join(sides.select("txn_id"), "txn_id", "left_anti")
     back = reconcile.refunds(reconcile.refund_candidates(left)).select(F.col("income_id").alias("txn_id"), F.col("expense_id").alias("refund_of"))
-    found = rows.select("txn_id").join(same, "txn_id", "left").join(sides, "txn_id", "left").join(back, "txn_id", "left")
+    paired = sides.withColumn("refund_of", F.lit(None).cast("string")).union(back.select("txn_id", F.lit(None).cast("string"), "refund_of"))
+    found = placed.select("txn_id", "duplicate_of").join(paired, "txn_id", "left")
     status = F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE").when(F.col("transfer_with").isNotNull(), "TRANSFER").when(F.col("refund_of").isNotNull(), "REFUND").otherwise("OK")
     return found.withColumn("status", status).select("txn_id", *MARKS)
 
@@ -52,7 +54,7 @@ def rerun(before: DataFrame, after: DataFrame, known: DataFrame, identifiers: Da
     edits = reconcile.saved(edited(before, after))
     reach = reconcile.saved(islands(before, after, edits))
     inside = lambda rows: rows.join(reach, "user_id").where(F.col("txn_date").between(F.col("low"), F.col("high"))).drop("low", "high")
-    fresh = marks(reconcile.saved(inside(after)), identifiers)
+    fresh = marks(inside(after), identifiers)
     old = known.select("txn_id", *[F.col(m).alias(f"was_{m}") for m in MARKS])
     both = fresh.join(old, "txn_id", "left").withColumn("was_status", F.coalesce("was_status", F.lit("OK")))
     differs = None
