@@ -21,8 +21,7 @@ def _files(b):
 
 
 def _staged(b):
-    lines = statements.split_lines(_files(b))
-    return statements.stage(statements.zip_rows(lines, statements.header_rows(lines)))
+    return statements.stage(statements.file_rows(_files(b)))
 
 
 def s11(b):

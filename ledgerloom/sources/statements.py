@@ -25,9 +25,16 @@ HINTS = {
 }
 #: Day-first formats come before the month-first one.
 DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd/MM/yy", "dd-MM-yy", "dd MMM yyyy", "dd-MMM-yyyy", "dd-MMM-yy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd", "MM/dd/yyyy"]
+#: Few rows name a date at all; only those are looked at cell by cell for a header.
+DATED = "|".join(HINTS["date"])
 MARKERS = ["opening balance", "closing balance", "balance forward", "balance b/f", "balance c/f"]
 
 
+def once(c: Column, f) -> Column:
+    """f(c) with ``c`` worked out once: a lambda's variable is a value, whereas a Column named twice is computed twice, and optimizers may copy it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no and cells of CSV files; the order within a file is kept, quotes and commas are parsed natively."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
@@ -37,8 +44,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def split_lines(files: DataFrame) -> DataFrame:
     """file, line_no and cells from (file, value) with a file's whole text in a row."""
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    cells = F.transform(F.regexp_extract_all("line", F.lit(r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'), F.lit(0)), lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^,", ""), '^"(.*)"$', "$1"), '""', '"'))
-    return lines.select("file", "line_no", cells.alias("cells"))
+    return lines.select("file", "line_no", _cells(F.col("line")).alias("cells"))
+
+
+def _cells(line: Column) -> Column:
+    bare = lambda c: F.when(c.contains('"'), F.regexp_replace(F.regexp_replace(c, '^"(.*)"$', "$1"), '""', '"')).otherwise(c)
+    return F.transform(F.regexp_extract_all(line, F.lit(r'(?:^|,)(?:"((?:[^"]|"")*)"|([^,]*))'), F.lit(0)), lambda c: once(F.when(c.startswith(","), c.substr(F.lit(2), F.length(c))).otherwise(c), bare))
 
 
 def clean_header(c: Column) -> Column:
@@ -51,19 +62,51 @@ def _hinted(cells: Column, roles: list[str]) -> Column:
     return F.exists(cells, lambda c: clean_header(c).isin(names))
 
 
+def _is_header(cells: Column) -> Column:
+    return (F.size(cells) >= 2) & _hinted(cells, ["date"]) & _hinted(cells, ["amount", "debit", "credit"])
+
+
 def header_rows(lines: DataFrame) -> DataFrame:
     """Each file's first row of two or more cells with a date and an amount name; line -1 if there is none."""
-    hit = (F.size("cells") >= 2) & _hinted(F.col("cells"), ["date"]) & _hinted(F.col("cells"), ["amount", "debit", "credit"])
+    dated = F.exists("cells", lambda c: F.lower(c).rlike(DATED))
+    hit = dated & _is_header(F.col("cells"))
     found = lines.groupBy("file").agg(F.min(F.when(hit, F.struct("line_no", F.transform("cells", clean_header).alias("names")))).alias("h"))
     return found.select("file", F.coalesce("h.line_no", F.lit(-1)).alias("header_line"), F.col("h.names").alias("names"))
 
 
 def zip_rows(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows below the header as maps by name; of equal names the last non-blank value counts, missing cells are null."""
-    rows = lines.join(headers, "file").where((F.col("header_line") >= 0) & (F.col("line_no") > F.col("header_line")))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("names")), lambda i: F.struct(F.element_at("names", i).alias("k"), F.nullif(F.trim(F.get("cells", i - 1)), F.lit("")).alias("v")))
-    merged = F.map_from_entries(F.transform(F.array_distinct(F.col("names")), lambda n: F.struct(n, F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(F.col("pairs"), lambda p: (p["k"] == n) & p["v"].isNotNull()), lambda p: p["v"])), -1))))
-    return rows.withColumn("pairs", pairs).select("file", "line_no", merged.alias("raw"))
+    rows = lines.join(_placed(headers.where("header_line >= 0")), "file").where(F.col("line_no") > F.col("header_line"))
+    return rows.select("file", "line_no", _by_name(F.col("cells")).alias("raw"))
+
+
+def _placed(headers: DataFrame) -> DataFrame:
+    """With the distinct names (keys) and where each one's values stand (places): found once a file."""
+    return headers.withColumn("keys", F.array_distinct("names")).withColumn("places", _places(F.col("names")))
+
+
+def _places(names: Column) -> Column:
+    return F.transform(F.array_distinct(names), lambda n: F.filter(F.sequence(F.lit(0), F.size(names) - 1), lambda i: F.get(names, i) == n))
+
+
+def _by_name(cells: Column) -> Column:
+    def read(row: Column) -> Column:
+        value = lambda i: F.nullif(F.trim(F.get(row, i)), F.lit(""))
+        return F.transform("places", lambda at: F.aggregate(at, F.lit(None).cast("string"), lambda v, i: F.coalesce(value(i), v)))
+
+    return F.map_from_arrays("keys", once(cells, read))
+
+
+def file_rows(files: DataFrame) -> DataFrame:
+    """What ``zip_rows`` gives for ``split_lines`` and ``header_rows`` of the files, in one pass: no line is read twice, shuffled or joined."""
+    lines = files.where("file is not null").select("file", F.split("value", "\r?\n").alias("lines"))
+    told = F.filter(F.transform("lines", lambda s, i: F.struct(i.alias("line_no"), s.alias("line"))), lambda r: (F.trim(r["line"]) != "") & F.lower(r["line"]).rlike(DATED))
+    read = F.filter(F.transform(told, lambda r: F.struct(r["line_no"].alias("line_no"), _cells(r["line"]).alias("cells"))), lambda r: _is_header(r["cells"]))
+    header = F.transform(F.slice(read, 1, 1), lambda r: once(F.transform(r["cells"], clean_header), lambda names: F.struct(r["line_no"].alias("at"), F.array_distinct(names).alias("keys"), _places(names).alias("places"))))
+    # outer, and a condition that is never null: from others Spark infers conditions that would search the header once more
+    rows = lines.withColumn("header", F.get(header, F.lit(0))).select("file", "header", F.posexplode_outer("lines").alias("line_no", "line"))
+    rows = rows.where(F.coalesce((F.col("line_no") > F.col("header.at")) & (F.trim("line") != ""), F.lit(False)))
+    return rows.select("file", "line_no", F.col("header.keys").alias("keys"), F.col("header.places").alias("places"), _cells(F.col("line")).alias("cells")).select("file", "line_no", _by_name(F.col("cells")).alias("raw"))
 
 
 def first_of(raw: Column, role: str) -> Column:
@@ -73,17 +116,21 @@ def first_of(raw: Column, role: str) -> Column:
 
 def parse_number(c: Column) -> Column:
     """DR and brackets are negative; currency signs, commas and spaces don't count; blank and - are null."""
-    text = F.upper(F.trim(c))
-    negative = text.rlike(r"DR\.?$") | text.rlike(r"^\(.*\)$")
-    digits = F.regexp_replace(text, r"RS\.?|INR|₹|[CD]R\.?$|[(),\s]", "")
-    value = digits.try_cast("decimal(14,2)")
-    return F.when(negative, -F.abs(value)).otherwise(value)
+    def read(text: Column) -> Column:
+        negative = text.rlike(r"DR\.?$") | text.rlike(r"^\(.*\)$")
+        digits = F.regexp_replace(text, r"RS\.?|INR|₹|[CD]R\.?$|[(),\s]", "")
+        # a failed cast costs far more than a look: no number holds another letter than E
+        value = once(digits, lambda t: F.when(t.rlike(r"^[^A-DF-Z]*\p{Nd}[^A-DF-Z]*$"), t.try_cast("decimal(14,2)")))
+        return once(value, lambda v: F.when(v.isNotNull() & negative, -F.abs(v)).otherwise(v))
+
+    return once(F.upper(F.trim(c)), read)
 
 
 def first_amount(raw: Column, role: str) -> Column:
     """The first amount that isn't 0 among a role's names, else the first that parses."""
-    values = [parse_number(F.try_element_at(raw, F.lit(h))) for h in HINTS[role]]
-    return F.coalesce(*[F.when(v != 0, v) for v in values], *values)
+    values = F.array(*[parse_number(F.try_element_at(raw, F.lit(h))) for h in HINTS[role]])
+    read = lambda vs: F.filter(vs, lambda v: v.isNotNull())
+    return once(once(values, read), lambda vs: F.coalesce(F.get(F.filter(vs, lambda v: v != 0), F.lit(0)), F.get(vs, F.lit(0))))
 
 
 def _shape(form: str) -> str:
@@ -94,11 +141,17 @@ def _shape(form: str) -> str:
 
 def parse_date(c: Column) -> Column:
     """The first of the formats that reads the text, without times, ordinal suffixes or missing separators."""
-    text = F.regexp_replace(F.trim(c), r"[ T]\d{1,2}:\d{2}(:\d{2})?.*$", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"^(\d)(st|nd|rd|th)\b", "0$1"), r"^(\d{2})(st|nd|rd|th)\b", "$1")
-    text = F.regexp_replace(text, r"^(\d{2})([A-Za-z]{3})(\d{4})$", "$1-$2-$3")
-    text = F.regexp_replace(text, r"^([A-Za-z]{3,9})\s*(\d{1,2})\s*,\s*(\d{4})$", "$1 $2, $3")
-    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.to_date(F.try_to_timestamp(text, F.lit(f)))) for f in DATE_FORMATS])
+    def plain(text: Column) -> Column:
+        text = F.regexp_replace(text, r"[ T]\d{1,2}:\d{2}(:\d{2})?.*$", "")
+        text = F.regexp_replace(F.regexp_replace(text, r"^(\d)(st|nd|rd|th)\b", "0$1"), r"^(\d{2})(st|nd|rd|th)\b", "$1")
+        text = F.regexp_replace(text, r"^(\d{2})([A-Za-z]{3})(\d{4})$", "$1-$2-$3")
+        return F.regexp_replace(text, r"^([A-Za-z]{3,9})\s*(\d{1,2})\s*,\s*(\d{4})$", "$1 $2, $3")
+
+    def read(text: Column) -> Column:
+        return F.coalesce(*[F.when(text.rlike(_shape(f)), F.to_date(F.try_to_timestamp(text, F.lit(f)))) for f in DATE_FORMATS])
+
+    # no format has fewer than four digits, of which an ordinal's 0 may be added
+    return once(F.trim(c), lambda t: F.when(t.rlike(r"\d\D*\d\D*\d"), once(plain(t), read)))
 
 
 def raw_sign(c: Column) -> Column:
@@ -114,10 +167,13 @@ def stage(rows: DataFrame) -> DataFrame:
     outcome is STAGED, MARKER (balances carried) or UNPARSEABLE, for which reason says why.
     """
     raw = F.col("raw")
-    read = rows.select(
-        "file", "line_no", "raw", parse_date(first_of(raw, "date")).alias("txn_date"), first_of(raw, "description").alias("description"), first_amount(raw, "debit").alias("debit"), first_amount(raw, "credit").alias("credit"),
+    # one array's struct: a later filter by outcome can't be moved below it, where it would read every field again
+    read = F.struct(
+        parse_date(first_of(raw, "date")).alias("txn_date"), first_of(raw, "description").alias("description"), first_amount(raw, "debit").alias("debit"), first_amount(raw, "credit").alias("credit"),
         parse_number(first_of(raw, "amount")).alias("plain"), raw_sign(first_of(raw, "amount")).alias("sign"), F.lower(first_of(raw, "type")).alias("type"), first_of(raw, "reference").alias("reference"), parse_number(first_of(raw, "balance")).alias("balance"), first_of(raw, "category").alias("category"),
+        F.array_join(F.array_sort(F.map_keys("raw")), "|").alias("columns"),
     )
+    read = rows.select("file", "line_no", F.inline(F.array(read)))
     amount = F.abs(F.coalesce(F.when(F.col("debit") != 0, F.col("debit")), F.when(F.col("credit") != 0, F.col("credit")), "plain", "debit", "credit"))
     named = F.when(F.col("type").isin("credit", "cr", "income", "c") | F.contains("type", F.lit("income")), "INCOME").when(F.col("type").isin("debit", "dr", "expense", "d"), "EXPENSE")
     by_column = F.when((F.col("credit") != 0) & F.coalesce(F.col("debit") == 0, F.lit(True)), "INCOME").when(F.col("debit") != 0, "EXPENSE")
@@ -125,7 +181,7 @@ def stage(rows: DataFrame) -> DataFrame:
     done = read.withColumn("amount", amount).withColumn("txn_type", F.coalesce(named, by_column, "sign", F.lit("EXPENSE")))
     reason = F.when(F.col("txn_date").isNull(), "NO_DATE").when(F.col("amount").isNull(), "NO_AMOUNT").when(F.col("amount") == 0, "ZERO_AMOUNT")
     outcome = F.when(marker, "MARKER").when(reason.isNotNull(), "UNPARSEABLE").otherwise("STAGED")
-    return done.select("file", "line_no", "txn_date", "description", "amount", "txn_type", "category", "reference", "balance", outcome.alias("outcome"), F.when(~marker, reason).alias("reason"), F.array_join(F.array_sort(F.map_keys("raw")), "|").alias("columns"))
+    return done.select("file", "line_no", "txn_date", "description", "amount", "txn_type", "category", "reference", "balance", outcome.alias("outcome"), F.when(~marker, reason).alias("reason"), "columns")
 
 
 def mark_duplicates(staged: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import reconcile, rerun
-from ledgerloom.sources import views
+from ledgerloom.sources import statements, views
 
 
 def optimized(df):
@@ -39,3 +39,23 @@ def test_salary_is_told_without_the_other_categories(spark):
     assert all(r["one"] == r["all"] for r in rows.collect())
     ledger = spark.createDataFrame([], "txn_id string, user_id long, account_id long, txn_date date, amount decimal(14,2), txn_type string, description string")
     assert "bigbasket" not in reconcile.transfer_candidates(ledger).select("a_id")._jdf.queryExecution().logical().toString()
+
+
+def test_files_are_staged_in_one_pass_and_each_row_is_read_once(spark):
+    files = spark.createDataFrame([("a", 'My "Bank"\nDate of print,x\nTxn Date,Note,Note,Amount\n\n01/02/2024,"p ""q"", r",,"1,5.00 CR"\n02/02/2024,,b\n'), ("b", "no,header\n1,2"), ("c", "Date,Amount\r\n2024-01-01,(3)\r\nDate,Amount\n"), ("d", None), ("e", "")], "file string, value string")
+    lines = statements.split_lines(files)
+    whole, apart = statements.file_rows(files), statements.zip_rows(lines, statements.header_rows(lines))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, apart.collect()))
+    assert [r["raw"] for r in whole.where("file = 'a'").orderBy("line_no").collect()] == [{"txn date": "01/02/2024", "note": 'p "q", r', "amount": "1,5.00 CR"}, {"txn date": "02/02/2024", "note": "b", "amount": None}]
+    kept = optimized(statements.stage(whole).where("outcome = 'STAGED'"))
+    assert "Join" not in kept and "Aggregate" not in kept
+    # a condition on the outcome is not moved below the step that reads the fields
+    assert kept.count("gettimestamp(") == len(statements.DATE_FORMATS)
+    assert optimized(whole).count("posting date|date") == 1
+
+
+def test_dates_and_numbers_by_a_look_first(spark):
+    said = ["1st-Jan-24", "1st Jan 2024", "05Jan2024", "Jan5,2024", "12", "x1y2", "01/02/24 10:22", " 2024-01-05T10:00:00 ", "31/02/2024", "٠١/٠٢/٢٠٢٤", "", None, "1e3", "-", "Rs. 5 Dr", "(1,2.50)", "EE", "+7", "5 CR.", "12B", "n/a", "0 dr"]
+    rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", statements.parse_date(F.col("t")).cast("string").alias("d"), statements.parse_number(F.col("t")).cast("double").alias("n")).collect()
+    assert {r["t"]: r["d"] for r in rows if r["d"]} == {"1st-Jan-24": "2024-01-01", "1st Jan 2024": "2024-01-01", "05Jan2024": "2024-01-05", "Jan5,2024": "2024-01-05", "01/02/24 10:22": "2024-02-01", " 2024-01-05T10:00:00 ": "2024-01-05"}
+    assert {r["t"]: r["n"] for r in rows if r["n"] is not None} == {"12": 12.0, "1e3": 1000.0, "Rs. 5 Dr": -5.0, "(1,2.50)": -12.5, "+7": 7.0, "5 CR.": 5.0, "0 dr": 0.0}
