@@ -1,10 +1,11 @@
 """What keeps the work of large ledgers in proportion: shuffles of whole rows, nulls that don't meet, rows that are read once."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import reconcile, rerun
-from ledgerloom.sources import statements, views
+from ledgerloom.operators import folds, reconcile, rerun
+from ledgerloom.sources import statements, tables, views
 
 
 def optimized(df):
@@ -59,3 +60,19 @@ def test_dates_and_numbers_by_a_look_first(spark):
     rows = spark.createDataFrame([(t,) for t in said], "t string").select("t", statements.parse_date(F.col("t")).cast("string").alias("d"), statements.parse_number(F.col("t")).cast("double").alias("n")).collect()
     assert {r["t"]: r["d"] for r in rows if r["d"]} == {"1st-Jan-24": "2024-01-01", "1st Jan 2024": "2024-01-01", "05Jan2024": "2024-01-05", "Jan5,2024": "2024-01-05", "01/02/24 10:22": "2024-02-01", " 2024-01-05T10:00:00 ": "2024-01-05"}
     assert {r["t"]: r["n"] for r in rows if r["n"] is not None} == {"12": 12.0, "1e3": 1000.0, "Rs. 5 Dr": -5.0, "(1,2.50)": -12.5, "+7": 7.0, "5 CR.": 5.0, "0 dr": 0.0}
+
+
+def test_folds_read_lists_as_arrays():
+    for kind, values in ((pa.list_(pa.float64()), [[1.5, None], [], None, [2.0]]), (pa.list_(pa.string()), [["a", None], None, []]), (pa.list_(pa.bool_()), [[True], [False, True]]), (pa.int64(), [1, None]), (pa.int64(), [1, 2]), (pa.bool_(), [True, False]), (pa.date32(), [None]), (pa.list_(pa.list_(pa.int32())), [[[1], []], []])):
+        column = pa.array(values, kind)
+        assert folds.plain_list(column) == values and folds.plain_list(column[1:]) == values[1:]
+    assert type(folds.plain_list(pa.array([1, 2]))[0]) is int
+
+
+def test_lines_are_told_by_their_words_as_by_the_patterns():
+    said = ["End of Statement", "END OF STATEMENT", "End of ſtatement", "Page 1 of 2", "page no. 7", "Savings Account - 00001234", "DEPOSIT - 5 12345", "İFSC account no: 12345", "A/C No 123456", "acc", "Total purchase & other charges", "01/02/2024", "", "most important terms and conditions"]
+    for line in said:
+        row = tables._Row((1, 0, 0, 1.0, [0.0], [1.0], [line], [False], [False]))
+        assert [row.closing, row.banner, row.identity, row.footer] == [p.search(line) is not None for p in (tables.CLOSING, tables.BANNER, tables.IDENTITY, tables.FOOTER)], line
+    # a plain line meets no pattern and no name of a header
+    assert tables._header_at(tables._Row((1, 0, 0, 1.0, [0.0], [1.0], ["Description Amount"], [False], [False])), []) is None
