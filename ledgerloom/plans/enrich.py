@@ -262,7 +262,9 @@ def w6(b):
 
 def j11(b):
     ids = b.base.where("qty = 50").select("user_id", F.lower(F.element_at(F.split("description", " "), -1)).alias("identifier")).distinct()
-    return b.base.join(ids, "user_id").where(F.contains(T.normalize(F.col("description")), F.col("identifier"))).select("txn_id").distinct()
+    # a row's text is normalised once, not for each identifier that it meets
+    rows = b.base.select("txn_id", "user_id", T.normalize(F.col("description")).alias("norm"))
+    return rows.join(ids, "user_id").where(F.contains("norm", "identifier")).select("txn_id").distinct()
 
 
 def j17(b):

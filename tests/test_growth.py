@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import folds, reconcile, rerun
+from ledgerloom.plans import enrich
 from ledgerloom.sources import statements, tables, views
 
 
@@ -76,3 +77,8 @@ def test_lines_are_told_by_their_words_as_by_the_patterns():
         assert [row.closing, row.banner, row.identity, row.footer] == [p.search(line) is not None for p in (tables.CLOSING, tables.BANNER, tables.IDENTITY, tables.FOOTER)], line
     # a plain line meets no pattern and no name of a header
     assert tables._header_at(tables._Row((1, 0, 0, 1.0, [0.0], [1.0], ["Description Amount"], [False], [False])), []) is None
+
+
+def test_identifiers_meet_texts_that_are_normalised_already(spark):
+    plan = optimized(enrich.j11(views.Book(spark, "/root/testdata/sf0.001")))
+    assert "Contains(norm#" in plan
