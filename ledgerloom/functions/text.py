@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import groupby
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,14 +41,31 @@ CATEGORY_KEYWORDS = [
 REFUND_WORDS = ["refund", "reversal", "returned", "chargeback", "credit adjustment", "cancelled", "canceled"]
 
 
+#: Tokens that are looked at first: a long text's merchant stands in front, its other tokens are read only where these don't settle it.
+HEAD = 16
+
+
+def once(c: Column, f) -> Column:
+    """f(c) with ``c`` worked out once: a lambda's variable is a value, whereas a Column named twice is computed twice, and optimizers may copy it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def normalize(c: Column) -> Column:
     """Lower case, other characters than a-z, 0-9 to single spaces, trimmed; null becomes empty."""
-    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9 ]", " ")
-    return F.trim(F.regexp_replace(plain, " +", " "))
+    # one pass; a class with a space in it takes three times as long
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def _tokens(norm: Column) -> Column:
+    return F.filter(F.split(norm, " "), lambda t: t != "")
+
+
+def _first_tokens(norm: Column) -> Column:
+    return F.filter(F.slice(F.split(norm, " ", HEAD + 1), 1, HEAD), lambda t: t != "")
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(normalize(c), " "), lambda t: t != "")
+    return _tokens(normalize(c))
 
 
 def extract_merchant(c: Column) -> Column:
@@ -52,15 +73,29 @@ def extract_merchant(c: Column) -> Column:
 
     A code is letters, four digits or more, letters. Without such a token the rest as it is, or unknown.
     """
-    rest = F.filter(tokens(c), lambda t: ~t.rlike("^[a-z]*[0-9]{4,}[a-z]*$"))
-    joined = F.array_join(F.filter(F.slice(rest, 1, 4), lambda t: F.length(t) > 1), " ")
-    return F.when(joined != "", joined).when(F.size(rest) > 0, F.array_join(rest, " ")).otherwise(F.lit("unknown"))
+    return once(normalize(c), merchant_of)
+
+
+def merchant_of(norm: Column) -> Column:
+    """``extract_merchant`` of a text that is normalised already."""
+    plain = lambda ts: F.filter(ts, lambda t: ~t.rlike("^[a-z]*[0-9]{4,}[a-z]*$"))
+    named = lambda rest: F.nullif(F.array_join(F.filter(F.slice(rest, 1, 4), lambda t: F.length(t) > 1), " "), F.lit(""))
+    # fewer than four tokens in front settle nothing: the fourth may come later
+    front = once(plain(_first_tokens(norm)), lambda rest: F.when(F.size(rest) >= 4, named(rest)))
+    whole = once(plain(_tokens(norm)), lambda rest: F.coalesce(named(rest), F.when(F.size(rest) > 0, F.array_join(rest, " ")), F.lit("unknown")))
+    return F.coalesce(front, whole)
 
 
 def significant_token(c: Column) -> Column:
     """First token of over two characters that names no rail, else the first that names none; null if all do."""
-    named = F.filter(tokens(c), lambda t: ~t.isin(RAIL_TOKENS))
-    return F.coalesce(F.get(F.filter(named, lambda t: F.length(t) > 2), F.lit(0)), F.get(named, F.lit(0)))
+    return once(normalize(c), token_of)
+
+
+def token_of(norm: Column) -> Column:
+    """``significant_token`` of a text that is normalised already."""
+    named = lambda ts: F.filter(ts, lambda t: ~t.isin(RAIL_TOKENS))
+    long = lambda ts: F.get(F.filter(ts, lambda t: F.length(t) > 2), F.lit(0))
+    return F.coalesce(once(named(_first_tokens(norm)), long), once(named(_tokens(norm)), lambda ts: F.coalesce(long(ts), F.get(ts, F.lit(0)))))
 
 
 def display_name(c: Column) -> Column:
@@ -69,17 +104,36 @@ def display_name(c: Column) -> Column:
     return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit("Unknown Merchant")).otherwise(F.array_join(words, " "))
 
 
+def _keywords() -> str:
+    """A pattern of all keywords behind a space, by their first letters: one pass over a text finds what stands in it.
+
+    Matches are empty, so keywords may overlap; of two that begin at one word the longer is found.
+    """
+    words = sorted({w for _, ws in CATEGORY_KEYWORDS for w in ws}, key=lambda w: (w[0], -len(w), w))
+    letters = [f"{k}(?:{'|'.join(w[1:] for w in group)})" for k, group in groupby(words, key=lambda w: w[0])]
+    return f" (?=({'|'.join(letters)})(?: |$))"
+
+
+_KEYWORDS = _keywords()
+
+
 def keyword_category(c: Column) -> Column:
     """The first category one of whose keywords stands in the text as whole words, else Other."""
+    return once(normalize(c), category_of)
+
+
+def category_of(norm: Column) -> Column:
+    """``keyword_category`` of a text that is normalised already."""
 
-    def first(norm: Column) -> Column:
+    def first(found: Column) -> Column:
         out = F.lit("Other")
         for name, words in reversed(CATEGORY_KEYWORDS):
-            out = F.when(norm.rlike(r"\b(?:" + "|".join(words) + r")\b"), F.lit(name)).otherwise(out)
-        return out
+            # a longer keyword that begins with one of these holds it, too
+            held = sorted({w for _, ws in CATEGORY_KEYWORDS for w in ws if any(f"{w} ".startswith(f"{k} ") for k in words)})
+            out = F.when(F.arrays_overlap(found, F.array(*map(F.lit, held))), F.lit(name)).otherwise(out)
+        return F.when(F.size(found) == 0, F.lit("Other")).otherwise(out)
 
-    # a lambda's variable is normalised once for all categories
-    return F.get(F.transform(F.array(normalize(c)), first), F.lit(0))
+    return once(F.array_distinct(F.regexp_extract_all(F.concat(F.lit(" "), norm), F.lit(_KEYWORDS), F.lit(1))), first)
 
 
 def is_salary(norm: Column) -> Column:
@@ -88,7 +142,12 @@ def is_salary(norm: Column) -> Column:
 
 
 def mentions_refund(c: Column) -> Column:
-    return normalize(c).rlike("|".join(REFUND_WORDS))
+    return once(normalize(c), refund_in)
+
+
+def refund_in(norm: Column) -> Column:
+    """``mentions_refund`` of a text that is normalised already."""
+    return reduce(or_, (F.contains(norm, F.lit(w)) for w in REFUND_WORDS))
 
 
 def similarity(a: Column, b: Column) -> Column:

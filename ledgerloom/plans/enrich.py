@@ -60,8 +60,8 @@ WON = "won AS (SELECT txn_id, rule_id, target FROM (SELECT *, row_number() OVER
 
 
 def f_text(b):
-    names = b.table("documents").select("doc_id", F.col("text").alias("t"))
-    return names.select("doc_id", T.normalize(F.col("t")).alias("norm"), T.extract_merchant(F.col("t")).alias("merchant"), T.significant_token(F.col("t")).alias("token"), T.keyword_category(F.col("t")).alias("keyword"), T.mentions_refund(F.col("t")).alias("refund"))
+    texts = b.table("documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
+    return texts.select("doc_id", "norm", T.merchant_of(F.col("norm")).alias("merchant"), T.token_of(F.col("norm")).alias("token"), T.category_of(F.col("norm")).alias("keyword"), T.refund_in(F.col("norm")).alias("refund"))
 
 
 F_TEXT = f"""WITH d AS (SELECT doc_id, {NORM.format('text')} AS n FROM documents),

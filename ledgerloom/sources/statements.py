@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 # Header names by role, in order of preference.
 HINTS = {
     "date": ["transaction date", "txn date", "value date", "posting date", "date"],
@@ -30,11 +32,6 @@ DATED = "|".join(HINTS["date"])
 MARKERS = ["opening balance", "closing balance", "balance forward", "balance b/f", "balance c/f"]
 
 
-def once(c: Column, f) -> Column:
-    """f(c) with ``c`` worked out once: a lambda's variable is a value, whereas a Column named twice is computed twice, and optimizers may copy it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no and cells of CSV files; the order within a file is kept, quotes and commas are parsed natively."""
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")

@@ -1,5 +1,7 @@
 """What keeps the work of large ledgers in proportion: shuffles of whole rows, nulls that don't meet, rows that are read once."""
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -82,3 +84,23 @@ def test_lines_are_told_by_their_words_as_by_the_patterns():
 def test_identifiers_meet_texts_that_are_normalised_already(spark):
     plan = optimized(enrich.j11(views.Book(spark, "/root/testdata/sf0.001")))
     assert "Contains(norm#" in plan
+
+
+def test_text_functions_read_a_long_text_once(spark):
+    codes = " ".join(f"ab{k}" for k in range(1000, 1040))
+    said = [None, "", "  ", "UPI/Rent-PAID é may", f"{codes} x Big  Store no 7", f"{codes}", "a b c d eight", "neft upi x", "to pos atm " * 9 + "shop", "xgift gifts", "home loan emi", "\u00a0gift\n", "ngo donation credit card payment", "Re-turned", "x Refunded", "premium payment salary", "1mg", "neft to", "x " * 40]
+    rows = spark.createDataFrame([(t,) for t in said], "t string")
+    old = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), "[^a-z0-9 ]", " "), " +", " "))
+    for t, norm, plain, merchant, token, word, refund in rows.select("t", text.normalize(F.col("t")), old, text.extract_merchant(F.col("t")), text.significant_token(F.col("t")), text.keyword_category(F.col("t")), text.mentions_refund(F.col("t"))).collect():
+        words = norm.split()
+        rest = [w for w in words if not re.fullmatch("[a-z]*[0-9]{4,}[a-z]*", w)]
+        named = [w for w in words if w not in text.RAIL_TOKENS]
+        assert norm == plain, t
+        assert merchant == (" ".join(w for w in rest[:4] if len(w) > 1) or " ".join(rest) or "unknown"), t
+        assert token == next((w for w in named if len(w) > 2), named[0] if named else None), t
+        assert word == next((c for c, ks in text.CATEGORY_KEYWORDS if any(f" {k} " in f" {norm} " for k in ks)), "Other"), t
+        assert refund == any(w in norm for w in text.REFUND_WORDS), t
+    # one search finds all categories' keywords, and what is read of a text is normalised once
+    plan = optimized(enrich.f_text(views.Book(spark, "/root/testdata/sf0.001")))
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_replace(") == 1
+    assert plan.count("lower(") == 1
