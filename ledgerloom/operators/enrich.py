@@ -119,8 +119,9 @@ def create_merchants(rows: DataFrame) -> DataFrame:
 
     Rows without a token make one merchant for each normalised text.
     """
-    key = F.coalesce(text.significant_token(F.col("description")), F.concat(F.lit("="), text.normalize(F.col("description"))))
-    keyed = rows.select("user_id", "txn_date", "txn_id", key.alias("key"), text.display_name(text.extract_merchant(F.col("description"))).alias("name"), text.normalize(F.col("description")).alias("alias"))
+    norm = F.col("alias")
+    plain = rows.select("user_id", "txn_date", "txn_id", text.normalize(F.col("description")).alias("alias"))
+    keyed = plain.select("*", F.coalesce(text.token_of(norm), F.concat(F.lit("="), norm)).alias("key"), text.once(text.merchant_of(norm), text.display_name).alias("name"))
     return keyed.groupBy("user_id", "key").agg(F.min_by("name", F.struct("txn_date", "txn_id")).alias("name"), F.count_distinct("alias").alias("aliases"), F.count("*").alias("rows"))
 
 

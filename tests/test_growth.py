@@ -104,3 +104,10 @@ def test_text_functions_read_a_long_text_once(spark):
     plan = optimized(enrich.f_text(views.Book(spark, "/root/testdata/sf0.001")))
     assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_replace(") == 1
     assert plan.count("lower(") == 1
+
+
+def test_merchants_are_made_of_descriptions_normalised_once(spark):
+    rows = spark.createDataFrame([(1, "2024-01-02", "b", "UPI Corner shop 12345"), (1, "2024-01-01", "a", "corner SHOP-x"), (1, "2024-01-03", "c", "upi neft"), (2, "2024-01-01", "d", None)], "user_id long, txn_date string, txn_id string, description string")
+    made = enrich.N.create_merchants(rows)
+    assert sorted(map(tuple, made.collect())) == [(1, "=upi neft", "Upi Neft", 1, 1), (1, "corner", "Corner Shop", 2, 2), (2, "=", "Unknown", 1, 1)]
+    assert optimized(made).count("regexp_replace(") == 1
