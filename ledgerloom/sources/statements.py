@@ -201,10 +201,22 @@ def metadata(lines: DataFrame) -> DataFrame:
     return found.distinct().withColumn("opening", parse_number(F.col("opening"))).withColumn("closing", parse_number(F.col("closing")))
 
 
+#: Runs that one task buckets: the work's parts grow with the runs, not the parts' sizes.
+PART_RUNS = 500_000
+
+
 def bucket_cells(runs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Each run's column: the nearest anchor of its page, the first of equals (anchors are a few rows a page)."""
-    near = runs.join(anchors, ["doc_id", "page"])
-    return near.groupBy("doc_id", "page", "x", "y", "text").agg(F.min_by("column", F.struct(F.abs(F.col("x") - F.col("anchor_x")), "column")).alias("column"))
+    """Each run's column: the nearest anchor of its page, the first of equals (anchors are a few rows a page).
+
+    A run meets its page's anchors as an array, so it isn't copied for each. Runs are counted once for the number of parts.
+    """
+    parts = max(1, -(-runs.count() // PART_RUNS))
+    page = ["doc_id", "page"]
+    # a page's anchors are gathered where its runs are: neither side is dealt twice
+    near = anchors.repartition(parts, *page).groupBy(*page).agg(F.collect_list(F.struct("anchor_x", "column")).alias("anchors"))
+    met = runs.select(*page, "x", "y", "text").repartition(parts, *page).join(near, page)
+    nearest = F.array_min(F.transform("anchors", lambda a: F.struct(F.abs(F.col("x") - a["anchor_x"]).alias("off"), a["column"].alias("column"))))
+    return met.select(*page, "x", "y", "text", nearest["column"].alias("column")).distinct()
 
 
 def receipts(pages: DataFrame, templates: DataFrame) -> DataFrame:
