@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .statements import parse_date, parse_number
+from .statements import once, parse_date, parse_number
 
 #: Points between words of one phrase, and between the left edges of a label and a value below it.
 PHRASE_GAP, BELOW = 6.0, 25.0
@@ -53,12 +53,14 @@ def phrases(rows: DataFrame) -> DataFrame:
 
 def _valid(field: str, value: Column) -> Column:
     """The value if it is one of the field's, else null."""
-    text = F.trim(F.regexp_replace(value, r"^[\s:\-]+", ""))
-    if SHAPES[field] is None:
-        good = parse_date(text).isNotNull() if field == "due_date" else parse_number(text).isNotNull()
-    else:
-        good = text.rlike(SHAPES[field])
-    return F.when(good & ~text.rlike(f"(?i)^(?:{_ANY})[\\s:]*$"), text)
+    def read(text: Column) -> Column:
+        if SHAPES[field] is None:
+            good = parse_date(text).isNotNull() if field == "due_date" else parse_number(text).isNotNull()
+        else:
+            good = text.rlike(SHAPES[field])
+        return F.when(good & ~text.rlike(f"(?i)^(?:{_ANY})[\\s:]*$"), text)
+
+    return once(F.trim(F.regexp_replace(value, r"^[\s:\-]+", "")), read)
 
 
 def _number(value: Column) -> Column:
@@ -76,25 +78,30 @@ def fields(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("row_no")
     near = lambda k: F.when(F.lead("page", k).over(order) == F.col("page"), F.lead("phrases", k).over(order))
     rows = phrases(rows).withColumn("below", F.concat(F.coalesce(near(1), F.array()), F.coalesce(near(2), F.array())))
-    each = rows.where(F.exists("phrases", lambda p: p["text"].rlike(f"(?i)^(?:{_ANY})"))).select("doc_id", "row_no", "phrases", "below", F.posexplode("phrases").alias("at", "p"))
-    found = None
-    for field, label in LABELS.items():
+    labelled = lambda p: p["text"].rlike(f"(?i)^(?:{_ANY})")
+    each = rows.where(F.exists("phrases", labelled))
+
+    def best(field: str, label: str) -> Column:
+        """The row's first value of a field with its place: a row is read where it stands, so no copies of it are dealt again for each field."""
         pattern = f"(?i)^(?:{label})(?![A-Za-z])[\\s:.]*"
-        mine = each.where(F.col("p.text").rlike(pattern))
-        inline = F.regexp_replace("p.text", pattern, "")
-        bare = F.trim(inline) == ""
-        right = F.get("phrases", F.col("at") + 1)["text"]
-        left = F.when(F.col("at") > 0, F.get("phrases", F.col("at") - 1)["text"])
-        beneath = F.filter("below", lambda q: (F.abs(q["x"] - F.col("p.x")) <= BELOW) | ((q["x"] <= F.col("p.right")) & (q["right"] >= F.col("p.x"))))
-        tries = F.array(_valid(field, F.when(~bare, inline)), _valid(field, F.when(bare, right)), *[_valid(field, F.when(bare, F.get(beneath, k)["text"])) for k in range(2)], _valid(field, F.when(bare, left)))
-        values = mine.select("doc_id", "row_no", "at", F.posexplode(tries).alias("rank", "value")).where("value is not null")
-        if field == "number":
-            values = values.withColumn("value", _number(F.col("value"))).where("value is not null")
-        values = values.withColumn("field", F.lit(field))
-        found = values if found is None else found.unionByName(values)
-    best = found.groupBy("doc_id", "field").agg(F.min_by("value", F.struct("rank", "row_no", "at")).alias("value"))
-    value = lambda field: F.max(F.when(F.col("field") == field, F.col("value")))
-    wide = best.groupBy("doc_id").agg(*[value(f).alias(f) for f in LABELS])
+
+        def tried(p: Column, at: Column) -> Column:
+            inline = F.regexp_replace(p["text"], pattern, "")
+            bare = F.trim(inline) == ""
+            beneath = F.filter("below", lambda q: (F.abs(q["x"] - p["x"]) <= BELOW) | ((q["x"] <= p["right"]) & (q["right"] >= p["x"])))
+            said = lambda k, v: F.struct(F.lit(k).alias("rank"), F.col("row_no").alias("row_no"), at.alias("at"), v.alias("value"))
+            left = F.when(at > 0, F.get("phrases", at - 1)["text"])
+            open_ = F.array(said(1, F.get("phrases", at + 1)["text"]), said(2, F.get(beneath, F.lit(0))["text"]), said(3, F.get(beneath, F.lit(1))["text"]), said(4, left))
+            return F.when(p["text"].rlike(pattern), F.when(bare, open_).otherwise(F.array(said(0, inline))))
+
+        read = lambda v: _valid(field, v) if field != "number" else _number(_valid(field, v))
+        tries = F.flatten(F.filter(F.transform("phrases", tried), lambda t: t.isNotNull()))
+        known = F.transform(tries, lambda t: F.struct(t["rank"].alias("rank"), t["row_no"].alias("row_no"), t["at"].alias("at"), read(t["value"]).alias("value")))
+        return F.array_min(F.filter(known, lambda t: t["value"].isNotNull()))
+
+    per_row = each.select("doc_id", *[best(field, label).alias(field) for field, label in LABELS.items()])
+    # rows come sorted by document from the window, so a document's fields are taken as they pass
+    wide = per_row.groupBy("doc_id").agg(*[F.min(f)["value"].alias(f) for f in LABELS]).where(F.coalesce(*LABELS).isNotNull())
     span = lambda k: parse_date(F.nullif(F.regexp_extract("period", SPAN, k), F.lit("")))
     amount = lambda c: parse_number(F.col(c)).alias(c)
     return wide.select("doc_id", "holder", F.col("number").alias("last4"), "branch", F.upper("ifsc").alias("ifsc"), span(1).alias("period_from"), span(2).alias("period_to"), amount("credit_limit"), parse_date(F.col("due_date")).alias("due_date"), amount("opening"), amount("closing"))
