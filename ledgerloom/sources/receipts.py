@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .statements import parse_date, parse_number
+from .statements import once, parse_date, parse_number
 
 #: marker, stop: patterns that a receipt's text has and must not have. amount, date: the label cell's pattern, or a pattern
 #: of the text with the value as its first group. items: rows of a name and an amount in front of the total add up to it.
@@ -28,13 +28,26 @@ TEMPLATES = [
 ]
 
 
+#: Messages that one task reads; they are counted once for the number of parts.
+PART_MESSAGES = 50_000
+
+
 def plain(html: Column) -> Column:
     """The visible text of markup: no scripts, styles, comments or hidden elements, entities decoded, one space between words."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|head|template)\b.*?</\1\s*>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?is)<(\w+)[^>]*\bstyle\s*=\s*[\"'][^\"'>]*display\s*:\s*none[^>]*>.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, sign in ((r"&nbsp;|&#160;", " "), (r"&#8377;|&#x20[bB]9;", "₹"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;|&#34;", '"'), ("&#39;|&apos;", "'"), ("&amp;", "&")):
-        text = F.regexp_replace(text, entity, sign)
+    def bare(text: Column) -> Column:
+        text = F.regexp_replace(text, r"(?is)<(script|style|head|template)\b.*?</\1\s*>|<!--.*?-->", " ")
+        shown = lambda t: F.regexp_replace(t, r"(?is)<(\w+)[^>]*\bstyle\s*=\s*[\"'][^\"'>]*display\s*:\s*none[^>]*>.*?</\1\s*>", " ")
+        text = once(text, lambda t: F.when(F.lower(t).contains("none"), shown(t)).otherwise(t))
+        return F.regexp_replace(text, r"(?s)<[^>]*>", " ")
+
+    def decoded(text: Column) -> Column:
+        for entity, sign in ((r"&nbsp;|&#160;", " "), (r"&#8377;|&#x20[bB]9;", "₹"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;|&#34;", '"'), ("&#39;|&apos;", "'"), ("&amp;", "&")):
+            text = F.regexp_replace(text, entity, sign)
+        return text
+
+    # most cells hold no tag, and most texts no entity: a look for their first sign costs far less than the patterns
+    text = once(html, lambda t: F.when(t.contains("<"), bare(t)).otherwise(t))
+    text = once(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -52,7 +65,10 @@ def parse(messages: DataFrame, templates: DataFrame, as_of: str) -> DataFrame:
     Null html is an empty text. A domain has one template; of several the first by its marker counts.
     """
     chosen = templates.groupBy("domain").agg(F.min_by(F.struct(*[c for c in templates.columns if c != "domain"]), F.coalesce("marker", F.lit(""))).alias("t")).select("domain", "t.*")
-    rows = messages.select("message_id", "domain", F.coalesce("html", F.lit("")).alias("html")).join(chosen.withColumn("known", F.lit(True)), "domain", "left")
+    # templates are a row a merchant and go to the messages: dealt by domain, all messages of one merchant would be one task's.
+    # within a task they come by domain, so a template's patterns are compiled once and not for each message
+    dealt = messages.select("message_id", "domain", F.coalesce("html", F.lit("")).alias("html")).repartition(max(1, -(-messages.count() // PART_MESSAGES)), "message_id")
+    rows = dealt.join(F.broadcast(chosen.withColumn("known", F.lit(True))), "domain", "left").sortWithinPartitions("domain")
     rows = rows.withColumn("text", plain(F.col("html"))).withColumn("cells", F.when(F.col("amount_label").isNotNull() | F.col("date_label").isNotNull(), cells(F.col("html"))))
     in_cell = lambda label: f"get(filter(transform(cells, r -> get(transform(filter(sequence(0, greatest(size(r) - 2, 0)), i -> get(r, i) rlike {label}), i -> get(r, i + 1)), 0)), v -> v is not null), 0)"
     found = lambda kind: F.coalesce(F.expr(f"case when {kind}_label is not null then {in_cell(f'{kind}_label')} end"), F.expr(f"case when {kind}_pattern is not null then nullif(regexp_extract(text, {kind}_pattern, 1), '') end"))
