@@ -57,9 +57,9 @@ def _csv_lines(b):
     said = F.when(kind == 0, F.concat(F.lit('"'), F.replace("description", F.lit(" "), F.lit("\n")), F.lit('"'))).when(kind == 1, F.concat(F.lit('"'), F.replace("description", F.lit(" "), F.lit('""')), F.lit(', x"'))).when(kind == 2, F.concat(F.lit('"'), "description", F.lit('\n\n""\n"'))).when(kind == 3, F.concat("description", F.lit(' "x" '))).otherwise(F.col("description"))
     text = F.concat("txn_id", F.lit(","), said, F.lit(","), "amount", F.when(kind == 4, "\n").otherwise(""))
     last = F.lead("txn_id").over(order).isNull() & (F.col("qty") % 3 == 0)
-    rows = d.select("file", F.row_number().over(order).alias("r"), F.split(F.concat(text, F.when(last, ',"open').otherwise("")), "\n").alias("parts"))
+    rows = d.select("file", "txn_date", "txn_id", F.split(F.concat(text, F.when(last, ',"open').otherwise("")), "\n").alias("parts"))
     # where each row's lines start in its file
-    upto = F.sum(F.size("parts")).over(Window.partitionBy("file").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    upto = F.sum(F.size("parts")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     lines = rows.withColumn("upto", F.coalesce(upto, F.lit(0))).select("file", "upto", F.posexplode("parts").alias("k", "line")).withColumn("at", F.col("upto") + F.col("k"))
     return lines.select("file", F.floor(F.col("at") / 7).alias("block"), "at", "line")
 

@@ -33,19 +33,22 @@ def records(lines: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
     blank = F.trim("line") == ""
     rows = rows.withColumn("odd", before).withColumn("n", F.row_number().over(inside) - 1)
-    # a line starts a record if the quotes before it are even; which ones are, in a block, depends on what comes before the block
+    # a line starts a record if the quotes before it are even; which ones are, in a block, depends on what comes before the block.
+    # both ways are counted at once, so that no line is sorted again when that is known
     starts = lambda parity: ((F.col("odd") == parity) & ~blank).cast("long")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("blank", blank).withColumn("upto_even", F.sum(starts(0)).over(upto)).withColumn("upto_odd", F.sum(starts(1)).over(upto))
     blocks = rows.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.sum(starts(0)).alias("if_even"), F.sum(starts(1)).alias("if_odd"), F.count("*").alias("lines"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    file = Window.partitionBy("file").orderBy("block")
+    earlier, all_of = file.rowsBetween(Window.unboundedPreceding, -1), file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     blocks = blocks.withColumn("carry", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2).withColumn("own", F.when(F.col("carry") == 0, F.col("if_even")).otherwise(F.col("if_odd")))
     blocks = blocks.withColumn("records_before", F.coalesce(F.sum("own").over(earlier), F.lit(0))).withColumn("lines_before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
-    total = blocks.groupBy("file").agg((F.sum("quotes") % 2).alias("open"), F.sum("own").alias("all"))
-    placed = rows.join(blocks.select("file", "block", "carry", "records_before", "lines_before"), ["file", "block"])
-    placed = placed.withColumn("inside", (F.col("odd") + F.col("carry")) % 2 == 1)
-    number = F.col("records_before") + F.sum((~F.col("inside") & ~blank).cast("long")).over(inside) - 1
-    placed = placed.withColumn("record", number).where(F.col("inside") | ~blank)
-    whole = placed.groupBy("file", "record").agg(F.min(F.col("lines_before") + F.col("n")).alias("first_line"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("lines_before") + F.col("n"), "line"))), lambda s: s["line"]), "\n").alias("text"))
-    whole = whole.join(total, "file")
-    status = F.when((F.col("open") == 1) & (F.col("record") == F.col("all") - 1), "UNTERMINATED").when(~F.col("text").rlike(WHOLE), "MALFORMED").otherwise("OK")
+    # the number of the record that a file leaves open, if it does
+    blocks = blocks.withColumn("open", F.when(F.sum("quotes").over(all_of) % 2 == 1, F.sum("own").over(all_of) - 1))
+    placed = rows.join(blocks.select("file", "block", "carry", "records_before", "lines_before", "open"), ["file", "block"])
+    number = F.col("records_before") + F.when(F.col("carry") == 0, F.col("upto_even")).otherwise(F.col("upto_odd")) - 1
+    placed = placed.where(((F.col("odd") + F.col("carry")) % 2 == 1) | ~F.col("blank")).select("file", number.alias("record"), (F.col("lines_before") + F.col("n")).alias("n"), "line", "open")
+    whole = placed.groupBy("file", "record").agg(F.min("n").alias("first_line"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n").alias("text"), F.max("open").alias("open"))
+    status = F.when(F.col("record") == F.col("open"), "UNTERMINATED").when(~F.col("text").rlike(WHOLE), "MALFORMED").otherwise("OK")
     cells = F.expr("transform(regexp_extract_all(concat(',', text), '" + FIELD.replace("\\", "\\\\") + "', 1), c -> if(startswith(c, '\"'), replace(substr(c, 2, length(c) - 2), '\"\"', '\"'), c))")
     return whole.withColumn("status", status).select("file", "record", "first_line", F.when(F.col("status") == "OK", cells).alias("cells"), "status")

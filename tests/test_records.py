@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from ledgerloom.sources import records
 
 
@@ -46,3 +48,12 @@ def test_a_file_split_inside_quotes(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
     assert [r["cells"] for r in found[:-1]] == [[str(k), f'{"line" * 5}\nnext "{k}"\n', "end"] for k in range(400)]
     assert found[-1]["status"] == "UNTERMINATED" and found[-1]["file"].endswith("b.csv")
+
+
+def test_lines_are_dealt_by_block_and_by_record_only(spark):
+    lines = spark.range(8).select(F.lit("f").alias("file"), (F.col("id") / 3).cast("long").alias("block"), F.col("id").alias("at"), F.lit('a,"b').alias("line"))
+    found = records.records(lines)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # one join, of the blocks' sums; no second one for a file's last record
+    assert plan.count("Join ") == 1
+    assert [(r["record"], r["status"]) for r in found.orderBy("record").collect()] == [(k, "MALFORMED") for k in range(4)]
