@@ -2,14 +2,20 @@
 
 Duplicates, transfers and refunds look at most ``REFUND_DAYS`` back, so a user's history falls into islands: runs of days without a longer
 gap, before or after the edit. What an edit changes lies in its island; recurring charges are a merchant's, whatever the date.
+An account is one user's.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
+from ..functions import text
 from . import analytics, reconcile
+from .folds import folded
 
 MARKS = ["duplicate_of", "transfer_with", "refund_of", "status"]
 
@@ -64,6 +70,165 @@ def rerun(before: DataFrame, after: DataFrame, known: DataFrame, identifiers: Da
     return both.where(differs).select("txn_id", *MARKS)
 
 
+class _Version:
+    """One version of a user's ledger, read by days: a day's transfers are taken when the days that its rows reach are there, its refunds when
+    no later day's transfers reach it. Held are the rows of twice the reach and each account's purchases of REFUND_DAYS."""
+
+    REACH = reconcile.TRANSFER_DAYS
+
+    def __init__(self, one):
+        #: What an amount of 1 is in the rows.
+        self.one = one
+        #: Days that are not final, as (day, rows); how many of them have had their transfers taken.
+        self.days, self.tried = deque(), 0
+        #: Free rows by type and whole amount, in order of day and id.
+        self.free: dict = {}
+        self.bought: dict = {}
+
+    def add(self, row):
+        """A row as [txn_id, day, account, amount, type, may be a transfer's side, looks like one, says refund, merchant, whole amount, its other side]."""
+        if not self.days or self.days[-1][0] != row[1]:
+            self.days.append((row[1], []))
+        self.days[-1][1].append(row)
+        if row[5]:
+            self.free.setdefault(row[4], {}).setdefault(row[9], deque()).append(row)
+
+    def until(self, day):
+        """txn_id, transfer_with and refund_of of the rows that are final once a row of ``day`` comes; None: no row comes any more."""
+        while self.tried < len(self.days) and (day is None or self.days[self.tried][0] + self.REACH < day):
+            for row in self.days[self.tried][1]:
+                if row[6] and row[10] is None:
+                    self.pair(row)
+            self.tried += 1
+        found = []
+        while self.tried and (day is None or self.days[0][0] + 2 * self.REACH < day):
+            found += self.refunded(*self.days.popleft())
+            self.tried -= 1
+        return found
+
+    def pair(self, a):
+        """The first free row, by day and id, that may be the other side of ``a``, becomes that."""
+        day, account, amount, kind, whole = a[1], a[2], a[3], a[4], a[9]
+        best = None
+        for other, cells in self.free.items():
+            if other == kind:
+                continue
+            for cell in (whole - 1, whole, whole + 1):
+                for b in cells.get(cell, ()):
+                    if b[1] > day + self.REACH or best is not None and (b[1], b[0]) > (best[1], best[0]):
+                        break
+                    if b[1] >= day - self.REACH and b[2] != account and abs(b[3] - amount) < self.one:
+                        best = b
+                        break
+        if best is not None:
+            a[10], best[10] = best[0], a[0]
+            self.leave(a)
+            self.leave(best)
+
+    def leave(self, row):
+        cells = self.free[row[4]]
+        cell = cells[row[9]]
+        # by its place: rows that are equal are none the less different ones
+        del cell[next(i for i, r in enumerate(cell) if r is row)]
+        if not cell:
+            del cells[row[9]]
+
+    def refunded(self, day, rows):
+        """A final day: its purchases first, then its incomes in order, each with the best purchase that has as much left."""
+        for row in rows:
+            if row[10] is None and row[5]:
+                self.leave(row)
+            if row[10] is None and row[4] == "EXPENSE":
+                self.bought.setdefault(row[2], deque()).append([row[1], row[0], row[3], row[8], row[3]])
+        for txn, _, account, amount, kind, _, _, says, merchant, _, mate in rows:
+            best = None
+            if mate is None and kind == "INCOME":
+                bought = self.bought.get(account, deque())
+                while bought and bought[0][0] < day - reconcile.REFUND_DAYS:
+                    bought.popleft()
+                for b in bought:
+                    # exact amounts first, then the fewest days, then the id: purchases come in order of day and id
+                    if amount <= b[4] and amount <= b[2] and (says or merchant is not None and merchant == b[3]) and (best is None or (b[2] == amount, b[0]) > (best[2] == amount, best[0])):
+                        best = b
+                if best is not None:
+                    best[4] -= amount
+            yield txn, mate, best and best[1]
+
+
+def between(both: DataFrame, days: int = reconcile.REFUND_DAYS) -> DataFrame:
+    """The changed marks of an edited ledger's rows, txn_id and ``MARKS``, as two whole runs would set them: a new row counts as OK before.
+
+    ``both`` holds both versions' rows (as for ``rerun``, and after: false for the version before the edit, true for the one after it). They are
+    dealt by user once, if they aren't yet; only islands with an edit are read, by one fold that compares a row's marks of both versions. Nothing but the
+    rows is shuffled, and nothing is joined or written. A user's rows are one task's, as a stream.
+    """
+    columns = [c for c in both.columns if c != "after"]
+    # one order serves for duplicates, edits and islands, another one for the islands' edits and the fold
+    first = ["user_id", "txn_date", "account_id", "amount", "description"]
+    rest = [c for c in columns if c not in [*first, "created_at", "txn_id"]]
+    alike = Window.partitionBy(*first).orderBy("created_at", "txn_id")
+    earliest = lambda version: F.first(F.when(version, F.col("txn_id")), ignorenulls=True).over(alike)
+    original = F.when(F.col("after"), earliest(F.col("after"))).otherwise(earliest(~F.col("after")))
+    marked = F.col("description").isNotNull() & (F.col("original") != F.col("txn_id")) & F.col("confirmed_at").isNull()
+    edit = F.sum(F.when(F.col("after"), -1).otherwise(1)).over(Window.partitionBy(*first, "created_at", "txn_id", *rest)) != 0
+    order = Window.partitionBy("user_id").orderBy("txn_date")
+    begins = F.coalesce((F.datediff("txn_date", F.lag("txn_date").over(order)) > days).cast("int"), F.lit(0))
+    island = Window.partitionBy("user_id", "island").orderBy("txn_date", "txn_id", "after").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = both.repartition("user_id").sortWithinPartitions(*first, "created_at", "txn_id", *rest).withColumn("original", original).withColumn("duplicate_of", F.when(marked, F.col("original"))).drop("original")
+    rows = rows.withColumn("edit", edit).withColumn("begins", begins).withColumn("island", F.sum("begins").over(order)).withColumn("hit", F.max("edit").over(island)).where("hit")
+    norm = text.normalize(F.col("description"))
+    whole = F.expr("user_id is not null and txn_date is not null and account_id is not null and amount is not null and duplicate_of is null")
+    side = F.coalesce(whole & F.col("txn_type").isNotNull() & ~text.is_salary(norm), F.lit(False))
+    kind = both.schema["amount"].dataType
+    # small decimals are read as whole numbers of their unit
+    one = 10**kind.scale if isinstance(kind, DecimalType) and kind.precision + kind.scale <= 18 else 1
+    amount = F.col("amount") if one == 1 else (F.col("amount") * one).cast("long")
+    told = rows.select(
+        "user_id", "island", "txn_date", "txn_id", "after", F.datediff("txn_date", F.lit("1970-01-01").cast("date")).alias("day"), "duplicate_of", whole.alias("whole"), "account_id", amount.alias("amount"), "txn_type", side.alias("side"),
+        (side & norm.contains("payment")).alias("looks"), F.coalesce(text.mentions_refund(F.col("description")), F.lit(False)).alias("says"), F.when(F.trim("merchant") != "", F.lower("merchant")).alias("shop"), F.floor("amount").cast("long").alias("cell"),
+    )
+    plain = (None, None, None)
+
+    def start():
+        # a row's marks wait for those of its other version
+        return {False: _Version(one), True: _Version(one), "marks": ({}, {}), "day": None}
+
+    def settle(state, after, found):
+        old, new = state["marks"]
+        own, others = (new, old) if after else (old, new)
+        for txn, *marks in found:
+            marks = tuple(marks)
+            if txn not in others:
+                own[txn] = marks
+            elif (was := others.pop(txn)) != marks:
+                yield change(txn, marks if after else was)
+
+    def change(txn, marks):
+        return (txn, *marks, next((s for s, m in zip(("DUPLICATE", "TRANSFER", "REFUND"), marks, strict=True) if m is not None), "OK"))
+
+    def step(state, row):
+        _, _, _, txn, after, day, duplicate, whole, account, amount, kind, side, looks, says, shop, cell = row
+        out = []
+        if day is not None and day != state["day"]:
+            state["day"] = day
+            for version in (False, True):
+                out += settle(state, version, [(t, None, *m) for t, *m in state[version].until(day)])
+        if whole:
+            state[after].add([txn, day, account, amount, kind, side, looks, says, shop, cell, None])
+        else:
+            out += settle(state, after, [(txn, duplicate, None, None)])
+        return out
+
+    def finish(_, state):
+        out = []
+        for version in (False, True):
+            out += settle(state, version, [(t, None, *m) for t, *m in state[version].until(None)])
+        return out + [change(txn, marks) for txn, marks in state["marks"][1].items() if marks != plain]
+
+    found = folded(told, ["user_id"], ["island", "txn_date", "txn_id", "after"], start, step, "txn_id string, duplicate_of string, transfer_with string, refund_of string, status string", finish, dealt=True)
+    return found.select("txn_id", *MARKS)
+
+
 def applied(known: DataFrame, after: DataFrame, changes: DataFrame) -> DataFrame:
     """The marks of ``after``'s rows: the changes, else what was known, else OK."""
     new = changes.select("txn_id", F.struct(*MARKS).alias("new"))

@@ -103,12 +103,12 @@ def d8(b):
 def d8_incremental(b):
     """Some rows of every ledger are removed, moved by a month or renamed; the marks that this changes, from a run over the edited islands alone."""
     at = F.col("txn_date").cast("timestamp")
-    before = b.base.select(*ROWS, at.alias("created_at"), F.lit(None).cast("timestamp").alias("confirmed_at"), "qty", "tax").dropDuplicates(["txn_id"])
-    # both ledgers are read several times, but joined and made distinct once
-    before = R.saved(before)
-    moved = before.where("not (qty = 50 and tax = 0)").withColumn("txn_date", F.when((F.col("qty") == 49) & (F.col("tax") == 1), F.date_add("txn_date", 30)).otherwise(F.col("txn_date"))).withColumn("description", F.when((F.col("qty") == 48) & (F.col("tax") == 2), "Card Payment moved").otherwise(F.col("description")))
-    before, after = before.drop("qty", "tax"), moved.drop("qty", "tax")
-    return RR.rerun(before, after, R.saved(RR.marks(before)))
+    # dealt by user once; each row then stands for itself before and, unless it is removed, after the edit
+    rows = b.base.select(*ROWS, at.alias("created_at"), F.lit(None).cast("timestamp").alias("confirmed_at"), "qty", "tax").repartition("user_id").dropDuplicates(["user_id", "txn_id"])
+    both = rows.withColumn("after", F.explode(F.when(F.expr("not (qty = 50 and tax = 0)"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    moved, renamed = F.expr("after and qty = 49 and tax = 1"), F.expr("after and qty = 48 and tax = 2")
+    both = both.withColumn("txn_date", F.when(moved, F.date_add("txn_date", 30)).otherwise(F.col("txn_date"))).withColumn("description", F.when(renamed, "Card Payment moved").otherwise(F.col("description")))
+    return RR.between(both.drop("qty", "tax"))
 
 
 def j15(b):

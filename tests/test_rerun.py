@@ -59,3 +59,42 @@ def test_only_the_edited_island_is_read_again(spark):
     assert len(reach) == 1 and reach[0]["user_id"] == one[1] and reach[0]["low"] <= one[3] <= reach[0]["high"] < date(2020, 9, 1)
     known = rerun.marks(before)
     assert rerun.rerun(before, before, known).collect() == []
+
+
+def edit_of(rng, rows):
+    changed = []
+    for r in rows:
+        draw = rng.random()
+        if draw < 0.06:
+            continue
+        if draw < 0.12 and r[3]:
+            r = (*r[:3], r[3] + timedelta(days=rng.randint(-200, 200)), *r[4:6], rng.choice(["card payment", "refund of shop", None]), *r[7:])
+        changed.append(r)
+    return changed + [(f"n{k}", *r[1:]) for k, r in enumerate(rng.sample(rows, 3))]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_two_versions_differ_as_their_whole_runs(spark, seed):
+    rng = random.Random(seed)
+    odd = [(f"z{k}", *r) for k, r in enumerate([(1, 10, None, Decimal(5), "EXPENSE", "shop", "shop"), (1, 10, None, Decimal(5), "EXPENSE", "shop", "shop"), (None, 10, date(2020, 1, 5), Decimal(5), "INCOME", "card payment", "shop"), (1, None, date(2020, 1, 5), Decimal(5), "INCOME", "refund of shop", "shop"), (1, 11, date(2020, 1, 5), None, "INCOME", "refund of shop", "shop"), (1, 11, date(2020, 1, 6), Decimal(5), None, "card payment", None), (1, 11, date(2020, 1, 6), Decimal("-5.50"), "INCOME", "refund", " "), (1, 11, date(2020, 1, 5), Decimal("-5.25"), "EXPENSE", "card payment", " "), (1, 10, date(2020, 1, 5), Decimal("5.99"), "INCOME", "salary card payment", "x")])]
+    rows = [*ledger(rng, 30, 1500), *[(*r, datetime(2024, 2, 1), None if k % 2 else datetime(2024, 3, 1)) for k, r in enumerate(odd)]]
+    changed = edit_of(rng, rows)
+    before, after = (spark.createDataFrame(x, KIND) for x in (rows, changed))
+    old, new = ({r["txn_id"]: tuple(r) for r in rerun.marks(x).collect()} for x in (before, after))
+    want = {t: r for t, r in new.items() if old.get(t, (t, None, None, None, "OK")) != r}
+    both = before.withColumn("after", F.lit(False)).union(after.withColumn("after", F.lit(True)))
+    found = rerun.between(both).collect()
+    assert {r["txn_id"]: tuple(r) for r in found} == want and len(found) == len(want)
+    assert {r["status"] for r in found} == {r[-1] for r in new.values()} == {"OK", "DUPLICATE", "TRANSFER", "REFUND"}
+    same = before.withColumn("after", F.explode(F.array(F.lit(False), F.lit(True))))
+    assert rerun.between(same).collect() == []
+
+
+def test_a_rerun_deals_the_rows_once_and_writes_nothing(spark):
+    from ledgerloom.plans import reconcile as plans
+    from ledgerloom.sources import views
+
+    plan = plans.d8_incremental(views.Book(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    # no step reads a checkpoint; the only join is that of the lines with their parts
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("FileScan parquet") == 2 and "Scan ExistingRDD" not in plan
+    assert plan.count("Join") == 1
